@@ -83,8 +83,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged"""
 
 
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+#: Lower case for A-Z alone, as `lower` folds every letter.
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DECONTAMINATION_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_FOLD}, '{_WORD}') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all({_FOLD}, '{_WORD}') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(10, len(w)) AS size FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS win FROM (
+  SELECT *, unnest(generate_series(1, len(w) - size + 1)) AS i FROM sized)),
+sizes AS (SELECT DISTINCT size FROM sized),
+placed AS (SELECT rid, size, i, array_to_string(w[i:i + size - 1], ' ') AS win FROM (
+  SELECT rid, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM docs, sizes WHERE len(w) >= size)),
+hits AS (SELECT rid, size, i, item_id FROM placed JOIN windows USING (size, win)),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (
+  SELECT rid, unnest(generate_series(i, i + size - 1)) AS p FROM hits) GROUP BY rid),
+owned AS (SELECT rid, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT rid, item_id FROM hits) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(o.n, 0) AS n_items,
+  sha256(coalesce(o.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered c USING (rid) LEFT JOIN owned o USING (rid)"""
+
+
 ORACLES = {
     "op1_secret_scan": secret_scan_sql(),
     "op2_chat_format": CHAT_SQL,
+    "op3_benchmark_decontamination": DECONTAMINATION_SQL,
     "op8_quality_rules": quality_sql(),
 }

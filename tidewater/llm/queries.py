@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import chat_format, quality_rules, secret_scan
-from tidewater.llm.common import table
+from tidewater.llm import bpe_pieces, chat_format, decontamination, quality_rules, secret_scan, token_planes
+from tidewater.llm.common import shared_dir, table
+
+#: Vocabularies stay where they are installed, on every machine; only their paths are known here.
+RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER_PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +35,39 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.segments(turns))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.annotate(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    width = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        F.col("__n_words").alias("n_words"),
+        width.alias("n_hit"),
+        F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("__items"), ","), 256).alias("items_sha256"),
+        (width > 0).alias("contaminated"),
+    )
+
+
+def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "token-planes")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = token_planes.write_shards(docs, folder, TOKENIZER_PATH)
+    return token_planes.read_shards(spark, folder, manifest, with_ids=False)
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe_pieces.encode(docs, RANKS_PATH, public_tokenizers.PATTERN).drop("text")
+    both = bpe_pieces.decode(encoded, RANKS_PATH, public_tokenizers.PATTERN)
+    return both.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select(
@@ -37,4 +75,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op8_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_chat_format, op3_benchmark_decontamination, op7_token_planes, op8_quality_rules, op10_byte_bpe,
+    )
+}
