@@ -107,9 +107,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coa
 FROM docs LEFT JOIN covered c USING (rid) LEFT JOIN owned o USING (rid)"""
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM docs),
+tokens AS (SELECT rid, len(s) AS n, unnest(s) AS token FROM sets),
+common AS (SELECT a.rid AS x, b.rid AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c
+  FROM tokens a JOIN tokens b ON a.token = b.token AND a.rid < b.rid GROUP BY a.rid, b.rid),
+links AS (SELECT x, y FROM common WHERE 100 * c >= 90 * (nx + ny - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.least_id, s.doc_id)) AS component_id
+FROM sets s LEFT JOIN (SELECT r.x AS rid, min(d.doc_id) AS least_id FROM reach r JOIN docs d ON d.rid = r.y GROUP BY r.x) m
+  USING (rid)"""
+
+
 ORACLES = {
     "op1_secret_scan": secret_scan_sql(),
     "op2_chat_format": CHAT_SQL,
     "op3_benchmark_decontamination": DECONTAMINATION_SQL,
+    "op4_ngram_jaccard_join": JACCARD_SQL,
     "op8_quality_rules": quality_sql(),
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe_pieces, chat_format, decontamination, quality_rules, secret_scan, token_planes
+from tidewater.llm import bpe_pieces, chat_format, decontamination, jaccard_join, quality_rules, secret_scan, token_planes
 from tidewater.llm.common import shared_dir, table
 
 #: Vocabularies stay where they are installed, on every machine; only their paths are known here.
@@ -49,6 +49,11 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "token-planes")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -78,6 +83,6 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_secret_scan, op2_chat_format, op3_benchmark_decontamination, op7_token_planes, op8_quality_rules, op10_byte_bpe,
+        op1_secret_scan, op2_chat_format, op3_benchmark_decontamination, op4_ngram_jaccard_join, op7_token_planes, op8_quality_rules, op10_byte_bpe,
     )
 }
