@@ -6,8 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe_pieces, chat_format, decontamination, jaccard_join, quality_rules, secret_scan, token_planes
-from tidewater.llm.common import shared_dir, table
+from tidewater.llm import (
+    bpe_pieces,
+    chat_format,
+    decontamination,
+    html_wrapper,
+    jaccard_join,
+    quality_rules,
+    secret_scan,
+    subword_classifier,
+    token_planes,
+    toxicity,
+)
+from tidewater.llm.common import crc_fold, shared_dir, table
+from tidewater.llm.labelled import training_rows
+
+#: Labelled rows that a trained operator may take to the driver.
+TOXIC_ROWS, QUALITY_ROWS = 12_000, 6_000
 
 #: Vocabularies stay where they are installed, on every machine; only their paths are known here.
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -54,6 +69,32 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def _scored(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        F.coalesce(crc_fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn(training_rows(docs, table(spark, sf_dir, "labels"), "toxic", TOXIC_ROWS))
+    return _scored(toxicity.score(docs, lexicon), 0.3)
+
+
+def op6_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_wrapper.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = subword_classifier.train(training_rows(docs, table(spark, sf_dir, "labels"), "quality", QUALITY_ROWS))
+    return _scored(subword_classifier.score(docs, model), 0.7)
+
+
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "token-planes")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -83,6 +124,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_secret_scan, op2_chat_format, op3_benchmark_decontamination, op4_ngram_jaccard_join, op7_token_planes, op8_quality_rules, op10_byte_bpe,
+        op1_secret_scan, op2_chat_format, op3_benchmark_decontamination, op4_ngram_jaccard_join, op5_toxicity,
+        op6_html_wrapper, op7_token_planes, op8_quality_rules, op9_quality_classifier, op10_byte_bpe,
     )
 }
