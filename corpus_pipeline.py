@@ -1,15 +1,75 @@
-"""The corpus pipeline: stages from raw documents to token ids, each one an operator of `tidewater.llm`."""
+"""The corpus pipeline: stages from raw documents to token ids, each one an operator of `tidewater.llm`.
+
+Every stage takes `(spark, docs, sf_dir)` and returns a DataFrame; all but the last return the columns of
+`documents`. Between stages the rows are written to the shared folder and read again, so a lost executor
+costs at most the stage at hand.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.llm import bpe_pieces, decontamination, jaccard_join, quality_rules, secret_scan
+from tidewater.llm.common import cut, table
+from tidewater.session import ship
+
+#: Near copies: five-word shingles at a Jaccard similarity of 0.8 or more.
+NEAR = jaccard_join.JoinSpec(width=5, percent=80)
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality_rules.filter_documents(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays, unchanged."""
+    ship(spark)
+    return jaccard_join.keep_one(docs, NEAR)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark are cut from the texts."""
+    ship(spark)
+    return _recounted(decontamination.remove(docs, table(spark, sf_dir, "benchmark")))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts."""
+    return _recounted(secret_scan.redact(docs))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids as little-endian unsigned 32-bit integers, with digests of the ids and of what they decode to."""
+    ship(spark)
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe_pieces.encode(docs.select("doc_id", "text"), ranks, pattern).drop("text")
+    return bpe_pieces.decode(encoded, ranks, pattern).select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids",
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("secret scans", secrets),
+    ("byte-level BPE", tokens),
+]
 
-STAGES: list = []
+#: Tokens are beyond SQL; the stages are tested one by one against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

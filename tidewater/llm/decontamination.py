@@ -187,7 +187,7 @@ def annotate(
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents with every hit span cut from the text; all columns and rows stay."""
-    marked = annotate(docs, benchmark, text_col, window)
+    marked, names = annotate(docs, benchmark, text_col, window), docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +201,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window
                         kept.append(raw[last : at[s["start"]][0]])
                         last = at[s["end"] - 1][1]
                     texts[row] = b"".join([*kept, raw[last:]]).decode()
-            table = {n: batch.column(n) for n in docs.columns}
+            table = {n: batch.column(n) for n in names}
             table[text_col] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_pydict(table)
 
