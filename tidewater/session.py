@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Settings the engine is tested with. Partition counts stay with the caller: they follow the data's size.
 SETTINGS = {
@@ -43,3 +45,64 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"{root.name}/{f.relative_to(root)}")
     context.addPyFile(path)
     context._tidewater_shipped = True
+
+
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder under spark.checkpoint.dir, which driver and executors share.
+
+    Without that setting (tests on one machine) the warehouse folder is used.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """Write and reread `df` in the shared folder: recovery from lost executors restarts from files."""
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def global_position(df: DataFrame, order: list[tuple[str, bool]], name: str) -> DataFrame:
+    """Adds the 0-based position of each row under an order of (column, ascending), without a single-task window.
+
+    Rows are dealt by ranges of the order, sorted and numbered inside their partition, and written; a
+    partition's offset is the row count of those before it (one number a partition reaches the driver).
+    Rows that tie on the whole order are numbered in any order.
+    """
+    directions = [F.col(f"`{c}`").asc() if up else F.col(f"`{c}`").desc() for c, up in order]
+    spread = df.repartitionByRange(*directions).sortWithinPartitions(*directions)
+    # monotonically_increasing_id numbers the rows of a partition from (partition << 33)
+    numbered = cut(spread.withColumn("__at", F.monotonically_increasing_id()), "positions")
+    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r["p"]: r["n"] for r in numbered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    offsets, total = [], 0
+    for p in sorted(counts):
+        offsets += [F.lit(p), F.lit(total).cast("long")]
+        total += counts[p]
+    base = F.element_at(F.create_map(*offsets), part) if offsets else F.lit(0).cast("long")
+    return numbered.withColumn(name, base + inside).drop("__at")
+
+
+def global_running(df: DataFrame, order: list[tuple[str, bool]], sums: dict[str, str]) -> DataFrame:
+    """Adds running totals (`name -> column`) over an order of the whole frame, the current row included.
+
+    As `global_position`: rows are numbered inside range partitions, running totals are windows inside those,
+    and what precedes a partition is a constant. Null values count as nothing.
+    """
+    directions = [F.col(f"`{c}`").asc() if up else F.col(f"`{c}`").desc() for c, up in order]
+    spread = df.repartitionByRange(*directions).sortWithinPartitions(*directions)
+    numbered = cut(spread.withColumn("__at", F.monotonically_increasing_id()), "running")
+    numbered = numbered.withColumn("__p", F.shiftright("__at", 33))
+    parts = numbered.groupBy("__p").agg(*[F.sum(c).alias(n) for n, c in sums.items()]).collect()
+    before: dict[str, list] = {n: [] for n in sums}
+    total = dict.fromkeys(sums, 0)
+    for r in sorted(parts, key=lambda r: r["__p"]):
+        for n in sums:
+            before[n] += [F.lit(r["__p"]), F.lit(total[n])]
+            total[n] += r[n] or 0
+    inside = Window.partitionBy("__p").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    for n, c in sums.items():
+        base = F.element_at(F.create_map(*before[n]), F.col("__p")) if before[n] else F.lit(0)
+        numbered = numbered.withColumn(n, base + F.coalesce(F.sum(c).over(inside), F.lit(0)))
+    return numbered.drop("__at", "__p")
