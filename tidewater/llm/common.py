@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.session import cut, shared_dir
+
+__all__ = ["crc_fold", "cut", "let", "shared_dir", "table"]
+
 #: Word separators of the length rules and the shingle join: space and the ASCII controls 9 to 13.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
@@ -20,22 +22,6 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share.
-
-    Without that setting (tests on one machine) the warehouse folder is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write and reread `df` in the shared folder: recovery from lost executors restarts from files."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def crc_fold(doc_id: Column) -> Column:
     """crc32 of the id's text, modulo 4; fold 2 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
