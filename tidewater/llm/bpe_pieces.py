@@ -17,14 +17,13 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidewater.llm.pieces import spaced_chunks
+from tidewater.llm.common import sliced
+from tidewater.llm.pieces import TextEncoder
 
-CACHE = 300_000
 _SHIFT = 256
 
 
@@ -80,35 +79,19 @@ class PieceCodec:
     def __init__(self, ranks_path: str, pattern: str) -> None:
         ranks = read_ranks(ranks_path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
-        self.pattern = regex.compile(pattern)
         self.table = [bytes(ord(c) - _SHIFT for c in self.model.id_to_piece(i + 1)) if i in set_ else None
                       for set_ in [set(ranks.values())] for i in range(max(set_, default=-1) + 1)]
-        self.chunks: dict[str, bytes] = {}
+        self.texts = TextEncoder(self._encode_many, pattern)
         self._mapped = [chr(_SHIFT + b) for b in range(256)]
 
-    def _pretokens(self, tokens: list[str]) -> list[list[int]]:
+    def _encode_many(self, pretokens: list[str]) -> list[bytes]:
         mapped = self._mapped
-        return self.model.encode(["".join([mapped[b] for b in t.encode()]) for t in tokens], num_threads=1)
-
-    def _learn(self, chunks: set[str]) -> None:
-        order = list(chunks)
-        split = [self.pattern.findall(c) for c in order]
-        encoded = iter(self._pretokens([t for tokens in split for t in tokens]))
-        for chunk, tokens in zip(order, split, strict=True):
-            ids = [i - 1 for _ in tokens for i in next(encoded)]
-            self.chunks[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        parts = spaced_chunks(text or "")
-        known = self.chunks
-        missing = {p for p in parts if p not in known}
-        if missing:
-            if len(known) + len(missing) > CACHE:
-                known.clear()
-                missing = set(parts)
-            self._learn(missing)
-        return b"".join([known[p] for p in parts])
+        encoded = self.model.encode(["".join([mapped[b] for b in t.encode()]) for t in pretokens], num_threads=1)
+        return [struct.pack(f"<{len(ids)}I", *[i - 1 for i in ids]) for ids in encoded]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return [ids.astype("<u4").tobytes() for ids in self.texts.encode(texts)]
 
     def decode(self, ids: bytes) -> bytes:
         out = [self.table[i] if i < len(self.table) else None for (i,) in struct.iter_unpack("<I", ids)]
@@ -129,9 +112,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
-        for batch in batches:
+        for batch in sliced(batches, 1000):
             table = {f.name: batch.column(f.name) for f in fields}
-            table[ids_col] = pa.array([own.encode(t) for t in batch.column(text_col).to_pylist()], pa.binary())
+            table[ids_col] = pa.array(own.encode(batch.column(text_col)), pa.binary())
             yield pa.RecordBatch.from_pydict(table)
 
     return docs.mapInArrow(run, schema)
@@ -144,7 +127,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             table = {f.name: batch.column(f.name) for f in fields}
             table[bytes_col] = pa.array([own.decode(b or b"") for b in batch.column(ids_col).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_pydict(table)

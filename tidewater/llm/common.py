@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.session import cut, shared_dir
 
-__all__ = ["crc_fold", "cut", "let", "shared_dir", "table"]
+__all__ = ["crc_fold", "cut", "let", "shared_dir", "sliced", "table"]
 
 #: Word separators of the length rules and the shingle join: space and the ASCII controls 9 to 13.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -25,3 +28,10 @@ def let(value: Column, body) -> Column:
 def crc_fold(doc_id: Column) -> Column:
     """crc32 of the id's text, modulo 4; fold 2 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what a batch grows to stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

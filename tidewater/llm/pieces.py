@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
+
 _TWO_BLANKS = re.compile(r"\s\s")
 
 
@@ -31,3 +36,92 @@ _RUN = re.compile(rf"{_BLANK}*{_OTHER}+|{_BLANK}+\Z")
 def _long_way(text: str) -> list[str]:
     """A run of blanks with the word after it; the same cuts, also where runs are longer."""
     return _RUN.findall(text)
+
+
+class Memo:
+    """Encodings met lately, in two generations of at most `limit` entries each.
+
+    What is used again moves to the young generation, so frequent words outlive the many that occur once.
+    """
+
+    def __init__(self, encode_many, limit: int) -> None:
+        self.encode_many, self.limit = encode_many, limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, entries: list[str]) -> list[bytes]:
+        """The encoding of each entry; distinct unknown ones are encoded in one call."""
+        young, old = self.young, self.old
+        found = list(map(young.get, entries))
+        unknown: dict[str, None] = {}
+        for k, value in enumerate(found):
+            if value is None:
+                entry = entries[k]
+                again = old.get(entry)
+                if again is None:
+                    unknown[entry] = None
+                else:
+                    young[entry] = found[k] = again
+        if unknown:
+            fresh = list(unknown)
+            young.update(zip(fresh, self.encode_many(fresh), strict=True))
+            found = [young[e] if v is None else v for e, v in zip(entries, found, strict=True)]
+        if len(young) > self.limit:
+            self.old, self.young = young, {}
+        return found
+
+
+#: Two blanks of any kind in a row, for the vectorised cut.
+_PAIRED = r"[\t-\r \x{1c}-\x{1f}\x{85}\p{Z}]{2}"
+
+
+class TextEncoder:
+    """Ids of texts through two memos: of chunks, and of the pre-tokens of chunks not met before.
+
+    `encode_many` encodes pre-tokens (matches of `pattern`), each to little-endian unsigned 32-bit integers.
+    A batch is cut and its distinct chunks are found in Arrow; only those meet Python.
+    """
+
+    def __init__(self, encode_many, pattern: str, chunks: int = 300_000, pretokens: int = 500_000) -> None:
+        self._split = regex.compile(pattern).findall
+        self._pretokens = Memo(encode_many, pretokens)
+        self._chunks = Memo(self._encode_chunks, chunks)
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        split = [self._split(c) for c in chunks]
+        ids = iter(self._pretokens.encode([t for tokens in split for t in tokens]))
+        return [b"".join([next(ids) for _ in tokens]) for tokens in split]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        column = pc.fill_null(column, "")
+        paired = pc.match_substring_regex(column, _PAIRED).to_numpy(zero_copy_only=False)
+        plain = np.flatnonzero(~paired)
+        out: list[np.ndarray | None] = [None] * len(column)
+        if len(plain):
+            for k, ids in zip(plain.tolist(), self._plain(column.take(pa.array(plain))), strict=True):
+                out[k] = ids
+        for k in np.flatnonzero(paired).tolist():
+            out[k] = np.frombuffer(b"".join(self._chunks.encode(spaced_chunks(column[k].as_py()))), "<u4")
+        return out
+
+    def _plain(self, column: pa.Array) -> list[np.ndarray]:
+        """Texts without two blanks in a row: cut at each blank, which opens the chunk after it."""
+        pieces = pc.split_pattern(column, " ")
+        offsets = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+        coded = pieces.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        known = self._chunks.encode([" " + p for p in coded.dictionary.to_pylist()])
+        first = self._chunks.encode(coded.dictionary.take(coded.indices.take(pa.array(offsets[:-1]))).to_pylist())
+        codes[offsets[:-1]] = len(known) + np.arange(len(first))  # a text's first piece has no blank before it
+        pool = known + first
+        sizes = np.fromiter(map(len, pool), np.int64, len(pool)) // 4
+        starts = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(pool), "<u4")
+        each = sizes[codes]
+        ends = np.cumsum(each)
+        gather = np.repeat(starts[codes] - (ends - each), each) + np.arange(ends[-1])
+        ids = flat[gather]
+        bounds = np.concatenate(([0], ends))[offsets]
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]

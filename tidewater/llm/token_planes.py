@@ -27,15 +27,16 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs as pafs
+from public_tokenizers import PATTERN
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.pieces import spaced_chunks
+from tidewater.llm.common import sliced
+from tidewater.llm.pieces import TextEncoder
 
 MAGIC = b"TWPLANE1"
 BLOCK = 1 << 16
-CACHE = 300_000
 _NULL = -(1 << 63)
 
 
@@ -161,7 +162,10 @@ class ShardReader:
 
 
 class ChunkEncoder:
-    """A tokenizers-library encoder that meets each distinct chunk once while its bounded cache lasts."""
+    """A tokenizers-library encoder that meets each distinct pre-token once while a memo holds it.
+
+    Tokenizers that don't cut by the byte-level pattern encode whole texts instead.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -173,24 +177,17 @@ class ChunkEncoder:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.cut = spaced_chunks if plain and not spec.get("normalizer") else lambda t: [t] if t else []
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            parts = self.cut(text or "")
-            known = self.known
-            missing = {p for p in parts if p not in known}
-            if missing:
-                if len(known) + len(missing) > CACHE:
-                    known.clear()
-                    missing = set(parts)
-                order = list(missing)
-                for part, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False), strict=True):
-                    known[part] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-            out.append(np.frombuffer(b"".join([known[p] for p in parts]), "<u4"))
-        return out
+        self.texts = TextEncoder(self._encode_many, PATTERN) if plain and not spec.get("normalizer") else None
+
+    def _encode_many(self, pieces: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in encoded]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        if self.texts:
+            return self.texts.encode(texts)
+        column = texts.to_pylist() if isinstance(texts, pa.Array) else texts
+        return [np.frombuffer(b, "<u4") for b in self._encode_many([t or "" for t in column])]
 
 
 @functools.lru_cache(maxsize=2)
@@ -220,9 +217,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(draft)
                 writer = ShardWriter(out, block)
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                for doc_id, ids in zip(part.column("id").to_pylist(), own.encode(part.column("text").to_pylist()), strict=True):
+            for part in sliced([batch], 2000):
+                for doc_id, ids in zip(part.column("id").to_pylist(), own.encode(part.column("text")), strict=True):
                     writer.add(doc_id, np.concatenate((ids, end)))
                     n_docs += 1
         if writer is not None:
