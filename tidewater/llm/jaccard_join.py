@@ -230,6 +230,77 @@ def _tokens(docs: DataFrame, spec: JoinSpec) -> DataFrame:
     return docs.select("class", "__text").mapInArrow(run, "class string, tokens array<long>")
 
 
+def live_keys(described: DataFrame) -> DataFrame:
+    """Keys that two classes or more hold: one group-by of two numbers a key, combined on the map side."""
+    held = described.filter("keys IS NOT NULL").select(F.explode("keys").alias("key"), F.xxhash64("class").alias("c"))
+    return held.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
+
+
+LIVE_BITS = 26
+
+
+def live_filter(keys: DataFrame) -> np.ndarray:
+    """A fixed-size bit array that has every live key's bit; others pass it rarely and fall out later."""
+    size = 1 << LIVE_BITS
+    part = size // _SLICES
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            bits[_slot(batch.column(0).to_numpy())] = True
+        pack = zstandard.ZstdCompressor(level=1)
+        for s in range(_SLICES):
+            own = bits[s * part : (s + 1) * part]
+            if own.any():
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "packed": pa.array([pack.compress(np.packbits(own).tobytes())], pa.binary())})
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, last, total = zstandard.ZstdDecompressor(), None, None
+        done = lambda: pa.RecordBatch.from_pydict({"slice": pa.array([last], pa.int32()), "packed": pa.array([total.tobytes()], pa.binary())})
+        for batch in batches:
+            for s, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if s != last:
+                    if last is not None:
+                        yield done()
+                    last, total = s, np.zeros(part // 8, np.uint8)
+                total |= np.frombuffer(unpack.decompress(packed, max_output_size=part // 8), np.uint8)
+        if last is not None:
+            yield done()
+
+    marked = keys.mapInArrow(mark, "slice int, packed binary")
+    joined = marked.repartition(_SLICES, "slice").sortWithinPartitions("slice").mapInArrow(join, "slice int, packed binary")
+    out = np.zeros(size // 8, np.uint8)
+    for r in joined.collect():
+        out[r.slice * part // 8 : (r.slice + 1) * part // 8] = np.frombuffer(r.packed, np.uint8)
+    return out
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (_mix(keys.view(_U)) >> _U(64 - LIVE_BITS)).astype(np.int64)
+
+
+def live_index(described: DataFrame, live: np.ndarray) -> DataFrame:
+    """`(class, key, place)` of the keys that pass the live filter."""
+    shared = described.sparkSession.sparkContext.broadcast(live)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            lists, places = batch.column("keys"), batch.column("places")
+            keys = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            at = _slot(keys)
+            keep = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            owner = np.repeat(np.arange(batch.num_rows), sizes)[keep]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("class").take(pa.array(owner)), pa.array(keys[keep], pa.int64()),
+                 pa.array(places.flatten().to_numpy(zero_copy_only=False)[keep], pa.int32())], names=["class", "key", "place"],
+            )
+
+    rows = described.filter("keys IS NOT NULL").select("class", "keys", "places")
+    return rows.mapInArrow(run, "class string, key long, place int")
+
+
 # --- verification and rounds -----------------------------------------------------------------------
 
 
@@ -278,12 +349,8 @@ def components(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "doc
         F.min(F.struct("doc_id", "print")).alias("sample"), F.min("doc_id").alias("least")
     )
     maps = [f"m{i}" for i in range(MAPS)]
-    index = (
-        described.filter("keys IS NOT NULL")
-        .select("class", F.explode(F.arrays_zip("keys", "places")).alias("e"))
-        .select("class", F.col("e.keys").alias("key"), F.col("e.places").alias("place"))
-        .groupBy("key", "class").agg(F.min("place").alias("place"))
-    )
+    found = live_index(described, live_filter(live_keys(described)))
+    index = cut(found.groupBy("key", "class").agg(F.min("place").alias("place")), "jaccard-index")
     # buckets of two classes or more, each with two probes drawn by hash
     draw = F.xxhash64("class", "key")
     buckets = index.groupBy("key").agg(
