@@ -17,6 +17,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -81,13 +82,17 @@ class PieceCodec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
         self.table = [bytes(ord(c) - _SHIFT for c in self.model.id_to_piece(i + 1)) if i in set_ else None
                       for set_ in [set(ranks.values())] for i in range(max(set_, default=-1) + 1)]
-        self.texts = TextEncoder(self._encode_many, pattern)
+        self.pattern = regex.compile(pattern)
+        self.texts = TextEncoder(self._encode_many)
         self._mapped = [chr(_SHIFT + b) for b in range(256)]
 
-    def _encode_many(self, pretokens: list[str]) -> list[bytes]:
+    def _encode_many(self, chunks: list[str]) -> list[bytes]:
         mapped = self._mapped
+        split = [self.pattern.findall(c) for c in chunks]
+        pretokens = list(dict.fromkeys(t for tokens in split for t in tokens))
         encoded = self.model.encode(["".join([mapped[b] for b in t.encode()]) for t in pretokens], num_threads=1)
-        return [struct.pack(f"<{len(ids)}I", *[i - 1 for i in ids]) for ids in encoded]
+        known = {t: struct.pack(f"<{len(ids)}I", *[i - 1 for i in ids]) for t, ids in zip(pretokens, encoded, strict=True)}
+        return [b"".join([known[t] for t in tokens]) for tokens in split]
 
     def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

@@ -7,7 +7,6 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
 _TWO_BLANKS = re.compile(r"\s\s")
 
@@ -76,21 +75,14 @@ _PAIRED = r"[\t-\r \x{1c}-\x{1f}\x{85}\p{Z}]{2}"
 
 
 class TextEncoder:
-    """Ids of texts through two memos: of chunks, and of the pre-tokens of chunks not met before.
+    """Ids of texts through a memo of chunks.
 
-    `encode_many` encodes pre-tokens (matches of `pattern`), each to little-endian unsigned 32-bit integers.
-    A batch is cut and its distinct chunks are found in Arrow; only those meet Python.
+    `encode_many` encodes chunks, each to little-endian unsigned 32-bit integers. A batch is cut and its
+    distinct chunks are found in Arrow; only those meet Python.
     """
 
-    def __init__(self, encode_many, pattern: str, chunks: int = 300_000, pretokens: int = 500_000) -> None:
-        self._split = regex.compile(pattern).findall
-        self._pretokens = Memo(encode_many, pretokens)
-        self._chunks = Memo(self._encode_chunks, chunks)
-
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        split = [self._split(c) for c in chunks]
-        ids = iter(self._pretokens.encode([t for tokens in split for t in tokens]))
-        return [b"".join([next(ids) for _ in tokens]) for tokens in split]
+    def __init__(self, encode_many, limit: int = 700_000) -> None:
+        self._chunks = Memo(encode_many, limit)
 
     def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """The ids of each text."""

@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs as pafs
-from public_tokenizers import PATTERN
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -162,7 +161,7 @@ class ShardReader:
 
 
 class ChunkEncoder:
-    """A tokenizers-library encoder that meets each distinct pre-token once while a memo holds it.
+    """A tokenizers-library encoder that meets each distinct chunk once while a memo holds it.
 
     Tokenizers that don't cut by the byte-level pattern encode whole texts instead.
     """
@@ -177,7 +176,7 @@ class ChunkEncoder:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.texts = TextEncoder(self._encode_many, PATTERN) if plain and not spec.get("normalizer") else None
+        self.texts = TextEncoder(self._encode_many) if plain and not spec.get("normalizer") else None
 
     def _encode_many(self, pieces: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
