@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from tidewater.plans import data
+from tidewater.plans import data, graph  # noqa: F401  (each module registers its queries)
 
-_PARTS = (data,)
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-for _part in _PARTS:
-    QUERIES |= _part.QUERIES
-    ORACLES |= _part.ORACLES
+
+QUERIES = data.QUERIES
+ORACLES = data.ORACLES
