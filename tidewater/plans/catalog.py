@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.operators import history, metrics, ranking
-from tidewater.plans import data, evaluation, graph  # noqa: F401  (each module registers its queries)
+from tidewater.plans import data, evaluation, graph, models  # noqa: F401  (each module registers its queries)
 
 
 
