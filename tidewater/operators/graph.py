@@ -24,16 +24,17 @@ def _past(width_us: int) -> Window:
     return Window.partitionBy("account").orderBy("t_us").rangeBetween(-width_us, -1)
 
 
-_TIES = Window.partitionBy("account", "t_us").orderBy("row_pos").rowsBetween(Window.unboundedPreceding, 0)
+def _ties() -> Window:
+    return Window.partitionBy("account", "t_us").orderBy("row_pos").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _distinct(value: Column, width_us: int) -> Column:
-    return F.size(F.array_union(F.collect_set(value).over(_past(width_us)), F.collect_set(value).over(_TIES)))
+    return F.size(F.array_union(F.collect_set(value).over(_past(width_us)), F.collect_set(value).over(_ties())))
 
 
 def _total(value: Column, width_us: int) -> Column:
     zero = F.lit(0)
-    return F.coalesce(F.sum(value).over(_past(width_us)), zero) + F.coalesce(F.sum(value).over(_TIES), zero)
+    return F.coalesce(F.sum(value).over(_past(width_us)), zero) + F.coalesce(F.sum(value).over(_ties()), zero)
 
 
 def fan_degree(df: DataFrame, width_us: int = DAY_US) -> DataFrame:
