@@ -71,7 +71,7 @@ def parse_patterns(spark: SparkSession, path: str, amount_side: str = "paid") ->
 
     An annotation file is one small text (one window over its lines), unlike the corpus it annotates.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("no", "line")).filter("trim(line) <> ''")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("no", "line")).filter("trim(line) <> ''")
     w = Window.orderBy("no")
     begin, end = F.col("line").rlike(_BEGIN), F.col("line").rlike(_END)
     marked = lines.select(
