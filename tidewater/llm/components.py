@@ -17,7 +17,7 @@ def connected(edges: DataFrame, label: str = "components") -> DataFrame:
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     current = cut(edges.select("a", "b").filter("a <> b").distinct(), label)
     before = None
-    while True:
+    while not current.isEmpty():
         # large star: every larger neighbour of a node points to the least of the node and its neighbours
         pairs = both(current)
         least = pairs.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
@@ -28,9 +28,10 @@ def connected(edges: DataFrame, label: str = "components") -> DataFrame:
         small = down.join(floor, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         following = cut(small.filter("a <> b").distinct(), label)
         state = following.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        current = following
         if state == before:
             break
-        before, current = state, following
-    return following.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        following.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+        before = state
+    return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

@@ -34,7 +34,7 @@ from tidewater.llm.common import cut
 from tidewater.llm.components import connected
 
 _U = np.uint64
-MAPS = 16  # longs in a parity bitmap
+MAPS = 4  # longs in a parity bitmap
 
 
 @dataclass(frozen=True)
@@ -76,8 +76,8 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def fingerprint(tokens: np.ndarray) -> str:
-    return blake2b(tokens.tobytes(), digest_size=16).hexdigest()
+def fingerprint(tokens: np.ndarray) -> bytes:
+    return blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
 # --- the order of tokens ------------------------------------------------------------------------
@@ -182,17 +182,17 @@ def parity_map(tokens: np.ndarray) -> np.ndarray:
 
 
 _SIGNED = ", ".join(f"m{i} long" for i in range(MAPS))
-_SET_SCHEMA = f"doc_id long, print long, n_shingles long, class string, keys array<long>, places array<int>, {_SIGNED}"
+_SET_SCHEMA = f"doc_id long, print long, n_shingles long, class binary, keys array<long>, places array<int>, {_SIGNED}"
 
 
 def describe(docs: DataFrame, spec: JoinSpec, levels: np.ndarray) -> DataFrame:
     """One row a document: set size, class (fingerprint of the set), and, for the first of a class in a task, its keys."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     names = ["doc_id", "print", "n_shingles", "class", "keys", "places", *(f"m{i}" for i in range(MAPS))]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.int64()] * MAPS]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.int64()] * MAPS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
+        seen: set[bytes] = set()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
@@ -227,7 +227,7 @@ def _tokens(docs: DataFrame, spec: JoinSpec) -> DataFrame:
                 sets = [shingle_set(t, spec.width).view(np.int64) for t in batch.column("__text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sets, pa.list_(pa.int64()))], names=["class", "tokens"])
 
-    return docs.select("class", "__text").mapInArrow(run, "class string, tokens array<long>")
+    return docs.select("class", "__text").mapInArrow(run, "class binary, tokens array<long>")
 
 
 def live_keys(described: DataFrame) -> DataFrame:
@@ -280,8 +280,8 @@ def _slot(keys: np.ndarray) -> np.ndarray:
 
 
 def live_index(described: DataFrame, live: np.ndarray) -> DataFrame:
-    """`(class, key, place)` of the keys that pass the live filter."""
-    shared = described.sparkSession.sparkContext.broadcast(live)
+    """`(class, key, place)` and the set's facts, for the keys that pass the live filter."""
+    shared, maps = described.sparkSession.sparkContext.broadcast(live), [f"m{i}" for i in range(MAPS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -292,13 +292,12 @@ def live_index(described: DataFrame, live: np.ndarray) -> DataFrame:
             keep = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
             sizes = np.diff(lists.offsets.to_numpy())
             owner = np.repeat(np.arange(batch.num_rows), sizes)[keep]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("class").take(pa.array(owner)), pa.array(keys[keep], pa.int64()),
-                 pa.array(places.flatten().to_numpy(zero_copy_only=False)[keep], pa.int32())], names=["class", "key", "place"],
-            )
+            facts = batch.select(["class", "n_shingles", *maps]).take(pa.array(owner))
+            columns = [pa.array(keys[keep], pa.int64()), pa.array(places.flatten().to_numpy(zero_copy_only=False)[keep], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, *facts.columns], names=["key", "place", *facts.schema.names])
 
-    rows = described.filter("keys IS NOT NULL").select("class", "keys", "places")
-    return rows.mapInArrow(run, "class string, key long, place int")
+    rows = described.filter("keys IS NOT NULL").select("class", "keys", "places", "n_shingles", *maps)
+    return rows.mapInArrow(run, f"key long, place int, class binary, n_shingles long, {_SIGNED}")
 
 
 # --- verification and rounds -----------------------------------------------------------------------
@@ -348,29 +347,27 @@ def components(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "doc
     classes = described.filter("class IS NOT NULL").groupBy("class").agg(
         F.min(F.struct("doc_id", "print")).alias("sample"), F.min("doc_id").alias("least")
     )
-    maps = [f"m{i}" for i in range(MAPS)]
-    found = live_index(described, live_filter(live_keys(described)))
-    index = cut(found.groupBy("key", "class").agg(F.min("place").alias("place")), "jaccard-index")
-    # buckets of two classes or more, each with two probes drawn by hash
-    draw = F.xxhash64("class", "key")
-    buckets = index.groupBy("key").agg(
-        F.count("*").alias("members"), F.min_by("class", draw).alias("p1"), F.max_by("class", draw).alias("p2")
-    ).filter("members > 1")
-    live = index.join(buckets, "key")
-    facts = described.filter("keys IS NOT NULL").dropDuplicates(["class"]).select("class", "n_shingles", *maps)
-    live = cut(live.join(facts, "class"), "jaccard-live")
-    probes = live.select("key", F.explode(F.array_distinct(F.array("p1", "p2"))).alias("p"), "class", "place", "n_shingles", *maps)
-    hubs = live.filter("class IN (p1, p2)").select("key", "class", "place", "n_shingles", *maps)
+    facts = ["key", "class", "place", "n_shingles", *(f"m{i}" for i in range(MAPS))]
+    index = live_index(described, live_filter(live_keys(described)))
+    # buckets of two classes or more, each with two hubs drawn by hash
+    draw = F.struct(F.xxhash64("class", "key").alias("d"), F.col("class").alias("c"))
+    buckets = index.groupBy("key").agg(F.count("*").alias("members"), F.min(draw)["c"].alias("p"), F.max(draw)["c"].alias("q"))
+    live = cut(index.join(buckets.filter("p <> q"), "key"), "jaccard-live")
+    # every member is compared with both hubs, and the hubs with each other, once
+    hub = F.when(F.col("class") == F.col("p"), F.array("q")).when(F.col("class") != F.col("q"), F.array("p", "q")).otherwise(F.array().cast("array<binary>"))
+    probes = live.select(*facts, F.explode(hub).alias("hub"))
+    hubs = live.filter("class = q OR (class = p AND members > 2)").select(*facts)
     first = (
         probes.alias("l")
-        .join(hubs.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.p") == F.col("r.class"))
-              & (F.col("l.class") != F.col("r.class")) & _may_link(spec))
+        .join(hubs.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.hub") == F.col("r.class")) & _may_link(spec))
         .select(F.least("l.class", "r.class").alias("a"), F.greatest("l.class", "r.class").alias("b"))
-    )
+    )
     links = cut(_verify(first, docs, classes, spec, "jaccard-probe"), "jaccard-links")
     roots = connected(links, "jaccard-roots")
-    # exact remainder: members outside a bucket's largest component against members of other components
-    marked = live.drop("p1", "p2", "members").join(roots.withColumnRenamed("node", "class"), "class", "left")
+    # exact remainder: members outside a bucket's largest component against members of other components;
+    # a bucket of three rows or fewer has no pair without a hub
+    rest_rows = live.filter("members > 3").select(*facts)
+    marked = rest_rows.join(roots.withColumnRenamed("node", "class"), "class", "left")
     marked = cut(marked.withColumn("root", F.coalesce("root", "class")), "jaccard-marked")
     shares = marked.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
@@ -381,8 +378,10 @@ def components(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "doc
               & ((F.col("r.root") == F.col("r.main")) | (F.col("l.class") < F.col("r.class"))) & _may_link(spec))
         .select(F.least("l.class", "r.class").alias("a"), F.greatest("l.class", "r.class").alias("b"))
     )
-    rest = _verify(second, docs, classes, spec, "jaccard-rest")
-    joined = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest), "jaccard-final")
+    rest = cut(_verify(second, docs, classes, spec, "jaccard-rest"), "jaccard-late")
+    joined = roots
+    if not rest.isEmpty():
+        joined = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest), "jaccard-final")
     named = classes.select("class", "least").join(joined.withColumnRenamed("node", "class"), "class", "left")
     named = named.withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -397,7 +396,7 @@ def components(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "doc
 def keep_one(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component: the least id, then the least text hash; its row unchanged."""
     found = components(docs, spec, id_col, text_col)
-    group = F.coalesce("component_id", F.lit(-1)), F.coalesce("class", F.concat(F.lit("own-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("print")))
+    group = F.coalesce("component_id", F.lit(-1)), F.coalesce(F.hex("class"), F.concat_ws("-", F.lit("own"), F.col("doc_id"), F.col("print")))
     component = F.when(F.col("class").isNull() | F.col("component_id").isNull(), group[1]).otherwise(group[0].cast("string"))
     chosen = found.groupBy(component.alias("__c")).agg(F.min(F.struct("doc_id", "print")).alias("s")).select(F.col("s.doc_id").alias("__kid"), F.col("s.print").alias("__kprint"))
     own = docs.select(
