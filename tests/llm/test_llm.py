@@ -261,6 +261,22 @@ def test_extraction_by_wrapper(spark):
     assert html_wrapper.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_only_template_is_dropped(spark):
+    """Blocks of one page, and paragraphs that share a path with a constant one, stay; constant blocks go."""
+    page = lambda k, parts: (k, "http://a.example/%d" % k, f"<body><div id='top'>Acme</div><div id='c'><h2>T{k}</h2><div>Written by staff</div>{parts}</div></body>")
+    rows = [
+        page(0, "<p>One a.</p><blockquote>Quoted once.</blockquote><p>One b.</p>"),
+        page(1, "<p>Two a.</p><ul><li>item</li></ul><p>Two b.</p>"),
+        page(2, "<p>Three a.</p><p>Three b.</p><ul><li>x</li><li>y</li></ul><p>Three c.</p>"),
+        page(3, "<p>Four a.</p><table><tr><td>cell</td></tr></table>"),
+        page(4, "<p>Five a.</p><p>Five b.</p>"),
+    ]
+    want = ["T0 One a. Quoted once. One b.", "T1 Two a. item Two b.", "T2 Three a. Three b. x y Three c.", "T3 Four a. cell", "T4 Five a. Five b."]
+    same = [(k, "http://same.example/%d" % k, "<body><div id='c'>Head <p>tail</p></div></body>") for k in (10, 11, 12)]
+    got = {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(rows + same, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(5)] == want and all(got[k] == "Head tail" for k in (10, 11, 12)), got
+
+
 def test_wrapper_expression():
     pages = ["<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>c</li></ul><div>n</div><p>y</p>"]
     w = html_wrapper.merge(*[html_wrapper.skeleton(html_wrapper.parse(p)) for p in pages])

@@ -7,8 +7,8 @@ differ become slots. The result is a wrapper, a regular expression without union
 that different tasks inferred are aligned in the same way, so every page takes part and a large host is
 spread over all tasks.
 
-From a host's wrapper comes its rule: the path of the main slot-bearing subtree and the paths below it that are
-constant on all pages. Pages are then read again and their text is taken by that rule; names that say menu,
+From a host's wrapper comes its rule: the path of the main slot-bearing subtree and the paths below it whose
+every element is on all pages, once with the same text or mostly links. Pages are then read again and their text is taken by that rule; names that say menu,
 advert, comment and so on are left out everywhere.
 
 Defined results: null or empty html gives an empty text; a page of a host alone is read by names and text
@@ -225,8 +225,36 @@ def _mass(w: list) -> tuple[int, int]:
     return total, linked
 
 
+def template_paths(wrapper: list, main: tuple[str, ...]) -> list[str]:
+    """Paths below `main` whose every node is template: on all pages, and either constant there or mostly links.
+
+    Constant: in the wrapper neither optional nor repeated, with one text on all pages, down to the leaves. Pages are
+    read by path, so one node at a path that is not template keeps the path. A main subtree that is constant as a
+    whole shows no slot to tell template from text by, and loses nothing.
+    """
+    template: dict[tuple[str, ...], bool] = {}
+    steady: dict[tuple[str, ...], bool] = {}
+
+    def walk(w: list, at: tuple[str, ...], again: bool) -> bool:
+        again = again or w[REPEATED]
+        group = w[SYMBOL][0] == "("
+        everywhere = w[PAGES] == wrapper[PAGES] and not w[OPTIONAL]
+        inner = [walk(c, at if c[SYMBOL][0] == "(" else (*at, c[SYMBOL]), again) for c in w[CHILDREN]]
+        constant = everywhere and not again and w[TEXT] != SLOT and all(inner)
+        if not group:
+            total, linked = _mass(w)
+            template[at] = template.get(at, True) and bool(total) and everywhere and (constant or linked > 0.8 * total)
+            steady[at] = steady.get(at, True) and constant
+        return constant
+
+    walk(wrapper, (wrapper[SYMBOL],), False)
+    if steady[main]:
+        return []
+    return ["/".join(at) for at, is_so in template.items() if is_so and len(at) > len(main) and at[: len(main)] == main]
+
+
 def rule_of(wrapper: list) -> dict:
-    """`main`: paths of the main subtrees; `drop`: constant subtrees of a wrapper of three pages or more."""
+    """`main`: paths of the main subtrees; `drop`: template paths of a wrapper of three pages or more."""
     main: list[str] = []
 
     def seek(w: list, path: tuple[str, ...]) -> None:
@@ -254,17 +282,8 @@ def rule_of(wrapper: list) -> dict:
             node = max(inner, key=lambda c: (bool(MAIN_WORDS.search(c[SYMBOL])), _mass(c)[0]))
             path = (*path, node[SYMBOL])
         main = ["/".join(path)]
-
-        def constants(w: list, at: tuple[str, ...]) -> bool:
-            fixed = w[TEXT] is None or (w[TEXT] != SLOT and not w[REPEATED])
-            inner = [constants(c, at if c[SYMBOL][0] == "(" else (*at, c[SYMBOL])) for c in w[CHILDREN]]
-            total, linked = _mass(w)
-            if total and w is not node and ((fixed and all(inner)) or linked > 0.8 * total) and w[SYMBOL][0] != "(":
-                drop.append("/".join(at))
-            return fixed and all(inner)
-
         if wrapper[PAGES] >= 3:
-            constants(node, path)
+            drop = template_paths(wrapper, path)
     return {"main": sorted(set(main)), "drop": sorted(set(drop))}
 
 
