@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import columns as C
 from tidewater.operators import cases, contract, graph, history, metrics, model, ranking, splits
 from tidewater.operators.trace import TraceError, TraceLimits, trace
+from tidewater.plans import catalog
 from tidewater.session import global_position, global_running
 from tidewater.sources import readers, writers
 from tidewater.streaming import history as streaming
@@ -311,6 +313,28 @@ def test_stream_equals_batch(spark, tmp_path):
             want[k].bh_src_out_n_1h, want[k].bh_src_out_n_24h, want[k].bh_src_out_cents_24h, want[k].bh_src_secs_since_out)
 
 
+def events(spark, path, rows):
+    """An events table of (sender, receiver, minute, value) in a folder of its own."""
+    data = [(i, BASE + int(m * MIN), s, "view", float(v), '{"k": %d}' % d) for i, (s, d, m, v) in enumerate(rows)]
+    e = spark.createDataFrame(data, "event_id long, us long, user_id long, event_type string, value double, props string")
+    e.withColumn("ts", F.timestamp_micros("us")).drop("us").write.mode("overwrite").parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_drift_reads_the_whole_table(spark, tmp_path):
+    """The reference is all of the first 70 percent: rows from 5,000 on count, and so do odd ones."""
+    values = [1 + (i * 7919) % 1000 if i < 5000 else 5000 + (i * 104729) % 3000 for i in range(10_000)]
+    at = events(spark, tmp_path, [(1, 2, i, v) for i, v in enumerate(values)])
+    ref, cur = values[:7000], [v * 1.2 for v in values[8500:]]
+    ks = max(abs(sum(r <= v for r in ref) / len(ref) - sum(c <= v for c in cur) / len(cur)) for v in sorted(set(cur))[::50] + [7999])
+    got = catalog.QUERIES["k11_ks"](spark, at).first().ks
+    assert ks - 1e-6 <= got <= ks + 0.05 and got < 0.95
+    edges = sorted({float(x) for x in np.quantile(ref, [i / 10 for i in range(1, 10)])})
+    share = lambda vs: np.maximum(np.bincount(np.searchsorted(edges, vs, side="right"), minlength=len(edges) + 1) / len(vs), 1e-6)
+    p, q = share(ref), share(cur)
+    assert abs(catalog.QUERIES["k10_psi"](spark, at).first().psi - float(((q - p) * np.log(q / p)).sum())) < 1e-5
+
+
 def test_entry_and_catalogue(spark):
     import __spark_entry__ as entry
 

@@ -212,7 +212,9 @@ _HALVES = "ref AS (SELECT amount AS v FROM tx WHERE row_pos % 2 = 0 AND row_pos
 
 
 def _halves(tx):
-    return tx.filter("row_pos % 2 = 0 AND row_pos < 5000").select("amount"), tx.filter("row_pos % 2 = 1").select((F.col("amount") * 1.2).alias("amount"))
+    """The train part as reference, the test part (shifted) as current. The SQL above still takes row prefixes."""
+    split = splits.chronological_split(tx)
+    return split.filter("split = 'train'").select("amount"), split.filter("split = 'test'").select((F.col("amount") * 1.2).alias("amount"))
 
 
 @query("k10_psi", f"""WITH {EV}, {_HALVES}, q AS (SELECT quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM ref),
