@@ -1,5 +1,6 @@
 """Hand-built graphs and tables with known answers, causality invariants, sources and streams."""
 
+import math
 import random
 
 import numpy as np
@@ -335,6 +336,13 @@ def test_drift_reads_the_whole_table(spark, tmp_path):
     assert abs(catalog.QUERIES["k10_psi"](spark, at).first().psi - float(((q - p) * np.log(q / p)).sum())) < 1e-5
 
 
+def test_adaptive_is_fitted_on_a_share_of_all_rows(spark, tmp_path):
+    """Accounts that appear only after row 6,000, but within the first 70 percent, are known."""
+    at = events(spark, tmp_path, [(1 if i < 6200 else 50, 2 if i < 6200 else 60 + i % 3, i, 10) for i in range(10_000)])
+    got = {r.transaction_id: r for r in catalog.QUERIES["h20_adaptive"](spark, at).filter("transaction_id >= 'TX0000009990'").collect()}
+    assert len(got) == 10 and all((r.adp_source_unseen, r.adp_dest_unseen) == (0, 0) and r.adp_out_degree_log == round(math.log(4), 6) for r in got.values())
+
+
 def test_entry_and_catalogue(spark):
     import __spark_entry__ as entry
 

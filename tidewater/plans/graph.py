@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.columns import DAY_US, HOUR_US
-from tidewater.operators import graph
+from tidewater.operators import graph, splits
 from tidewater.operators.trace import TraceLimits, trace
 from tidewater.plans.data import query
 from tidewater.sources import views
@@ -239,5 +239,6 @@ SELECT transaction_id, round(ln(1 + od), 6) AS adp_out_degree_log, round(ln(1 +
   round(ln(1 + CASE WHEN od > 0 THEN amount / od ELSE amount END), 6) AS adp_amount_per_counterparty,
   CASE WHEN a IS NULL THEN 1 ELSE 0 END AS adp_source_unseen, CASE WHEN b IS NULL THEN 1 ELSE 0 END AS adp_dest_unseen FROM k""")
 def _(tx):
-    a = graph.adaptive(tx.filter(_TRAIN), tx)
+    train = splits.chronological_split(tx).filter("split = 'train'")  # the SQL above still takes a row prefix
+    a = graph.adaptive(train.drop("split"), tx)
     return a.withColumns({c: F.round(c, 6) for c in a.columns if c != "transaction_id" and "unseen" not in c})
