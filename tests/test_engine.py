@@ -88,6 +88,37 @@ def test_cycles(spark):
     assert [tuple(r) for r in graph.cycles(tx, ordered=False).collect()] == [(2, 3, 1)]
 
 
+def brute_cycles(rows, ordered, longest):
+    """Simple cycles by depth-first search back from each closing edge; rows of (src, dst, minute)."""
+    found = {}
+
+    def back(c, head, last, seen, length):
+        if longest and length > longest:
+            return
+        for i, (s, d, m) in enumerate(rows):
+            before = m < last if ordered else (m, i) < (rows[c][2], c)
+            if s != d and d == head and before and m >= rows[c][2] - 1440:
+                if s == rows[c][1]:
+                    found[c, length] = found.get((c, length), 0) + 1
+                elif s not in seen:
+                    back(c, s, m, seen | {s}, length + 1)
+
+    for c, (s, d, m) in enumerate(rows):
+        if s != d:
+            back(c, s, m, {s, d}, 2)
+    return found
+
+
+@pytest.mark.parametrize(("name", "ordered", "longest"), [("h5_temporal_cycle", True, None), ("h6_lc_cycle", False, 10)])
+def test_long_cycles_match_brute_force(spark, tmp_path, name, ordered, longest):
+    rng = random.Random(5)
+    ring = [(k, k % 12 + 1, 100 * k) for k in range(1, 13)] + [(20 + k, 20 + (k + 1) % 6, 230 * k) for k in range(6)]
+    rows = sorted(ring + [(rng.randrange(40, 47), rng.randrange(40, 47), 60 * i + 5) for i in range(36)] + [(99, 1, 1200)], key=lambda r: r[2])
+    got = {(r.row_pos, r.length): r.n for r in catalog.QUERIES[name](spark, events(spark, tmp_path, [(*r, 10) for r in rows])).collect()}
+    want = brute_cycles(rows, ordered, longest)
+    assert got == want and max(n for _, n in want) >= (12 if ordered else 6)
+
+
 def test_scatter_gather(spark):
     tx = frame(spark, [("U", "M1", 0), ("U", "M2", 1), ("U", "M3", 2), ("M1", "W", 5), ("M2", "W", 6), ("M3", "W", 7)])
     assert sorted(tuple(r) for r in graph.scatter_gather(tx).collect()) == [(4, 2, 1), (5, 3, 1)]

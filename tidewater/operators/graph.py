@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.columns import DAY_US, HOUR_US
 from tidewater.operators.history import account_events
+from tidewater.session import cut
 
 
 def edges(df: DataFrame) -> DataFrame:
@@ -119,32 +120,41 @@ def _probe(frontier: DataFrame, width_us: int) -> DataFrame:
     return frontier.withColumn("bucket", F.explode(F.array(b - 1, b)))
 
 
-def cycles(df: DataFrame, width_us: int = DAY_US, longest: int = 4, ordered: bool = True) -> DataFrame:
+def cycles(df: DataFrame, width_us: int = DAY_US, longest: int | None = 4, ordered: bool = True) -> DataFrame:
     """(row_pos, length, n): simple cycles that each edge closes, over edges of the window before it.
 
     `ordered`: times rise strictly along the cycle and the closing edge is last; otherwise any earlier edges
     (in replay order) count. Paths grow backwards from the closing edge's sender and die at the window's edge.
+    `longest` None goes on until no path is left. Each length's paths are written to the shared folder, so that
+    the next starts from files. Edges out of accounts that receive nothing are left out first, as no cycle has one.
     """
     e = edges(df)
+    e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
     hop = _bucketed(e, width_us).select(
         F.col("src").alias("h_src"), F.col("dst").alias("h_dst"), F.col("t_us").alias("h_t"), F.col("row_pos").alias("h_pos"), F.col("bucket").alias("h_bucket")
     )
     path = e.select("row_pos", "t_us", F.col("dst").alias("goal"), F.col("src").alias("head"), F.col("t_us").alias("limit_t"), F.array("src", "dst").alias("seen"))
-    found = None
-    for length in range(2, longest + 1):
+    found, length = None, 2
+    while True:
         if ordered:
             when = (F.col("h_t") < F.col("limit_t")) & (F.col("h_t") >= F.col("t_us") - width_us)
         else:
             earlier = (F.col("h_t") < F.col("t_us")) | ((F.col("h_t") == F.col("t_us")) & (F.col("h_pos") < F.col("row_pos")))
             when = earlier & (F.col("h_t") >= F.col("t_us") - width_us)
         step = _probe(path, width_us).join(hop, (F.col("head") == F.col("h_dst")) & (F.col("bucket") == F.col("h_bucket")) & when)
+        step = step.filter("h_src = goal OR NOT array_contains(seen, h_src)")
+        if length != longest:
+            step = cut(step.select("row_pos", "t_us", "goal", "seen", "h_src", "h_t"), "cycle-paths")
         closed = step.filter("h_src = goal").groupBy("row_pos").agg(F.count("*").alias("n")).select("row_pos", F.lit(length).alias("length"), "n")
         found = closed if found is None else found.unionByName(closed)
-        if length < longest:
-            path = step.filter("h_src <> goal AND NOT array_contains(seen, h_src)").select(
-                "row_pos", "t_us", "goal", F.col("h_src").alias("head"), F.col("h_t").alias("limit_t"), F.concat("seen", F.array("h_src")).alias("seen")
-            )
-    return found
+        if length == longest:
+            return found
+        path = step.filter("h_src <> goal").select(
+            "row_pos", "t_us", "goal", F.col("h_src").alias("head"), F.col("h_t").alias("limit_t"), F.concat("seen", F.array("h_src")).alias("seen")
+        )
+        if path.isEmpty():
+            return found
+        length += 1
 
 
 def scatter_gather(df: DataFrame, width_us: int = 6 * HOUR_US) -> DataFrame:
