@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import columns as C
 from tidewater.operators import cases, contract, graph, history, metrics, model, ranking, splits
 from tidewater.operators.trace import TraceError, TraceLimits, trace
-from tidewater.plans import catalog
+from tidewater.plans import catalog, models
 from tidewater.session import global_position, global_running
 from tidewater.sources import readers, writers
 from tidewater.streaming import history as streaming
@@ -374,6 +374,17 @@ def test_adaptive_is_fitted_on_a_share_of_all_rows(spark, tmp_path):
     assert len(got) == 10 and all((r.adp_source_unseen, r.adp_dest_unseen) == (0, 0) and r.adp_out_degree_log == round(math.log(4), 6) for r in got.values())
 
 
+def test_case_documents_have_the_whole_trace(spark, tmp_path):
+    """Cases start at the alert and keep 16 edges a vertex, the third hop, and hops more than a day apart."""
+    hub = [(1, 2, 0, 10)] + [(1, 10 + i, 60 + i, 100_000 if i == 0 else 10) for i in range(12)]
+    far = [(10, 30, 3000, 10), (30, 31, 6000, 10), (31, 32, 9000, 10)]
+    at = events(spark, tmp_path, hub + far)
+    tx = catalog.data.views.tx_events(spark, at)
+    d = next(r for r in models.documents(tx).collect() if r.seed == "A1")
+    assert {(p["from"], p["to"], p["depth"]) for p in d.path} == {("A1", f"A{10 + i}", 1) for i in range(12)} | {("A10", "A30", 2), ("A30", "A31", 3)}
+    assert catalog.QUERIES["j15_bundle_consistency"](spark, at).count() == 0
+
+
 def test_entry_and_catalogue(spark):
     import __spark_entry__ as entry
 

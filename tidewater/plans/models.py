@@ -41,9 +41,10 @@ def _(tx):
 
 def documents(tx: DataFrame) -> DataFrame:
     scored = with_score(tx)
-    best = scored.groupBy("source_account").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "source_account").limit(10)
-    seeds = best.select(F.col("source_account").alias("seed"), F.lit(None).cast("long").alias("at_us"))
-    t = trace(tx, seeds, "forward", 2, TraceLimits(8, 100, C.DAY_US))
+    alert = F.struct("score", -F.col("row_pos"))  # an account's case starts at its best transfer, the first of equals
+    best = scored.groupBy("source_account").agg(F.max("score").alias("score"), F.max_by("t_us", alert).alias("at_us")).orderBy(F.desc("score"), "source_account").limit(10)
+    seeds = best.select(F.col("source_account").alias("seed"), "at_us")
+    t = trace(tx, seeds, "forward", 3, TraceLimits(16, 200))
     return cases.build(t, tx.select("row_pos", "transaction_id", "payment_type"), best.select(F.col("source_account").alias("seed"), "score", F.lit(0).alias("rank")))
 
 
