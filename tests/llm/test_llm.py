@@ -277,6 +277,18 @@ def test_only_template_is_dropped(spark):
     assert [got[k] for k in range(5)] == want and all(got[k] == "Head tail" for k in (10, 11, 12)), got
 
 
+def test_constants_inside_an_article_are_dropped(spark):
+    """A notice that every page of a host has goes, one that a page lacks stays, as do lists of links."""
+    def page(k, notice="<div>Support our work</div>"):
+        text = f"<article class='w-1/2'><h1>T{k}</h1>{notice}<p>Text {k}.</p><ul><li><a href='/{k}'>source {k}</a></li></ul></article>"
+        return k, "http://%s.example/%d" % ("a" if k < 10 else "b", k), text
+
+    rows = [page(k) for k in range(4)] + [page(k) for k in range(10, 13)] + [page(13, "")]
+    got = {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"T{k} Text {k}. source {k}" for k in (0, 1, 2, 3, 13)), got
+    assert all(got[k] == f"T{k} Support our work Text {k}. source {k}" for k in (10, 11, 12)), got
+
+
 def test_wrapper_expression():
     pages = ["<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>c</li></ul><div>n</div><p>y</p>"]
     w = html_wrapper.merge(*[html_wrapper.skeleton(html_wrapper.parse(p)) for p in pages])

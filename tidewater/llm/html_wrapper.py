@@ -225,32 +225,37 @@ def _mass(w: list) -> tuple[int, int]:
     return total, linked
 
 
-def template_paths(wrapper: list, main: tuple[str, ...]) -> list[str]:
-    """Paths below `main` whose every node is template: on all pages, and either constant there or mostly links.
+def template_paths(wrapper: list, main: list[str], links: bool) -> list[str]:
+    """Paths below `main` whose every node is template: on all pages, and either constant there or (with `links`) mostly links.
 
     Constant: in the wrapper neither optional nor repeated, with one text on all pages, down to the leaves. Pages are
     read by path, so one node at a path that is not template keeps the path. A main subtree that is constant as a
     whole shows no slot to tell template from text by, and loses nothing.
     """
-    template: dict[tuple[str, ...], bool] = {}
-    steady: dict[tuple[str, ...], bool] = {}
+    template: dict[str, bool] = {}
+    steady: dict[str, bool] = {}
 
-    def walk(w: list, at: tuple[str, ...], again: bool) -> bool:
+    def walk(w: list, at: str, again: bool) -> bool:
         again = again or w[REPEATED]
         group = w[SYMBOL][0] == "("
         everywhere = w[PAGES] == wrapper[PAGES] and not w[OPTIONAL]
-        inner = [walk(c, at if c[SYMBOL][0] == "(" else (*at, c[SYMBOL]), again) for c in w[CHILDREN]]
+        inner = [walk(c, at if c[SYMBOL][0] == "(" else f"{at}/{c[SYMBOL]}", again) for c in w[CHILDREN]]
         constant = everywhere and not again and w[TEXT] != SLOT and all(inner)
         if not group:
             total, linked = _mass(w)
-            template[at] = template.get(at, True) and bool(total) and everywhere and (constant or linked > 0.8 * total)
+            template[at] = template.get(at, True) and bool(total) and everywhere and (constant or (links and linked > 0.8 * total))
             steady[at] = steady.get(at, True) and constant
         return constant
 
-    walk(wrapper, (wrapper[SYMBOL],), False)
-    if steady[main]:
-        return []
-    return ["/".join(at) for at, is_so in template.items() if is_so and len(at) > len(main) and at[: len(main)] == main]
+    walk(wrapper, wrapper[SYMBOL], False)
+    tops = {m for m in main if not steady[m]}
+
+    def below(at: str) -> bool:
+        while at and at not in tops:
+            at = at.rpartition("/")[0]
+        return bool(at)
+
+    return [at for at, is_so in template.items() if is_so and below(at.rpartition("/")[0])]
 
 
 def rule_of(wrapper: list) -> dict:
@@ -283,7 +288,9 @@ def rule_of(wrapper: list) -> dict:
             path = (*path, node[SYMBOL])
         main = ["/".join(path)]
         if wrapper[PAGES] >= 3:
-            drop = template_paths(wrapper, path)
+            drop = template_paths(wrapper, main, links=True)
+    elif wrapper[PAGES] >= 3:  # the page's author names the main text: only constants are left out of it
+        drop = template_paths(wrapper, main, links=False)
     return {"main": sorted(set(main)), "drop": sorted(set(drop))}
 
 
