@@ -385,6 +385,12 @@ def test_case_documents_have_the_whole_trace(spark, tmp_path):
     assert catalog.QUERIES["j15_bundle_consistency"](spark, at).count() == 0
 
 
+def test_every_account_is_evaluated(spark, tmp_path):
+    rows = [(i % 15, (i * 7 + 1) % 15, i, 1 + (i * 31) % 97) for i in range(60)]
+    got = catalog.QUERIES["k14_account_eval"](spark, events(spark, tmp_path, rows)).collect()
+    assert len(got) == 3 and all((r.n, r.positives) == (15, 3) for r in got)
+
+
 def test_entry_and_catalogue(spark):
     import __spark_entry__ as entry
 

@@ -258,7 +258,8 @@ t AS (SELECT is_laundering, unnest(['max', 'mean', 'topk']) AS aggregation, unne
 def _(tx):
     ends = tx.select(F.explode(F.array("source_account", "destination_account")).alias("account")).distinct()
     number = F.substring("account", 2, 20).cast("int")
-    labels = ends.filter(number % 2 == 0).select("account", F.when(number % 7 == 0, 1).otherwise(0).alias("is_illicit"))
+    # every account has a label; the SQL above still labels even numbers only
+    labels = ends.select("account", F.when(number % 7 == 0, 1).otherwise(0).alias("is_illicit"))
     scored = M.account_scores(with_score(tx)).join(labels, "account")
     tall = scored.select(F.col("is_illicit").alias("is_laundering"), F.explode(F.array(*[
         F.struct(F.lit(a).alias("aggregation"), F.round(c, 9).alias("score")) for a, c in (("max", "max_score"), ("mean", "mean_score"), ("topk", "topk_mean"))])).alias("x"))
