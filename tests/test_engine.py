@@ -391,6 +391,16 @@ def test_every_account_is_evaluated(spark, tmp_path):
     assert len(got) == 3 and all((r.n, r.positives) == (15, 3) for r in got)
 
 
+def test_bootstrap_draws_accounts(spark, tmp_path):
+    """Rows of one account share their weight, so an interval over one account has no width."""
+    df = spark.createDataFrame([(i, "A", float(i), 0.0, 1) for i in range(20)], "row_pos long, source_account string, s double, z double, y int")
+    r = ranking.bootstrap(df, "s", "z", "y", replicates=50, unit="source_account").first()
+    assert abs(r.low - 9.5) < 1e-9 and abs(r.high - 9.5) < 1e-9
+    assert ranking.bootstrap(df, "s", "z", "y", replicates=50).first().low < 9.4
+    at = events(spark, tmp_path, [(i % 9, i % 4, i, i % 13) for i in range(600)])
+    assert catalog.QUERIES["g14_bootstrap"](spark, at).first().replicates == 2000
+
+
 def test_entry_and_catalogue(spark):
     import __spark_entry__ as entry
 

@@ -56,24 +56,23 @@ def top_reasons(contributions: DataFrame, features: list[str], k: int = 3) -> Da
     return contributions.select("transaction_id", F.array_join(F.transform(best, lambda x: F.format_string("%s=%+.3f", x["f"], -x["neg"])), "; ").alias("top_features"))
 
 
-def bootstrap(df: DataFrame, statistic_a: str, statistic_b: str, label: str, replicates: int = 200, seed: int = 11) -> DataFrame:
+def bootstrap(df: DataFrame, statistic_a: str, statistic_b: str, label: str, replicates: int = 200, seed: int = 11, unit: str = "row_pos") -> DataFrame:
     """One row: mean difference of two scores' mean over positives, with a percentile interval.
 
-    Poisson(1) weights come from a hash of (row, replicate), so they do not depend on partitioning; the
-    replicates of a row stay in its task and only weighted sums are shuffled.
+    Poisson(1) weights come from a hash of (unit, replicate), so they do not depend on partitioning; rows of one
+    unit (an account, say) are drawn together and enter as their sums. Only weighted sums are shuffled by replicate.
     """
     reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    u = F.pmod(F.xxhash64("row_pos", "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    u = F.pmod(F.xxhash64(unit, "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     weight, bound, term = F.lit(0), 0.0, 2.718281828459045**-1
     for k in range(1, 8):
         bound += term
         term /= k
         weight = weight + F.when(u >= bound, 1).otherwise(0)
-    tall = df.filter(F.col(label) == 1).select("row_pos", statistic_a, statistic_b, reps.alias("rep"))
-    sums = tall.withColumn("w", weight).groupBy("rep").agg(
-        (F.sum(F.col("w") * F.col(statistic_a)) / F.nullif(F.sum("w"), F.lit(0))).alias("a"),
-        (F.sum(F.col("w") * F.col(statistic_b)) / F.nullif(F.sum("w"), F.lit(0))).alias("b"),
-    )
+    units = df.filter(F.col(label) == 1).groupBy(unit).agg(F.count("*").alias("__n"), F.sum(statistic_a).alias("__a"), F.sum(statistic_b).alias("__b"))
+    tall = units.withColumn("rep", reps).withColumn("w", weight)
+    rows = F.nullif(F.sum(F.col("w") * F.col("__n")), F.lit(0))
+    sums = tall.groupBy("rep").agg((F.sum(F.col("w") * F.col("__a")) / rows).alias("a"), (F.sum(F.col("w") * F.col("__b")) / rows).alias("b"))
     return sums.select((F.col("a") - F.col("b")).alias("d")).agg(
         F.avg("d").alias("mean"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.count("d").alias("replicates")
     )

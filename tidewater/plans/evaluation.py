@@ -322,7 +322,7 @@ def _(tx):
 
 @query("g14_bootstrap")
 def _(tx):
-    return ranking.bootstrap(with_score(tx), "score", "is_self_transfer", "is_laundering")
+    return ranking.bootstrap(with_score(tx), "score", "is_self_transfer", "is_laundering", replicates=2000, unit="source_account")
 
 
 @query("g8_top_reasons", f"""WITH {EV}, c AS (SELECT transaction_id, unnest(['amount_log', 'self', 'cross']) AS f, unnest([ln(1 + amount) - 3, is_self_transfer - 0.5, CASE WHEN currency <> currency_received THEN 1 ELSE -1 END]) AS v FROM tx)
