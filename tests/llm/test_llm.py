@@ -16,8 +16,9 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tidewater.llm import bpe_pieces, chat_format, decontamination, html_wrapper, jaccard_join, quality_rules  # noqa: E402
 from tidewater.llm import queries as llm_queries  # noqa: E402
 from tidewater.llm import secret_scan, subword_classifier, token_planes, toxicity  # noqa: E402
-from tidewater.llm.common import shared_dir  # noqa: E402
-from tidewater.llm.pieces import spaced_chunks  # noqa: E402
+from tidewater.llm.common import shared_dir, sliced  # noqa: E402
+from tidewater.llm.labelled import training_rows  # noqa: E402
+from tidewater.llm.pieces import TextEncoder, spaced_chunks  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -210,6 +211,8 @@ def test_jaccard_keeps_one_of_odd_rows(spark):
     texts = [r.text for r in kept.collect()]
     assert sum((t or "").startswith("token") for t in texts) == 1
     assert len(texts) == df.count() - 2
+    blank = spark.createDataFrame([(1, None), (1, ""), (1, ""), (2, " ")], "doc_id long, text string")
+    assert sorted(map(str, (r.text for r in jaccard_join.keep_one(blank, jaccard_join.JoinSpec(sketch_bits=16)).collect()))) == ["", " ", "None"]
 
 
 # --- 5 toxicity, 9 quality: held-out accuracy, and caution ------------------------------------------------------
@@ -217,10 +220,52 @@ def test_jaccard_keeps_one_of_odd_rows(spark):
 
 def test_folding_and_exceptions():
     lexicon = toxicity.Lexicon(dict.fromkeys(toxicity.SEEDS, 3.0), frozenset(toxicity.EXCEPTIONS))
-    for t in ("IDIOT", "1d10t", "idiоt", "ＩＤＩＯＴ", "m0r0n", "$tupid", "ídiot"):
-        assert lexicon.amount(toxicity.fold(t)) > 0, t
-    for t in ("trash can", "a clown fish", "fidiot", "", None, "the 1 0 5"):
+    for t in ("IDIOT", "1d10t", "idiоt", "ＩＤＩＯＴ", "m0r0n", "$tupid", "i\u0301diot", "wow!stupid", "id!ot", "stupid!", "m0r0n5"):
+        assert lexicon.amount(toxicity.fold(t)) == 3, t
+    for t in ("trash can", "a clown fish", "pond scum", "Pond-SCUM!", "fidiot", "", None, "the 1 0 5", "455 10415", "!!! 5@5"):
         assert lexicon.amount(toxicity.fold(t)) == 0, t
+    assert lexicon.amount(toxicity.fold("pond scum and scum")) == 3
+    assert toxicity.fold("455 10415 wow!stupid") == " 455 10415 wowistupid wow stupid "
+
+
+def test_automaton_matches_a_naive_matcher():
+    rng, words = random.Random(3), ["scum", "scummy", "pond", "trash", "can", "x", "sc", "tr", "ass ", "ass", "assess"]
+    for _ in range(300):
+        entries = {w: float(rng.randint(1, 5)) for w in rng.sample(words, 5)}
+        exceptions = {" ".join(w.strip() for w in rng.sample(words, rng.choice([1, 2]))) for _ in range(2)}
+        folded = toxicity.fold(" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))))
+        at_word = [i + 1 for i, c in enumerate(folded) if c == " "]
+        spared = [(i - 1, i + len(e)) for i in at_word for e in exceptions if folded.startswith(e, i)]
+        want = 0.0
+        for i in at_word:
+            n, weight = max(((len(e), w) for e, w in entries.items() if folded.startswith(e, i)), default=(0, 0.0))
+            if n and not any(x <= i - 1 and i + n <= y for x, y in spared):
+                want += weight
+        assert toxicity.Lexicon(entries, frozenset(exceptions)).amount(folded) == want, (entries, exceptions, folded)
+
+
+def test_learning_keeps_long_and_short_words():
+    toxic = [("some grobnoxiouslyterrible thing", 1), ("zap you now", 1)] * 5
+    lexicon = toxicity.learn([*toxic, *[("a clean text of many words", 0), ("zapper zapping here", 0)] * 40])
+    assert lexicon.amount(toxicity.fold("grobnoxiouslyterrible")) > 0 and lexicon.amount(toxicity.fold("zap!")) > 0
+    assert lexicon.amount(toxicity.fold("a zapper, zapping")) == 0
+
+
+def test_classifier_features_and_divergence():
+    spec = subword_classifier.SubwordSpec(bits=10)
+    f, size = subword_classifier.features("aé aé b", spec), 1 << 10
+    grams = sum(max(0, 7 - n + 1) for n in spec.grams)  # code points, not bytes
+    assert [int(((f // size) == k).sum()) for k in range(3)] == [3, 2, grams]
+    assert f[0] == f[1] != f[2]
+    wild = subword_classifier.train([("good words here", 1), ("bad", 0)] * 20, subword_classifier.SubwordSpec(bits=8, rate=1e20))
+    assert all(0 <= wild.score(t) <= 1 for t in ("good", "", None, "bad bad"))
+
+
+def test_the_training_sample_is_the_same_on_every_run(spark):
+    docs = spark.createDataFrame([(i % 20, f"text {i}") for i in range(100)] + [(None, "n"), (3, None)], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(None, 1), (21, None)], "doc_id long, toxic int")
+    got = [training_rows(d, labels, "toxic", 9) for d in (docs, docs.repartition(3), docs.coalesce(1))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 9
 
 
 @pytest.mark.parametrize(("name", "label", "least"), [("op5_toxicity", "toxic", 0.9), ("op9_quality_classifier", "quality", 0.9)])
@@ -295,6 +340,60 @@ def test_wrapper_expression():
     assert html_wrapper.as_expression(w) == "<html><ul><li>#</>+</> <div>=</>? <p>#</></>"
 
 
+def test_slots_decide_before_names(spark):
+    """An article with the same words on every page is template; the body is where the pages differ."""
+    page = lambda k: (k, f"http://a.example/{k}", f"<article><p>Same notice on every page.</p></article><div id='x'><p>Real text number {k}, quite long.</p></div>")
+    got = html_wrapper.extract(spark.createDataFrame([page(k) for k in range(4)], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"Real text number {k}, quite long." for k in range(4)}
+    alone = html_wrapper.main_text(page(0)[2], None)
+    assert alone != "Real text number 0, quite long."  # without the host's wrapper the page reads otherwise
+
+
+def _all_text(e):
+    return [x for p in e.parts for x in ([p] if isinstance(p, str) else [" ", *_all_text(p), " "])]
+
+
+def test_pages_nested_to_any_depth_and_other_columns(spark):
+    deep = lambda n: "".join(f"<div>t{k} " for k in range(n)) + "</div>" * n
+    tail = "<div>" * 300 + "one<div>two</div>three<nav>menu<div>sub</div></nav>four" + "</div>" * 300 + "five"
+    rows = [(1, "http://a.example/1", deep(5000), "x", "y"), (2, "http://b.example/2", tail, "x", "y"), (3, "http://c.example/3", "word " * 200_000, "x", "y")]
+    df = spark.createDataFrame(rows * 2, "page_id long, url string, html string, text string, host string")
+    got = collections.defaultdict(set)
+    for r in html_wrapper.extract(df).collect():
+        got[r.page_id].add(r.text)
+    (words,) = [t.split() for t in got[1]]  # the walk to the body passes the outer elements, which hold a word each
+    assert words == [f"t{k}" for k in range(5000 - len(words), 5000)] and len(words) > 4900 - html_wrapper.DEEPEST
+    assert " ".join("".join(_all_text(html_wrapper.parse(deep(5000)))).split()) == " ".join(f"t{k}" for k in range(5000))
+    assert " ".join("".join(_all_text(html_wrapper.parse(tail))).split()) == "one two three menu sub four five"
+    assert got[2] == {"one two three four"}  # the body; the menu goes, also below DEEPEST
+    assert got[3] == {("word " * 200_000).strip()}
+
+
+def test_alignment_matches_brute_force():
+    """The aligned children are a longest common subsequence, and the wrapper covers both streams it came from."""
+    import re
+
+    def lcs(a, b):
+        return 0 if not a or not b else 1 + lcs(a[1:], b[1:]) if a[0] == b[0] else max(lcs(a[1:], b), lcs(a, b[1:]))
+
+    def language(w):
+        inner = "".join(language(c) for c in w[html_wrapper.CHILDREN])
+        body = inner if w[html_wrapper.SYMBOL][0] == "(" else w[html_wrapper.SYMBOL][0] + inner
+        body = f"(?:{body})+" if w[html_wrapper.REPEATED] else body
+        return f"(?:{body})?" if w[html_wrapper.OPTIONAL] else f"(?:{body})"
+
+    rng, names = random.Random(6), {"d": "div", "u": "ul", "h": "h2"}
+    for _ in range(300):
+        a, b = ("".join(rng.choice("duh") for _ in range(rng.randint(0, 6))) for _ in range(2))
+        one, two = (html_wrapper.skeleton(html_wrapper.parse("".join(f"<{names[c]}></{names[c]}>" for c in x))) for x in (a, b))
+        x, y = one[html_wrapper.CHILDREN], two[html_wrapper.CHILDREN]
+        pairs = html_wrapper._align(x, y)
+        both = sum(i is not None and j is not None for i, j in pairs)
+        assert both == lcs([c[0] for c in x], [c[0] for c in y])
+        whole = language(html_wrapper.merge(one, two))
+        assert re.fullmatch(whole, "h" + a) and re.fullmatch(whole, "h" + b), (a, b, whole)
+
+
 # --- 7 and 10 token ids -----------------------------------------------------------------------------------------
 
 
@@ -312,19 +411,47 @@ def test_pieces_match_tiktoken():
     tiktoken = pytest.importorskip("tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     other = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    own = bpe_pieces.PieceCodec(RANKS, PATTERN)
+    own, back = bpe_pieces.PieceEncoder(ranks, PATTERN), bpe_pieces.PieceDecoder(ranks)
     texts = awkward_texts()
-    for t, ids in zip(texts, own.encode(texts), strict=True):
+    encoded = own.encode(texts)
+    for t, ids in zip(texts, encoded.to_pylist(), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == other.encode_ordinary(t)
-        assert own.decode(ids) == t.encode()
+    assert back.decode(encoded).to_pylist() == [t.encode() for t in texts]
+    assert back.decode(encoded.slice(7, 20)).to_pylist() == [t.encode() for t in texts[7:27]]
     with pytest.raises(ValueError, match="vocabulary"):
-        own.decode(np.array([60_000], "<u4").tobytes())
+        back.decode(pa.array([np.array([60_000], "<u4").tobytes()]))
+
+
+def test_the_memo_is_bounded_and_harmless():
+    calls = []
+
+    def many(chunks):
+        calls.extend(chunks)
+        return [np.frombuffer(c.encode(), np.uint8).astype("<u4").tobytes() for c in chunks]
+
+    memo = TextEncoder(many, limit=400)
+    texts = [f"the word{i} and,word{i % 7}\nend  two{i}" if i % 3 else f"the plain x{i % 50}." for i in range(600)] + ["", None, "\x01a \x01b", "\n", " "]
+    for at in range(0, len(texts), 40):
+        part = texts[at : at + 40]
+        got = [bytes(np.frombuffer(b, "<u4").astype(np.uint8)).decode() for b in memo.encode(part).to_pylist()]
+        assert got == [t or "" for t in part]
+        held = sum(len(p.encode()) for p in memo.pieces.to_pylist()) + sum(map(len, memo.ids.to_pylist()))
+        assert held <= 400
+    assert len(calls) > len(set(calls))  # what was dropped is encoded anew
+
+
+def test_slices_are_bounded_by_bytes():
+    batch = pa.record_batch({"text": ["x" * n if n is not None else None for n in (3, 9, 1, None, 20, 1, 1)]})
+    parts = [b.column("text").to_pylist() for b in sliced([batch], 3, "text", 10)]
+    assert [[len(t or "") for t in p] for p in parts] == [[3], [9, 1, 0], [20], [1, 1]]
 
 
 def test_bpe_takes_odd_rows(spark):
     df = odd_documents(spark)
-    both = bpe_pieces.decode(bpe_pieces.encode(df, RANKS, PATTERN), RANKS, PATTERN)
+    both = bpe_pieces.decode(bpe_pieces.encode(df, RANKS, PATTERN), RANKS)
     assert all((r.text or "").encode() == bytes(r.decoded) for r in both.collect())
+    once = bpe_pieces.encode(df, RANKS, PATTERN, decoded_col="decoded")
+    assert sorted(map(str, once.collect())) == sorted(map(str, both.collect()))
     assert bpe_pieces.encode(empty(spark), RANKS, PATTERN).count() == 0
 
 
@@ -346,7 +473,6 @@ def test_token_planes_match_the_library(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(llm_queries.TOKENIZER_PATH)
-    t.encode_special_tokens = True
     rows = sorted(llm_queries.QUERIES["op7_token_planes"](spark, SF).collect(), key=lambda r: r.doc_id)
     docs = sorted(spark.read.parquet(f"{SF}/documents.parquet").collect(), key=lambda r: r.doc_id)
     at = 0
@@ -356,6 +482,17 @@ def test_token_planes_match_the_library(spark):
         at += len(ids)
 
 
+@pytest.mark.parametrize("as_text", [False, True])
+def test_special_strings_are_read_as_the_library_reads_them(as_text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(llm_queries.TOKENIZER_PATH)
+    t.encode_special_tokens = as_text
+    texts = [*awkward_texts(), "a <|endoftext|> b", "<|endoftext|>"]
+    own = token_planes.ChunkEncoder(llm_queries.TOKENIZER_PATH, special_as_text=as_text)
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts).to_pylist()] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_token_planes_take_odd_rows(spark):
     for df in (odd_documents(spark), empty(spark)):
         folder = shared_dir(spark, "odd")

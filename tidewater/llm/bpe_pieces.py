@@ -16,7 +16,9 @@ import functools
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -74,14 +76,32 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
     return b"".join(_field(1, p) for p in pieces) + _field(2, trainer) + _field(3, normaliser)
 
 
-class PieceCodec:
-    """Encoder and decoder over one rank file and pre-token pattern."""
+class PieceDecoder:
+    """Ids back to bytes; needs the ranks alone."""
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
-        ranks = read_ranks(ranks_path)
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        by_rank = {rank: token for token, rank in ranks.items()}
+        self.table = pa.array([by_rank.get(i) for i in range(max(by_rank, default=-1) + 1)], pa.binary())
+
+    def decode(self, column: pa.BinaryArray) -> pa.BinaryArray:
+        """The bytes of each row of little-endian unsigned 32-bit ids."""
+        bounds = np.concatenate(([0], np.cumsum(pc.binary_length(column).to_numpy()))) // 4
+        ids = np.frombuffer(b"".join(column.to_pylist()), "<u4")
+        if len(ids) and ids.max() >= len(self.table):
+            raise ValueError("an id is out of the vocabulary")
+        found = self.table.take(pa.array(ids))
+        if found.null_count:
+            raise ValueError("an id is out of the vocabulary")
+        _, ends, data = found.buffers()
+        ends = np.frombuffer(ends, np.int32)[: len(found) + 1] if len(found) else np.zeros(1, np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(ends[bounds].astype(np.int32)), data])
+
+
+class PieceEncoder:
+    """Texts to ids through the sentencepiece model of one rank file, pre-token by pre-token."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
-        self.table = [bytes(ord(c) - _SHIFT for c in self.model.id_to_piece(i + 1)) if i in set_ else None
-                      for set_ in [set(ranks.values())] for i in range(max(set_, default=-1) + 1)]
         self.pattern = regex.compile(pattern)
         self.texts = TextEncoder(self._encode_many)
         self._mapped = [chr(_SHIFT + b) for b in range(256)]
@@ -94,47 +114,52 @@ class PieceCodec:
         known = {t: struct.pack(f"<{len(ids)}I", *[i - 1 for i in ids]) for t, ids in zip(pretokens, encoded, strict=True)}
         return [b"".join([known[t] for t in tokens]) for tokens in split]
 
-    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+    def encode(self, texts: list[str | None] | pa.Array) -> pa.BinaryArray:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return [ids.astype("<u4").tobytes() for ids in self.texts.encode(texts)]
+        return self.texts.encode(texts)
 
-    def decode(self, ids: bytes) -> bytes:
-        out = [self.table[i] if i < len(self.table) else None for (i,) in struct.iter_unpack("<I", ids)]
-        if None in out:
-            raise ValueError("an id is out of the vocabulary")
-        return b"".join(out)
+
+@functools.lru_cache(maxsize=2)
+def encoder(ranks_path: str, pattern: str) -> PieceEncoder:
+    return PieceEncoder(read_ranks(ranks_path), pattern)
 
 
 @functools.lru_cache(maxsize=2)
-def codec(ranks_path: str, pattern: str) -> PieceCodec:
-    return PieceCodec(ranks_path, pattern)
+def decoder(ranks_path: str) -> PieceDecoder:
+    return PieceDecoder(read_ranks(ranks_path))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Adds (or replaces) a binary column of little-endian unsigned 32-bit ids."""
-    fields = [f for f in docs.schema.fields if f.name != ids_col]
-    schema = T.StructType([*fields, T.StructField(ids_col, T.BinaryType())])
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """Adds (or replaces) a binary column of little-endian unsigned 32-bit ids.
+
+    With `decoded_col` the same pass also decodes the ids, so a round trip needs one Python worker a core.
+    """
+    added = [ids_col] if decoded_col is None else [ids_col, decoded_col]
+    fields = [f for f in docs.schema.fields if f.name not in added]
+    schema = T.StructType([*fields, *[T.StructField(c, T.BinaryType()) for c in added]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
-        for batch in sliced(batches, 1000):
+        own = encoder(ranks_path, pattern)
+        for batch in sliced(batches, 10_000, text_col, 4 << 20):
             table = {f.name: batch.column(f.name) for f in fields}
-            table[ids_col] = pa.array(own.encode(batch.column(text_col)), pa.binary())
+            table[ids_col] = own.encode(batch.column(text_col))
+            if decoded_col is not None:
+                table[decoded_col] = decoder(ranks_path).decode(table[ids_col])
             yield pa.RecordBatch.from_pydict(table)
 
     return docs.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """Adds (or replaces) a binary column of the bytes that the ids stand for."""
+def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """Adds (or replaces) a binary column of the bytes that the ids stand for; null ids are empty."""
     fields = [f for f in encoded.schema.fields if f.name != bytes_col]
     schema = T.StructType([*fields, T.StructField(bytes_col, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
-        for batch in sliced(batches):
+        own = decoder(ranks_path)
+        for batch in sliced(batches, 10_000, ids_col):
             table = {f.name: batch.column(f.name) for f in fields}
-            table[bytes_col] = pa.array([own.decode(b or b"") for b in batch.column(ids_col).to_pylist()], pa.binary())
+            table[bytes_col] = own.decode(pc.fill_null(batch.column(ids_col), b""))
             yield pa.RecordBatch.from_pydict(table)
 
     return encoded.mapInArrow(run, schema)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +32,21 @@ def crc_fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that what a batch grows to stays small."""
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256, column: str | None = None, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what a batch grows to stays small.
+
+    With a text or binary `column`, a batch also ends where its values pass `size` bytes; one value may be larger.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if column is None:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            n = min(rows, max(1, int(np.searchsorted(ends[at:], before + size, side="right"))))
+            yield batch.slice(at, n)
+            at += n

@@ -104,8 +104,7 @@ def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe_pieces.encode(docs, RANKS_PATH, public_tokenizers.PATTERN).drop("text")
-    both = bpe_pieces.decode(encoded, RANKS_PATH, public_tokenizers.PATTERN)
+    both = bpe_pieces.encode(docs, RANKS_PATH, public_tokenizers.PATTERN, decoded_col="decoded").drop("text")
     return both.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -87,8 +88,12 @@ class ShardWriter:
         self.n_held = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.doc_ids.append(_NULL if doc_id is None else doc_id)
-        self.lengths.append(len(ids))
+        self.add_many([doc_id], ids, np.array([len(ids)]))
+
+    def add_many(self, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Documents in order: their ids back to back, and how many each has."""
+        self.doc_ids += [_NULL if d is None else d for d in doc_ids]
+        self.lengths += lengths.tolist()
         self.held.append(ids)
         self.n_held += len(ids)
         if self.n_held >= self.block:
@@ -161,37 +166,48 @@ class ShardReader:
 
 
 class ChunkEncoder:
-    """A tokenizers-library encoder that meets each distinct chunk once while a memo holds it.
+    """A tokenizers-library encoder that meets a distinct piece once while a memo holds it.
 
-    Tokenizers that don't cut by the byte-level pattern encode whole texts instead.
+    Texts that hold the string of an added token go to the library whole, in its default call; with
+    `special_as_text` such strings are ordinary text. Tokenizers that don't cut by the byte-level pattern
+    encode whole texts.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # strings of special tokens are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.texts = TextEncoder(self._encode_many) if plain and not spec.get("normalizer") else None
+        self.added = [t["content"] for t in spec.get("added_tokens") or [] if not (special_as_text and t.get("special"))]
 
-    def _encode_many(self, pieces: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+    def _encode_many(self, texts: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in encoded]
 
-    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
-        if self.texts:
-            return self.texts.encode(texts)
-        column = texts.to_pylist() if isinstance(texts, pa.Array) else texts
-        return [np.frombuffer(b, "<u4") for b in self._encode_many([t or "" for t in column])]
+    def encode(self, texts: list[str | None] | pa.Array) -> pa.BinaryArray:
+        """Ids of each text as little-endian unsigned 32-bit integers; a null text is empty."""
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        whole = np.full(len(column), self.texts is None)
+        for token in self.added:
+            whole |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self.texts.encode(column)
+        rest, apart = np.flatnonzero(~whole), np.flatnonzero(whole)
+        parts = [pa.array(self._encode_many(column.take(pa.array(apart)).to_pylist()), pa.binary())]
+        if len(rest):
+            parts.append(self.texts.encode(column.take(pa.array(rest))))
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate((apart, rest)), kind="stable")))
 
 
 @functools.lru_cache(maxsize=2)
-def chunk_encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def chunk_encoder(path: str, special_as_text: bool = False) -> ChunkEncoder:
+    return ChunkEncoder(path, special_as_text)
 
 
 # --- the operator -----------------------------------------------------------------------------------
@@ -210,16 +226,17 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         number, own = TaskContext.get().partitionId(), chunk_encoder(tokenizer_path)
         fs, root = open_folder(folder)
         draft, writer, out, n_docs = f"{root}/.draft-{number:06d}-{uuid.uuid4().hex}", None, None, 0
-        end = np.array([end_id], np.uint32)
         for batch in batches:
             if batch.num_rows and writer is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(draft)
                 writer = ShardWriter(out, block)
-            for part in sliced([batch], 2000):
-                for doc_id, ids in zip(part.column("id").to_pylist(), own.encode(part.column("text")), strict=True):
-                    writer.add(doc_id, np.concatenate((ids, end)))
-                    n_docs += 1
+            for part in sliced([batch], 10_000, "text"):
+                encoded = own.encode(part.column("text"))
+                lengths = pc.binary_length(encoded).to_numpy() // 4
+                flat = np.frombuffer(b"".join(encoded.to_pylist()), "<u4")
+                writer.add_many(part.column("id").to_pylist(), np.insert(flat, np.cumsum(lengths), end_id), lengths + 1)
+                n_docs += part.num_rows
         if writer is not None:
             n_ids = writer.close()
             out.close()
