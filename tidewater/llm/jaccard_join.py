@@ -7,7 +7,7 @@ rare, and both index it alone, or all are frequent, and both index the k-combina
 combinations index their frequent tokens alone; sets near that limit do both, so no pair falls between.
 
 Pairs of a bucket are never all listed. Round one verifies each member of a bucket against two of its
-members; links found that way join most of a large group. Round two lists the pairs of the members outside
+members, one of them the most central; links found that way join most of a large group. Round two lists the pairs of the members outside
 a bucket's largest component with the members of other components, exactly, behind bounds on size, on token
 position and on the symmetric difference (parity bitmaps). What both rounds verify spans the link graph.
 
@@ -349,10 +349,15 @@ def components(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "doc
     )
     facts = ["key", "class", "place", "n_shingles", *(f"m{i}" for i in range(MAPS))]
     index = live_index(described, live_filter(live_keys(described)))
-    # buckets of two classes or more, each with two hubs drawn by hash
+    # buckets of two classes or more, each with two hubs: the member with the fewest tokens before the key, which among
+    # near copies is the one with the fewest tokens of its own, and another one drawn by hash
     draw = F.struct(F.xxhash64("class", "key").alias("d"), F.col("class").alias("c"))
-    buckets = index.groupBy("key").agg(F.count("*").alias("members"), F.min(draw)["c"].alias("p"), F.max(draw)["c"].alias("q"))
-    live = cut(index.join(buckets.filter("p <> q"), "key"), "jaccard-live")
+    central = F.struct(F.col("place"), F.xxhash64("class", "key").alias("d"), F.col("class").alias("c"))
+    buckets = index.groupBy("key").agg(
+        F.count("*").alias("members"), F.min(central)["c"].alias("p"), F.min(draw)["c"].alias("low"), F.max(draw)["c"].alias("high")
+    ).filter("low <> high").select("key", "members", "p", F.when(F.col("high") != F.col("p"), F.col("high")).otherwise(F.col("low")).alias("q"))
+    # a class that several tasks met has one row a key; the rows of a key are together already
+    live = cut(index.join(buckets, "key").dropDuplicates(["key", "class"]), "jaccard-live")
     # every member is compared with both hubs, and the hubs with each other, once
     hub = F.when(F.col("class") == F.col("p"), F.array("q")).when(F.col("class") != F.col("q"), F.array("p", "q")).otherwise(F.array().cast("array<binary>"))
     probes = live.select(*facts, F.explode(hub).alias("hub"))
@@ -394,14 +399,17 @@ def components(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "doc
 
 
 def keep_one(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: the least id, then the least text hash; its row unchanged."""
+    """One document of each component: the least id, then the least text hash; its row unchanged.
+
+    Of rows with the same id and text one stays; a null and an empty text are different.
+    """
     found = components(docs, spec, id_col, text_col)
     group = F.coalesce("component_id", F.lit(-1)), F.coalesce(F.hex("class"), F.concat_ws("-", F.lit("own"), F.col("doc_id"), F.col("print")))
     component = F.when(F.col("class").isNull() | F.col("component_id").isNull(), group[1]).otherwise(group[0].cast("string"))
     chosen = found.groupBy(component.alias("__c")).agg(F.min(F.struct("doc_id", "print")).alias("s")).select(F.col("s.doc_id").alias("__kid"), F.col("s.print").alias("__kprint"))
     own = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{id_col}`").cast("long").alias("__id"),
-        F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("__print"),
+        F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("__print"), F.col(f"`{text_col}`").isNull().alias("__null"),
     )
     kept = own.join(chosen, F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__print") == F.col("__kprint")), "left_semi")
-    return kept.dropDuplicates(["__id", "__print"]).select("__row.*")
+    return kept.dropDuplicates(["__id", "__print", "__null"]).select("__row.*")
