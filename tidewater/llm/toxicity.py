@@ -1,19 +1,20 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text, normalised by length.
 
 Folding lower-cases, replaces homoglyphs and digit substitutions by the letters they imitate, and turns
-everything between words into one blank. Lexicon entries are word beginnings; their weights are smoothed log
-odds learnt from labelled documents. Exception phrases (given ones, and longer beginnings that clean
-documents hold) cancel the entries they cover. The weighted hits and their share of the words give the score
-through a logistic link.
+everything between words into one blank. Lexicon entries are whole words or word beginnings; their weights are
+smoothed log odds learnt from labelled documents. Exception phrases (given ones, and longer beginnings that
+clean documents hold) cancel every entry inside the text they cover. The weighted hits and their share of the
+words give the score through a logistic link.
 
 Defined results: null and empty texts have no hits and score as such; repeated rows score alike; without
 labels of both kinds the lexicon is the given seed list; an empty table gives an empty result; other columns
-pass through.
+pass through, and a column with the score's name is replaced.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "clown
 
 
 class _Fold(dict):
-    """Translation table filled on demand: one entry a code point met."""
+    """Translation table filled on demand: one entry a code point met. Digits and signs stay for the reading of words."""
 
     def __missing__(self, code: int) -> str:
         c = chr(code)
@@ -47,12 +48,12 @@ class _Fold(dict):
         if low in HOMOGLYPHS:
             out = HOMOGLYPHS[low]
         elif low in DIGITS:
-            out = DIGITS[low]
+            out = low
         elif c.isalnum():
             out = low
             flat = unicodedata.normalize("NFKC", low)
-            if flat != low and flat.isascii():  # full-width and mathematical letters
-                out = "".join(DIGITS.get(x, x) for x in flat.lower())
+            if flat != low and flat.isascii():  # full-width and mathematical letters and digits
+                out = "".join(x for x in flat.lower() if x.isalnum())
         elif unicodedata.category(c) in ("Mn", "Cf"):  # combining marks, zero-width joiners
             out = ""
         else:
@@ -62,15 +63,33 @@ class _Fold(dict):
 
 
 _FOLD = _Fold()
+_SIGNS = "".join(c for c in DIGITS if not c.isdigit())
+_LETTERS = {ord(k): v for k, v in DIGITS.items()}
+_ONLY_DIGITS = {ord(k): v for k, v in DIGITS.items() if k.isdigit()}
+_DISGUISED = re.compile(rf"\S*[{re.escape(''.join(DIGITS))}]\S*")
+_NOT_A_LETTER = re.compile(rf"[{re.escape(_SIGNS)}]+(?![^\W\d_])")
+_APART = re.compile(rf"[{re.escape(_SIGNS)}]+")
+
+
+def _readings(word: str) -> str:
+    """A word with digits or signs, read with them as letters and, where signs stand between letters, also cut there."""
+    if not any(c.isalpha() for c in word):
+        return _APART.sub(" ", word)
+    word = _NOT_A_LETTER.sub(" ", word.translate(_ONLY_DIGITS))  # a sign counts only before a letter
+    joined, cut = word.translate(_LETTERS), _APART.sub(" ", word)
+    return joined if joined == cut or word[0] in _SIGNS and not _APART.search(word[1:]) else f"{joined} {cut}"
 
 
 def fold(text: str | None) -> str:
     """Folded words between single blanks, with a blank at either end.
 
-    Signs that imitate letters count as such only next to a letter in the same word; a word of digits and
-    signs alone keeps no letters and cannot match.
+    Digits stand for letters only in a word that has a letter; a sign does so only before a letter. A sign
+    between two letters may also part two words, so such a word is read both ways, one after the other.
     """
-    return " " + " ".join((text or "").translate(_FOLD).split()) + " "
+    flat = (text or "").translate(_FOLD)
+    if _DISGUISED.search(flat):
+        flat = _DISGUISED.sub(lambda m: _readings(m[0]), flat)
+    return " " + " ".join(flat.split()) + " "
 
 
 @dataclass
@@ -91,23 +110,26 @@ class Lexicon:
             for w, weight in self.weights.items():
                 a.add_word(" " + w, (len(w) + 1, weight))
             for e in self.exceptions:
-                a.add_word(" " + e, (len(e) + 1, 0.0))
+                a.add_word(" " + e, (len(e) + 1, None))
             if len(a):
                 a.make_automaton()
             self._automaton = a
         return self._automaton
 
     def amount(self, folded: str) -> float:
-        """Summed weight of the longest entry at each word, 0 where an exception is the longest."""
+        """Summed weight of the longest entry at each word, without entries inside the span of an exception."""
         a = self.automaton()
         if not len(a):
             return 0.0
         best: dict[int, tuple[int, float]] = {}
+        spared: list[tuple[int, int]] = []
         for end, (n, weight) in a.iter(folded):
             at = end - n
-            if n > best.get(at, (0, 0.0))[0]:
+            if weight is None:
+                spared.append((at, end))
+            elif n > best.get(at, (0, 0.0))[0]:
                 best[at] = (n, weight)
-        return sum(w for _, w in best.values())
+        return sum(w for at, (n, w) in best.items() if not any(x <= at and at + n <= y for x, y in spared))
 
     def features(self, text: str | None) -> tuple[float, float]:
         folded = fold(text)
@@ -120,14 +142,29 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, bias + a * density + b * amount))))
 
 
-def _beginnings(text: str) -> set[str]:
-    return {w[:n] for w in set(fold(text).split()) for n in range(4, min(len(w), 12) + 1)}
+#: Beginnings of so many characters are candidates besides whole words.
+STEMS = (4, 12)
+
+
+def _candidates(text: str) -> set[str]:
+    """Words, those under four letters with the blank after them, and the beginnings of longer ones."""
+    out: set[str] = set()
+    for w in set(fold(text).split()):
+        out.add(w if len(w) >= STEMS[0] else w + " ")
+        out.update(w[:n] for n in range(STEMS[0], min(len(w), STEMS[1]) + 1))
+    return out
+
+
+def _shorter(b: str) -> list[str]:
+    """The candidates that are proper beginnings of this one."""
+    return [b[:n] for n in range(STEMS[0], min(len(b), STEMS[1] + 1))]
 
 
-def learn(rows: list[tuple[str, int]], least: int = 4, odds: float = 20.0, max_entries: int = 400) -> Lexicon:
-    """A lexicon from labelled texts: beginnings `odds` times likelier in toxic documents.
+def learn(rows: list[tuple[str, int]], least: int = 4, odds: float = 20.0) -> Lexicon:
+    """A lexicon from labelled texts: words and beginnings `odds` times likelier in toxic documents.
 
-    Of beginnings of each other the most frequent is kept, and of equally frequent ones the longest.
+    Of beginnings of each other the most frequent is kept, and of equally frequent ones the longest. There are
+    at most as many entries as the rows hold candidates.
     """
     toxic = [t for t, y in rows if y == 1]
     clean = [t for t, y in rows if y == 0]
@@ -135,24 +172,24 @@ def learn(rows: list[tuple[str, int]], least: int = 4, odds: float = 20.0, max_e
         return Lexicon(dict.fromkeys(SEEDS, 3.0), frozenset(EXCEPTIONS))
     held: Counter[str] = Counter()
     for t in toxic:
-        held.update(_beginnings(t))
+        held.update(_candidates(t))
     held = Counter({b: n for b, n in held.items() if n >= 3})
     against: Counter[str] = Counter()
     for t in clean:
-        against.update(_beginnings(t) & held.keys())
+        against.update(_candidates(t) & held.keys())
     weight = {
         b: math.log((n + 0.1) / (len(toxic) + 1)) - math.log((against[b] + 0.5) / (len(clean) + 1)) for b, n in held.items()
     }
     chosen: dict[str, float] = {}
     openings: set[str] = set()  # proper beginnings of what is chosen
     for b in sorted((b for b in held if held[b] >= least and weight[b] >= math.log(odds)), key=lambda b: (-held[b], -len(b), b)):
-        if len(chosen) < max_entries and b not in openings and not any(b[:n] in chosen for n in range(4, len(b))):
+        if b not in openings and not any(x in chosen for x in _shorter(b)):
             chosen[b] = weight[b]
-            openings.update(b[:n] for n in range(4, len(b)))
+            openings.update(_shorter(b))
     for s in SEEDS:
-        if not any(s[:n] in chosen for n in range(4, len(s) + 1)):
+        if not any(x in chosen for x in (*_shorter(s), s)):
             chosen[s] = 3.0
-    learnt = {b for b in held if against[b] > 2 * held[b] and any(b[:n] in chosen for n in range(4, len(b)))}
+    learnt = {b for b in held if against[b] > 2 * held[b] and any(x in chosen for x in _shorter(b))}
     lexicon = Lexicon(chosen, frozenset({*EXCEPTIONS, *learnt}))
     x = np.array([lexicon.features(t) for t, _ in rows])
     y = np.array([label for _, label in rows], float)
