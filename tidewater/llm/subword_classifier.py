@@ -1,13 +1,14 @@
 """Quality classifier: supervised subword embeddings, averaged per document, softmax output.
 
-A document's features are its hashed words, its hashed adjacent word pairs met again, and hashed character
-n-grams over its UTF-8 bytes. Each feature has a learnt vector; a document is the mean of its features'
-vectors; a linear layer and a softmax give the class. Training is plain numpy stochastic gradient descent
-over a bounded sample. As the mean and the layer are linear, scoring gathers one number a feature.
+A document's features are its hashed words, its hashed pairs of adjacent words, and its hashed character
+n-grams. Each feature has a learnt vector; a document is the mean of its features' vectors; a linear layer and
+a softmax give the class. Training is plain numpy stochastic gradient descent over a bounded sample, done
+again at a quarter of the rate should it diverge. As the mean and the layer are linear, scoring gathers one
+number a feature.
 
 Defined results: null and empty texts have no features and get the softmax of the biases; repeated rows score
-alike; without labels of both kinds every score is 0.5; an empty table gives an empty result; other columns
-pass through.
+alike; without labels of both kinds every score is 0.5; scores are always finite; an empty table gives an
+empty result; other columns pass through, and a column with the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class SubwordSpec:
-    bits: int = 17
+    """Three tables of 2**bits vectors: words, pairs of words, character n-grams."""
+
+    bits: int = 16
     grams: tuple[int, ...] = (3, 4)
     dim: int = 8
     epochs: int = 8
@@ -36,31 +39,20 @@ _MUL = np.uint32(2654435761)
 
 
 def features(text: str | None, spec: SubwordSpec) -> np.ndarray:
-    """Feature slots of a text: a third of the table each for words, repeated pairs and character n-grams."""
-    raw = (text or "").encode()
-    if not raw:
-        return np.zeros(0, np.int64)
-    shift = np.uint32(32 - spec.bits)
-    words = raw.split()
-    h = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-    out = [(h * _MUL) >> shift]
-    if len(h) > 1:
-        pairs = h[:-1] * np.uint32(31) + h[1:]
-        # a pair met again: the text's own repetition, as features of their own
-        order = np.sort(pairs)
-        again = order[1:][order[1:] == order[:-1]]
-        out.append(np.full(4 * len(again), (1 << spec.bits) + 1, np.uint32))
-        out.append(np.full(4 * (len(pairs) - len(again)), (1 << spec.bits) + 2, np.uint32))
-    length = min(15, len(words).bit_length())
-    out.append(np.full(max(8, len(words)), (1 << spec.bits) + 16 + length, np.uint32))
-    codes = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    """Feature slots of a text: words in the first table, pairs of adjacent words in the second, character n-grams in the third."""
+    text = text or ""
+    shift, size = np.uint32(32 - spec.bits), np.uint32(1 << spec.bits)
+    words = text.encode().split()
+    h = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) * _MUL
+    out = [h >> shift, size + (((h[:-1] * np.uint32(31) + h[1:]) * _MUL) >> shift)]
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     for n in spec.grams:
         if len(codes) >= n:
             g = np.full(len(codes) - n + 1, n, np.uint32)
             for i in range(n):
                 g = g * np.uint32(16777619) + codes[i : len(codes) - n + 1 + i]
-            out.append((g * _MUL) >> shift)
-    return np.concatenate(out)
+            out.append(2 * size + ((g * _MUL) >> shift))
+    return np.concatenate(out).astype(np.int64)
 
 
 @dataclass
@@ -79,35 +71,45 @@ class SubwordModel:
 def train(rows: list[tuple[str, int]], spec: SubwordSpec | None = None) -> SubwordModel:
     """Stochastic gradient descent, one document a step, with a linearly falling rate."""
     spec = spec or SubwordSpec()
-    size = (1 << spec.bits) + 32
     if len({y for _, y in rows}) < 2:
-        return SubwordModel(spec, np.zeros(size, np.float32), 0.0)
-    rng = np.random.default_rng(spec.seed)
-    vectors = rng.uniform(-1 / spec.dim, 1 / spec.dim, (size, spec.dim)).astype(np.float32)
-    layer, bias = np.zeros((2, spec.dim), np.float32), np.zeros(2, np.float32)
+        return SubwordModel(spec, np.zeros(3 << spec.bits, np.float32), 0.0)
     held = []
     for text, y in rows:
         f = features(text, spec)
         slot, count = np.unique(f, return_counts=True)
         held.append((slot.astype(np.int32), (count / max(1, len(f))).astype(np.float32), int(y)))
+    rate = spec.rate
+    while True:
+        slots, bias = _descend(held, spec, rate)
+        if np.isfinite(slots).all() and np.isfinite(bias):
+            return SubwordModel(spec, slots, bias)
+        rate /= 4
+
+
+def _descend(held: list[tuple[np.ndarray, np.ndarray, int]], spec: SubwordSpec, first_rate: float) -> tuple[np.ndarray, float]:
+    rng = np.random.default_rng(spec.seed)
+    vectors = rng.uniform(-1 / spec.dim, 1 / spec.dim, (3 << spec.bits, spec.dim)).astype(np.float32)
+    layer, bias = np.zeros((2, spec.dim), np.float32), np.zeros(2, np.float32)
     steps, done = spec.epochs * len(held), 0
-    for _ in range(spec.epochs):
-        for k in rng.permutation(len(held)):
-            slot, share, y = held[k]
-            rate = spec.rate * (1 - done / steps)
-            done += 1
-            hidden = share @ vectors[slot]
-            logits = layer @ hidden + bias
-            p = np.exp(logits - logits.max())
-            p /= p.sum()
-            p[y] -= 1
-            back = layer.T @ p
-            layer -= rate * np.outer(p, hidden)
-            bias -= rate * 0.1 * p
-            # the mean's gradient, scaled as if every feature took a full step of its share
-            vectors[slot] -= (rate * spec.dim * 10) * np.outer(share, back)
-    slots = vectors @ (layer[1] - layer[0])
-    return SubwordModel(spec, slots.astype(np.float32), float(bias[1] - bias[0]))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for _ in range(spec.epochs):
+            for k in rng.permutation(len(held)):
+                slot, share, y = held[k]
+                rate = first_rate * (1 - done / steps)
+                done += 1
+                hidden = share @ vectors[slot]
+                logits = layer @ hidden + bias
+                p = np.exp(logits - logits.max())
+                p /= p.sum()
+                p[y] -= 1
+                back = layer.T @ p
+                layer -= rate * np.outer(p, hidden)
+                bias -= rate * 0.1 * p
+                # the mean's gradient, scaled as if every feature took a full step of its share
+                vectors[slot] -= (rate * spec.dim * 10) * np.outer(share, back)
+            if not np.isfinite(layer).all():
+                break
+    return (vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
 def score(docs: DataFrame, model: SubwordModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
