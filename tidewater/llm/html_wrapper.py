@@ -7,13 +7,18 @@ differ become slots. The result is a wrapper, a regular expression without union
 that different tasks inferred are aligned in the same way, so every page takes part and a large host is
 spread over all tasks.
 
-From a host's wrapper comes its rule: the path of the main slot-bearing subtree and the paths below it whose
-every element is on all pages, once with the same text or mostly links. Pages are then read again and their text is taken by that rule; names that say menu,
-advert, comment and so on are left out everywhere.
+From a host's wrapper comes its rule. Text slots, the places where pages differ, show the body: the walk goes
+down from the root to the smallest subtree that holds most of the slot text, and an article or main element on
+that way, or the ones that share its slot text, ends it. Below the body, paths whose every element is on all
+pages with one text (or, without a named body, mostly links) are template and left out. Pages are then read
+again and their text is taken by that rule; names that say menu, advert, comment and so on are left out
+everywhere. Only a host without slots is read by names and text mass.
+
+Elements nested deeper than DEEPEST hang below the element at that depth, as browsers do; no text is lost.
 
 Defined results: null or empty html gives an empty text; a page of a host alone is read by names and text
 mass only; null urls share one host; repeated rows are extracted alike; an empty table gives an empty result;
-texts of any length are whole.
+texts of any length are whole; columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import cut, sliced
+
 _SPLIT = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
@@ -68,18 +75,33 @@ class Element:
         self.linked = 0
 
 
+#: Fixed value: nesting beyond this hangs below the element at this depth.
+DEEPEST = 128
+
+
 def parse(page: str | None) -> Element:
     """The tree of block elements; inline tags leave no trace, breaks and blocks cut words."""
     root = Element("html", "")
     stack, anchors, at = [root], 0, 0
+    below: list[Element] = []  # open elements beyond DEEPEST; what they hold goes to the last open one's stand-in
     page = page or ""
 
+    def hang(e: Element) -> None:
+        stack[-1].parts.append(e)
+        stack[-1].children.append(e)
+
     def text(a: int, b: int) -> None:
         if b > a:
             piece = html.unescape(page[a:b])
-            stack[-1].parts.append(piece)
+            if below and stack[-1].parts[-1] is not below[-1]:  # back in an element after a deeper one ended
+                again = Element("", "")
+                again.name, again.symbol, again.drop = below[-1].name, below[-1].symbol, below[-1].drop
+                below[-1] = again
+                hang(again)
+            holder = below[-1] if below else stack[-1]
+            holder.parts.append(piece)
             if anchors:
-                stack[-1].linked += len(piece)
+                holder.linked += len(piece)
 
     for m in _SPLIT.finditer(page):
         text(at, m.start())
@@ -92,25 +114,32 @@ def parse(page: str | None) -> Element:
                 anchors = 0 if m[2] else 1
             continue
         if name in BREAKS:
-            stack[-1].parts.append(" ")
+            (below[-1] if below else stack[-1]).parts.append(" ")
         if name in VOID:
             continue
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
+            for level in (below, stack):
+                k = next((k for k in range(len(level) - 1, -1 if level is below else 0, -1) if level[k].name == name), None)
+                if k is not None:
+                    if level is stack:
+                        below.clear()
+                    del level[k:]
                     anchors = 0
                     break
             continue
         marks = " ".join(" ".join(filter(None, x)) for x in _MARKS.findall(m[4])) if m[4] else ""
         shut = CLOSED_BY.get(name, ())
-        while len(stack) > 1 and (stack[-1].name == "p" or stack[-1].name in shut):
-            stack.pop()
+        for level in (below, stack):
+            while len(level) > (level is stack) and (level[-1].name == "p" or level[-1].name in shut):
+                level.pop()
+            if level:
+                break
         new = Element(name, marks)
-        stack[-1].parts.append(new)
-        stack[-1].children.append(new)
+        if below:
+            new.drop = new.drop or below[-1].drop
+        hang(new)
         if not (m[4] or "").endswith("/"):
-            stack.append(new)
+            (below if below or len(stack) >= DEEPEST else stack).append(new)
     text(at, len(page))
     return root
 
@@ -213,10 +242,15 @@ def as_expression(w: list) -> str:
 # --- rules ------------------------------------------------------------------------------------------
 
 
+def _named_out(w: list) -> bool:
+    """Whether the element's names say that it is never main text."""
+    name, _, marks = w[SYMBOL].partition(".")
+    return name in NOT_MAIN_TAGS or bool(marks and NOT_MAIN_WORDS.search(marks))
+
+
 def _mass(w: list) -> tuple[int, int]:
     """Characters in the subtree outside names that are never main, and those in links."""
-    name, _, marks = w[SYMBOL].partition(".")
-    if name in NOT_MAIN_TAGS or (marks and NOT_MAIN_WORDS.search(marks)):
+    if _named_out(w):
         return 0, 0
     total, linked = w[CHARS], w[LINKED]
     for c in w[CHILDREN]:
@@ -225,6 +259,19 @@ def _mass(w: list) -> tuple[int, int]:
     return total, linked
 
 
+def _slots(w: list) -> int:
+    """Characters, outside links and names that are never main, of texts that differ between pages or are on some pages only."""
+
+    def walk(w: list, some: bool) -> int:
+        if _named_out(w):
+            return 0
+        some = some or w[OPTIONAL] or w[REPEATED]
+        own = max(0, w[CHARS] - w[LINKED]) if w[TEXT] == SLOT or (some and w[TEXT] is not None) else 0
+        return own + sum(walk(c, some) for c in w[CHILDREN])
+
+    return walk(w, False)
+
+
 def template_paths(wrapper: list, main: list[str], links: bool) -> list[str]:
     """Paths below `main` whose every node is template: on all pages, and either constant there or (with `links`) mostly links.
 
@@ -258,39 +305,49 @@ def template_paths(wrapper: list, main: list[str], links: bool) -> list[str]:
     return [at for at, is_so in template.items() if is_so and below(at.rpartition("/")[0])]
 
 
-def rule_of(wrapper: list) -> dict:
-    """`main`: paths of the main subtrees; `drop`: template paths of a wrapper of three pages or more."""
-    main: list[str] = []
+def _named_main(w: list, path: tuple[str, ...]) -> list[tuple[tuple[str, ...], list]]:
+    """The outermost article and main elements with text, with their paths; articles alone if there are any."""
+    found: list[tuple[tuple[str, ...], list]] = []
 
     def seek(w: list, path: tuple[str, ...]) -> None:
-        name, _, marks = w[SYMBOL].partition(".")
-        if name in NOT_MAIN_TAGS or (marks and NOT_MAIN_WORDS.search(marks)):
+        if _named_out(w):
             return
         here = path if w[SYMBOL][0] == "(" else (*path, w[SYMBOL])
-        if name in MAIN_TAGS and _mass(w)[0]:
-            main.append("/".join(here))
+        if w[SYMBOL].partition(".")[0] in MAIN_TAGS and _mass(w)[0]:
+            inner = [x for c in w[CHILDREN] for x in _named_main(c, here)] if not w[SYMBOL].startswith("article") else []
+            articles = [x for x in inner if x[1][SYMBOL].startswith("article")]
+            found.extend(articles or [(here, w)])
             return
         for c in w[CHILDREN]:
             seek(c, here)
 
-    seek(wrapper, ())
-    if any(p.rpartition("/")[2].startswith("article") for p in main):
-        main = [p for p in main if p.rpartition("/")[2].startswith("article")]
-    drop: list[str] = []
-    if not main:
-        node, path = wrapper, (wrapper[SYMBOL],)
-        while True:  # down to the smallest subtree that still holds most of the text
-            whole = _mass(node)[0]
-            inner = [c for c in node[CHILDREN] if c[SYMBOL][0] != "(" and not c[REPEATED] and _mass(c)[0] > 0.6 * whole]
-            if not inner or node[CHARS] > 0.3 * whole:
-                break
-            node = max(inner, key=lambda c: (bool(MAIN_WORDS.search(c[SYMBOL])), _mass(c)[0]))
-            path = (*path, node[SYMBOL])
-        main = ["/".join(path)]
-        if wrapper[PAGES] >= 3:
-            drop = template_paths(wrapper, main, links=True)
-    elif wrapper[PAGES] >= 3:  # the page's author names the main text: only constants are left out of it
-        drop = template_paths(wrapper, main, links=False)
+    seek(w, path)
+    articles = [x for x in found if x[1][SYMBOL].startswith("article")]
+    return articles or found
+
+
+def rule_of(wrapper: list) -> dict:
+    """`main`: paths of the main subtrees; `drop`: template paths of a wrapper of three pages or more.
+
+    The body is where the slots are: down from the root while one child holds most of the slot text. Article and
+    main elements only say where on that way to stop, or which parts of the found subtree share its slot text.
+    """
+    weigh = _slots if wrapper[PAGES] > 1 and _slots(wrapper) else lambda w: _mass(w)[0]
+    node, path, named = wrapper, (wrapper[SYMBOL],), False
+    while not named:
+        whole = weigh(node)
+        inside = _named_main(node, path[:-1])
+        if sum(weigh(w) for _, w in inside) > 0.5 * whole:
+            named = True
+            break
+        own = max(0, node[CHARS] - node[LINKED])
+        inner = [c for c in node[CHILDREN] if c[SYMBOL][0] != "(" and not c[REPEATED] and weigh(c) > 0.6 * whole]
+        if not inner or own > 0.3 * whole:
+            break
+        node = max(inner, key=lambda c: (bool(MAIN_WORDS.search(c[SYMBOL])), weigh(c)))
+        path = (*path, node[SYMBOL])
+    main = ["/".join(p) for p, _ in inside] if named else ["/".join(path)]
+    drop = template_paths(wrapper, main, links=not named) if wrapper[PAGES] >= 3 else []
     return {"main": sorted(set(main)), "drop": sorted(set(drop))}
 
 
@@ -332,7 +389,8 @@ def host_of(url: str | None) -> str:
 
 # --- the operator --------------------------------------------------------------------------------------
 
-SALTS = 32
+#: Bytes of rules up to which they are broadcast; beyond, pages and rules are joined by host, and AQE splits hot hosts.
+BROADCAST_BYTES = 32 << 20
 _PAIR = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
 
 
@@ -387,7 +445,7 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, names], names=[*batch.schema.names, "host"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1000, "html"):
             known: dict[str, dict] = {}
             texts = []
             for page, rule in zip(batch.column("html").to_pylist(), batch.column("rule").to_pylist(), strict=True):
@@ -397,8 +455,8 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string())})
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    by_host = infer_wrappers(own).mapInArrow(rules, "host string, rule string")
-    salted = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a hot host is dealt over salts
+    by_host = cut(infer_wrappers(own).mapInArrow(rules, "host string, rule string"), "html-rules")
+    size = by_host.agg(F.sum(F.length("rule") + F.length("host") + 64)).first()[0] or 0
     named = own.mapInArrow(hosts, "page_id long, url string, html string, host string")
-    named = named.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int"))
-    return named.join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "rule").mapInArrow(read, "page_id long, url string, text string")
+    known = F.broadcast(by_host) if size <= BROADCAST_BYTES else by_host
+    return named.join(known, "host", "left").select("page_id", "url", "html", "rule").mapInArrow(read, "page_id long, url string, text string")
