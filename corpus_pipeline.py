@@ -49,8 +49,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids as little-endian unsigned 32-bit integers, with digests of the ids and of what they decode to."""
     ship(spark)
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe_pieces.encode(docs.select("doc_id", "text"), ranks, pattern).drop("text")
-    return bpe_pieces.decode(encoded, ranks, pattern).select(
+    return bpe_pieces.encode(docs.select("doc_id", "text"), ranks, pattern, decoded_col="decoded").select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
