@@ -407,3 +407,15 @@ def test_entry_and_catalogue(spark):
     assert entry.entry(spark).count() > 0
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names) and len(names) > 80
+
+
+def test_rule_weights_by_hand(spark):
+    """Each rule alone over the weight of those applicable (4.25 in all)."""
+    base = {"amount": 10.5, "t_us": 12 * 3_600_000_000, "currency": "EUR", "currency_received": "EUR", "is_self_transfer": 1}
+    alone = [({"amount": 150.5}, 1.0), ({"amount": 1500.5}, 2.5), ({"currency_received": "USD"}, 0.75), ({"amount": 0.0}, 0.5), ({"t_us": 0}, 0.25), ({"is_self_transfer": 0}, 0.25)]
+    rows = [base, *[{**base, **change} for change, _ in alone]]
+    df = spark.createDataFrame(rows, "amount double, t_us long, currency string, currency_received string, is_self_transfer int").coalesce(1)
+    got = [r.s for r in df.select(C.rule_score(C.rule_columns(df.columns, 100.0, 1000.0)).alias("s")).collect()]
+    assert got == pytest.approx([0.0, *[w / 4.25 for _, w in alone]])
+    part = df.select("amount", "is_self_transfer")  # rules without their columns leave the total as well
+    assert part.select(C.rule_score(C.rule_columns(part.columns, 100.0, 1000.0)).alias("s")).collect()[6].s == pytest.approx(0.25 / 3.25)

@@ -76,12 +76,12 @@ def category_codes(train: DataFrame, df: DataFrame, column: str) -> DataFrame:
 
 #: Rule names and weights.
 RULE_WEIGHTS = {
-    "very_large": 1.5,
-    "large": 1.0,
-    "round_thousand": 0.75,
-    "odd_hours": 0.5,
-    "cross_currency": 0.25,
-    "not_self": 0.25,
+    "large_amount": 1.0,
+    "very_large_amount": 1.5,
+    "cross_currency": 0.75,
+    "round_amount": 0.5,
+    "odd_hour": 0.25,
+    "non_self_transfer": 0.25,
 }
 
 
@@ -89,16 +89,16 @@ def rule_columns(columns: list[str], q99: float, q999: float) -> dict[str, Colum
     """The rules that the columns present allow, as Booleans."""
     rules: dict[str, Column] = {}
     if "amount" in columns:
-        rules["large"] = F.col("amount") > q99
-        rules["very_large"] = F.col("amount") > q999
-        rules["round_thousand"] = F.pmod(F.col("amount"), F.lit(1000.0)) == 0
+        rules["large_amount"] = F.col("amount") > q99
+        rules["very_large_amount"] = F.col("amount") > q999
+        rules["round_amount"] = F.pmod(F.col("amount"), F.lit(1000.0)) == 0
     if "t_us" in columns:
         hour = F.hour(when_())
-        rules["odd_hours"] = (hour < 6) | (hour >= 22)
+        rules["odd_hour"] = (hour < 6) | (hour >= 22)
     if {"currency", "currency_received"} <= set(columns):
         rules["cross_currency"] = cross_currency() == 1
     if "is_self_transfer" in columns:
-        rules["not_self"] = F.col("is_self_transfer") == 0
+        rules["non_self_transfer"] = F.col("is_self_transfer") == 0
     return rules
 
 

@@ -155,35 +155,45 @@ def evaluate_accounts(df: DataFrame, labels: DataFrame, k: int = 3) -> DataFrame
     return evaluate(tall, by=["aggregation"])
 
 
+def _finite(df: DataFrame, column: str) -> DataFrame:
+    """The column's finite values, as `v`."""
+    v = F.col(column).cast("double")
+    return df.select(v.alias("v")).filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+
+
 def psi(reference: DataFrame, current: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """One row: the population stability index by the reference's quantile bins; constant columns have 0."""
-    q = reference.agg(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("q")).first()["q"]
+    """One row: the population stability index by the reference's quantile bins, over finite values.
+
+    Constant columns have 0; NaN where a side has no finite value.
+    """
+    ref, cur = _finite(reference, column), _finite(current, column)
+    q = ref.agg(F.percentile("v", F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("q")).first()["q"]
     edges = sorted(set(q)) if q else []
+    if not edges or cur.isEmpty():
+        return reference.sparkSession.createDataFrame([(column, float("nan"))], "feature string, psi double")
     if len(edges) < 3:
         return reference.sparkSession.createDataFrame([(column, 0.0)], "feature string, psi double")
     inner = edges[1:-1]
     bucket = F.lit(0)
     for e in inner:
-        bucket = bucket + F.when(F.col(column) >= e, 1).otherwise(0)
-    both = reference.select(column, F.lit(1).alias("r")).unionByName(current.select(column, F.lit(0).alias("r"))).filter(F.col(column).isNotNull() & ~F.isnan(column))
-    counts = both.groupBy(bucket.alias("b")).agg(F.sum("r").alias("r"), F.sum(1 - F.col("r")).alias("c"))
+        bucket = bucket + F.when(F.col("v") >= e, 1).otherwise(0)
+    counts = ref.withColumn("r", F.lit(1)).unionByName(cur.withColumn("r", F.lit(0))).groupBy(bucket.alias("b")).agg(F.sum("r").alias("r"), F.sum(1 - F.col("r")).alias("c"))
     every = reference.sparkSession.range(len(inner) + 1).select(F.col("id").cast("int").alias("b"))
     full = every.join(counts, "b", "left").na.fill(0, ["r", "c"])
     totals = full.agg(F.sum("r").alias("rt"), F.sum("c").alias("ct"))
-    p = lambda x, t: F.greatest(F.col(x) / F.nullif(F.col(t), F.lit(0)), F.lit(1e-6))
+    p = lambda x, t: F.greatest(F.col(x) / F.col(t), F.lit(1e-6))
     terms = full.crossJoin(F.broadcast(totals)).select((p("c", "ct") - p("r", "rt")) * F.log(p("c", "ct") / p("r", "rt")))
     return terms.toDF("t").agg(F.sum("t").alias("psi")).select(F.lit(column).alias("feature"), "psi")
 
 
 def ks(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
-    """One row: the largest distance of the two empirical distributions, over distinct values."""
-    both = reference.select(F.col(column).alias("v"), F.lit(1).alias("r"), F.lit(0).alias("c")).unionByName(
-        current.select(F.col(column).alias("v"), F.lit(0).alias("r"), F.lit(1).alias("c"))
-    )
-    counts = both.filter(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("v").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    """One row: the largest distance of the two empirical distributions, over distinct finite values."""
+    both = _finite(reference, column).select("v", F.lit(1).alias("r"), F.lit(0).alias("c")).unionByName(_finite(current, column).select("v", F.lit(0).alias("r"), F.lit(1).alias("c")))
+    counts = both.groupBy("v").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     run = global_running(counts, [("v", True)], {"rr": "r", "cc": "c"})
     t = run.agg(F.sum("r").alias("rt"), F.sum("c").alias("ct"))
-    return run.crossJoin(F.broadcast(t)).agg(F.max(F.abs(F.col("rr") / F.col("rt") - F.col("cc") / F.col("ct"))).alias("ks")).select(F.lit(column).alias("feature"), "ks")
+    apart = F.abs(F.try_divide("rr", "rt") - F.try_divide("cc", "ct"))
+    return run.crossJoin(F.broadcast(t)).agg(F.coalesce(F.max(apart), F.lit(float("nan"))).alias("ks")).select(F.lit(column).alias("feature"), "ks")
 
 
 def calibration_error(df: DataFrame, confidence: str, correct: str, bins: int = 10) -> DataFrame:

@@ -35,14 +35,20 @@ def with_score(tx: DataFrame) -> DataFrame:
 
 
 SCORED = f"""{EV}, q AS (SELECT quantile_cont(amount, 0.99) AS q99, quantile_cont(amount, 0.999) AS q999 FROM tx),
-rules AS (SELECT tx.*, amount > q99 AS large, amount > q999 AS very_large, amount % 1000 = 0 AS round_thousand,
-    hour(make_timestamp(t_us)) < 6 OR hour(make_timestamp(t_us)) >= 22 AS odd_hours,
-    currency IS DISTINCT FROM currency_received AS cross_currency, is_self_transfer = 0 AS not_self FROM tx, q),
-scored AS (SELECT *, (CAST(large AS INT) * 1.0::DOUBLE + CAST(very_large AS INT) * 1.5::DOUBLE + CAST(round_thousand AS INT) * 0.75::DOUBLE
-    + CAST(odd_hours AS INT) * 0.5::DOUBLE + CAST(cross_currency AS INT) * 0.25::DOUBLE + CAST(not_self AS INT) * 0.25::DOUBLE)
+rules AS (SELECT tx.*, amount > q99 AS large_amount, amount > q999 AS very_large_amount, currency IS DISTINCT FROM currency_received AS cross_currency,
+    amount % 1000 = 0 AS round_amount, hour(make_timestamp(t_us)) < 6 OR hour(make_timestamp(t_us)) >= 22 AS odd_hour,
+    is_self_transfer = 0 AS non_self_transfer FROM tx, q),
+scored AS (SELECT *, (CAST(large_amount AS INT) * 1.0::DOUBLE + CAST(very_large_amount AS INT) * 1.5::DOUBLE + CAST(cross_currency AS INT) * 0.75::DOUBLE
+    + CAST(round_amount AS INT) * 0.5::DOUBLE + CAST(odd_hour AS INT) * 0.25::DOUBLE + CAST(non_self_transfer AS INT) * 0.25::DOUBLE)
     / 4.25::DOUBLE AS score FROM rules)"""
 
 
+def split_bounds(cte: str) -> str:
+    """The rows with `b`, the last instants of the train and of the validation part."""
+    at = lambda f: f"(SELECT t_us FROM o WHERE k = least(greatest(CAST(round_even(n * {f}, 0) AS BIGINT), 1), n - 1) - 1)"
+    return f"""{cte}, o AS (SELECT t_us, row_number() OVER (ORDER BY t_us) - 1 AS k, count(*) OVER () AS n FROM tx), b AS (SELECT {at(0.7)} AS b1, {at(0.85)} AS b2)"""
+
+
 # --- data -------------------------------------------------------------------------------------
 
 
@@ -187,7 +193,7 @@ def _(tx):
     return C.category_codes(train, tx, "payment_type").select("transaction_id", "payment_type_code")
 
 
-@query("c13_rules_fired", f"WITH {SCORED} SELECT transaction_id, large, very_large, round_thousand, odd_hours, cross_currency, not_self FROM scored")
+@query("c13_rules_fired", f"WITH {SCORED} SELECT transaction_id, large_amount, very_large_amount, cross_currency, round_amount, odd_hour, non_self_transfer FROM scored")
 def _(tx):
     q = tx.agg(F.percentile("amount", F.array(F.lit(0.99), F.lit(0.999))).alias("q")).first()["q"] or [0.0, 0.0]
     rules = C.rule_columns(tx.columns, float(q[0]), float(q[1]))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import columns as C
 from tidewater.operators import metrics as M
 from tidewater.operators import ranking, splits
-from tidewater.plans.data import SCORED, query, with_score
+from tidewater.plans.data import SCORED, query, split_bounds, with_score
 from tidewater.sources import views
 from tidewater.sources.views import EVENTS_CTE as EV
 from tidewater.sources.views import LINEITEM_CTE as LI
@@ -32,20 +32,15 @@ def _(spark: SparkSession, sf_dir: str):
     return kept.agg(F.count("*").alias("kept"), F.max("t_us").alias("last_us")).crossJoin(F.broadcast(total)).select("kept", (F.col("n") - F.col("kept")).alias("dropped"), "last_us")
 
 
-def _bounds(cte: str) -> str:
-    at = lambda f: f"(SELECT t_us FROM o WHERE k = least(greatest(CAST(round_even(n * {f}, 0) AS BIGINT), 1), n - 1) - 1)"
-    return f"""{cte}, o AS (SELECT t_us, row_number() OVER (ORDER BY t_us) - 1 AS k, count(*) OVER () AS n FROM tx), b AS (SELECT {at(0.7)} AS b1, {at(0.85)} AS b2)"""
-
-
 _NAME = "CASE WHEN {t} <= b1 THEN 'train' WHEN {t} <= b2 THEN 'val' ELSE 'test' END"
 
 
-@query("i2_split_hard_cut", f"WITH {_bounds(EV)} SELECT transaction_id, {_NAME.format(t='t_us')} AS split FROM tx, b")
+@query("i2_split_hard_cut", f"WITH {split_bounds(EV)} SELECT transaction_id, {_NAME.format(t='t_us')} AS split FROM tx, b")
 def _(tx):
     return splits.chronological_split(tx).select("transaction_id", "split")
 
 
-@query("i2_split_ties", f"WITH {_bounds(LI)} SELECT {_NAME.format(t='t_us')} AS split, count(*) AS n, count(DISTINCT t_us) AS instants, min(t_us) AS lo, max(t_us) AS hi FROM tx, b GROUP BY 1")
+@query("i2_split_ties", f"WITH {split_bounds(LI)} SELECT {_NAME.format(t='t_us')} AS split, count(*) AS n, count(DISTINCT t_us) AS instants, min(t_us) AS lo, max(t_us) AS hi FROM tx, b GROUP BY 1")
 def _(spark: SparkSession, sf_dir: str):
     s = splits.chronological_split(views.tx_lineitem(spark, sf_dir))
     return s.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("t_us").alias("instants"), F.min("t_us").alias("lo"), F.max("t_us").alias("hi"))
@@ -54,13 +49,13 @@ def _(spark: SparkSession, sf_dir: str):
 _SPANS = "p AS (SELECT scenario_id AS k, min(t_us) AS lo, max(t_us) AS hi, count(*) AS n FROM tx WHERE scenario_id IS NOT NULL GROUP BY 1)"
 
 
-@query("i4_split_purge", f"""WITH {_bounds(EV)}, {_SPANS}, w AS (SELECT max(hi - lo) AS buf FROM p) SELECT transaction_id, {_NAME.format(t='t_us')} AS split
+@query("i4_split_purge", f"""WITH {split_bounds(EV)}, {_SPANS}, w AS (SELECT max(hi - lo) AS buf FROM p) SELECT transaction_id, {_NAME.format(t='t_us')} AS split
   FROM tx, b, w WHERE NOT (t_us > b1 - buf AND t_us <= b1 + buf) AND NOT (t_us > b2 - buf AND t_us <= b2 + buf)""")
 def _(tx):
     return splits.chronological_split(tx, splits.SplitSpec(policy="purge")).select("transaction_id", "split")
 
 
-@query("i5_split_pattern_start", f"WITH {_bounds(EV)}, {_SPANS} SELECT transaction_id, {_NAME.format(t='coalesce(lo, t_us)')} AS split FROM tx LEFT JOIN p ON p.k = scenario_id, b")
+@query("i5_split_pattern_start", f"WITH {split_bounds(EV)}, {_SPANS} SELECT transaction_id, {_NAME.format(t='coalesce(lo, t_us)')} AS split FROM tx LEFT JOIN p ON p.k = scenario_id, b")
 def _(tx):
     return splits.chronological_split(tx, splits.SplitSpec(policy="pattern_start")).select("transaction_id", "split")
 
@@ -208,16 +203,16 @@ def _(tx):
     return _round(e, "average_precision").select("bucket", "n", "positives", "average_precision")
 
 
-_HALVES = "ref AS (SELECT amount AS v FROM tx WHERE row_pos % 2 = 0 AND row_pos < 5000), cur AS (SELECT amount * 1.2 AS v FROM tx WHERE row_pos % 2 = 1)"
+_HALVES = "ref AS (SELECT amount AS v FROM tx, b WHERE t_us <= b1), cur AS (SELECT amount * 1.2 AS v FROM tx, b WHERE t_us > b2)"
 
 
 def _halves(tx):
-    """The train part as reference, the test part (shifted) as current. The SQL above still takes row prefixes."""
+    """The train part as reference, the test part (shifted) as current."""
     split = splits.chronological_split(tx)
     return split.filter("split = 'train'").select("amount"), split.filter("split = 'test'").select((F.col("amount") * 1.2).alias("amount"))
 
 
-@query("k10_psi", f"""WITH {EV}, {_HALVES}, q AS (SELECT quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM ref),
+@query("k10_psi", f"""WITH {split_bounds(EV)}, {_HALVES}, q AS (SELECT quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM ref),
 a AS (SELECT list_count(list_filter(list_distinct(e), lambda x: CASE WHEN v >= x THEN TRUE END)) AS b, 1 AS r FROM ref, q UNION ALL
   SELECT list_count(list_filter(list_distinct(e), lambda x: CASE WHEN v >= x THEN TRUE END)), 0 FROM cur, q),
 c AS (SELECT b, greatest(sum(r) / (SELECT count(*) FROM ref), 1e-6) AS p, greatest(sum(1 - r) / (SELECT count(*) FROM cur), 1e-6) AS q FROM a GROUP BY b)
@@ -226,7 +221,7 @@ def _(tx):
     return _round(M.psi(*_halves(tx), "amount"), "psi")
 
 
-@query("k11_ks", f"""WITH {EV}, {_HALVES}, u AS (SELECT v, 1 AS r FROM ref UNION ALL SELECT v, 0 FROM cur), g AS (SELECT v, sum(r) AS r, sum(1 - r) AS c FROM u GROUP BY v),
+@query("k11_ks", f"""WITH {split_bounds(EV)}, {_HALVES}, u AS (SELECT v, 1 AS r FROM ref UNION ALL SELECT v, 0 FROM cur), g AS (SELECT v, sum(r) AS r, sum(1 - r) AS c FROM u GROUP BY v),
 s AS (SELECT sum(r) OVER (ORDER BY v) / (SELECT count(*) FROM ref) AS x, sum(c) OVER (ORDER BY v) / (SELECT count(*) FROM cur) AS y FROM g) SELECT 'amount' AS feature, round(max(abs(x - y)), 6) AS ks FROM s""")
 def _(tx):
     return _round(M.ks(*_halves(tx), "amount"), "ks")
@@ -252,13 +247,12 @@ def _(tx):
     return _round(M.account_scores(with_score(tx)), "max_score", "mean_score", "topk_mean")
 
 
-@query("k14_account_eval", f"""WITH {_ACCOUNTS}, lab AS (SELECT account, CASE WHEN CAST(substr(account, 2) AS INT) % 7 = 0 THEN 1 ELSE 0 END AS is_laundering FROM (SELECT DISTINCT account FROM ends) WHERE CAST(substr(account, 2) AS INT) % 2 = 0),
+@query("k14_account_eval", f"""WITH {_ACCOUNTS}, lab AS (SELECT account, CASE WHEN CAST(substr(account, 2) AS INT) % 7 = 0 THEN 1 ELSE 0 END AS is_laundering FROM (SELECT DISTINCT account FROM ends)),
 t AS (SELECT is_laundering, unnest(['max', 'mean', 'topk']) AS aggregation, unnest([round(max_score, 9), round(mean_score, 9), round(topk_mean, 9)]) AS score FROM acc JOIN lab USING (account)),
 {_EVAL.format(by='aggregation', src='t')} SELECT aggregation, n, positives, round(ap, 6) AS average_precision, round(auc / (positives * (n - positives)), 6) AS roc_auc FROM m""")
 def _(tx):
     ends = tx.select(F.explode(F.array("source_account", "destination_account")).alias("account")).distinct()
     number = F.substring("account", 2, 20).cast("int")
-    # every account has a label; the SQL above still labels even numbers only
     labels = ends.select("account", F.when(number % 7 == 0, 1).otherwise(0).alias("is_illicit"))
     scored = M.account_scores(with_score(tx)).join(labels, "account")
     tall = scored.select(F.col("is_illicit").alias("is_laundering"), F.explode(F.array(*[

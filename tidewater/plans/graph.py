@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.columns import DAY_US, HOUR_US
 from tidewater.operators import graph, splits
 from tidewater.operators.trace import TraceLimits, trace
-from tidewater.plans.data import query
+from tidewater.plans.data import query, split_bounds
 from tidewater.sources import views
 from tidewater.sources.views import EVENTS_CTE as EV
 from tidewater.sources.views import LINEITEM_CTE as LI
@@ -70,36 +70,22 @@ def _(tx):
     return s.withColumns({c: F.round(nudge(c), 6 if c.endswith("ratio") else 4) for c in s.columns if c.endswith(("ratio", "mean", "sum", "variance", "skew", "kurtosis"))})
 
 
-def _cycle_sql(n: int, ordered: bool, width: int) -> str:
-    """Cycles of n edges as n-way self-joins: c closes, h1 enters its sender, and so on back to its receiver."""
-    joins, where = [], [f"h1.dst = c.src AND h{n - 1}.src = c.dst"]
-    for k in range(1, n):
-        joins.append(f"e h{k}")
-        where.append(f"h{k}.t_us >= c.t_us - {width}")
-        if ordered:
-            where.append(f"h{k}.t_us < {'c' if k == 1 else f'h{k - 1}'}.t_us")
-        else:
-            where.append(f"(h{k}.t_us < c.t_us OR (h{k}.t_us = c.t_us AND h{k}.row_pos < c.row_pos))")
-        if k > 1:
-            where.append(f"h{k}.dst = h{k - 1}.src")
-        if k < n - 1:
-            where.append(f"h{k}.src <> c.src AND h{k}.src <> c.dst")
-            where += [f"h{k}.src <> h{j}.src" for j in range(1, k)]
-    return f"SELECT c.row_pos, {n} AS length, count(*) AS n FROM e c, {', '.join(joins)} WHERE {' AND '.join(where)} GROUP BY c.row_pos"
+def _cycles_sql(when: str, more: str = "") -> str:
+    """Paths grown backwards from every edge, over edges of the day before it, until they close or die."""
+    return f"""WITH RECURSIVE {EV}, {E}, p AS (SELECT row_pos, t_us AS t0, dst AS goal, src AS head, t_us AS last_t, [src, dst] AS seen, 1 AS length FROM e
+UNION ALL SELECT p.row_pos, p.t0, p.goal, h.src, h.t_us, list_append(p.seen, h.src), p.length + 1 FROM p JOIN e h ON h.dst = p.head AND {when} AND h.t_us >= p.t0 - {DAY_US}
+  WHERE p.head <> p.goal {more} AND (h.src = p.goal OR NOT list_contains(p.seen, h.src)))
+SELECT row_pos, length, count(*) AS n FROM p WHERE head = goal GROUP BY row_pos, length"""
 
 
-def _cycles_sql(ordered: bool, longest: int, width: int) -> str:
-    return f"WITH {EV}, {E} " + " UNION ALL ".join(_cycle_sql(n, ordered, width) for n in range(2, longest + 1))
-
-
-@query("h5_temporal_cycle", _cycles_sql(True, 4, DAY_US))
+@query("h5_temporal_cycle", _cycles_sql("h.t_us < p.last_t"))
 def _(tx):
-    return graph.cycles(tx, DAY_US, None, ordered=True)  # the SQL above still ends at 4 edges
+    return graph.cycles(tx, DAY_US, None, ordered=True)
 
 
-@query("h6_lc_cycle", _cycles_sql(False, 4, DAY_US // 2))
+@query("h6_lc_cycle", _cycles_sql("(h.t_us < p.t0 OR (h.t_us = p.t0 AND h.row_pos < p.row_pos))", "AND p.length < 10"))
 def _(tx):
-    return graph.cycles(tx, DAY_US, 10, ordered=False)  # the SQL above still ends at 4 edges and 12 hours
+    return graph.cycles(tx, DAY_US, 10, ordered=False)
 
 
 _W6 = 6 * HOUR_US
@@ -222,14 +208,11 @@ def _(tx):
     return graph.hard_negatives(tx)
 
 
-_TRAIN = "row_pos < 6000"
-
-
-@query("h20_adaptive", f"""WITH {EV}, tr AS (SELECT * FROM tx WHERE {_TRAIN}), o AS (SELECT source_account AS a, count(DISTINCT destination_account) AS od, median(amount) AS own FROM tr GROUP BY 1),
+@query("h20_adaptive", f"""WITH {split_bounds(EV)}, tr AS (SELECT tx.* FROM tx, b WHERE t_us <= b1), outs AS (SELECT source_account AS a, count(DISTINCT destination_account) AS od, median(amount) AS own FROM tr GROUP BY 1),
 i AS (SELECT destination_account AS b, count(DISTINCT source_account) AS id FROM tr GROUP BY 1), g AS (SELECT median(amount) AS med FROM tr),
-bk AS (SELECT *, list_count(list_filter([0, 1, 2, 4, 8, 16, 32, 64, 128, 256], lambda e: CASE WHEN od >= e THEN TRUE END)) AS bucket FROM o),
+bk AS (SELECT *, list_count(list_filter([0, 1, 2, 4, 8, 16, 32, 64, 128, 256], lambda e: CASE WHEN od >= e THEN TRUE END)) AS bucket FROM outs),
 peers AS (SELECT bucket, median(amount) AS pm, stddev_samp(amount) AS ps FROM tr JOIN bk ON a = source_account GROUP BY 1),
-j AS (SELECT tx.*, o.a, i.b, coalesce(od, 0) AS od, coalesce(id, 0) AS id, coalesce(own, med) AS med, med AS everyone FROM tx LEFT JOIN o ON o.a = source_account LEFT JOIN i ON i.b = destination_account, g),
+j AS (SELECT tx.*, outs.a, i.b, coalesce(od, 0) AS od, coalesce(id, 0) AS id, coalesce(own, med) AS med, med AS everyone FROM tx LEFT JOIN outs ON outs.a = source_account LEFT JOIN i ON i.b = destination_account, g),
 k AS (SELECT j.*, coalesce(pm, everyone) AS pm, coalesce(ps, 0) AS ps FROM (SELECT *, list_count(list_filter([0, 1, 2, 4, 8, 16, 32, 64, 128, 256], lambda e: CASE WHEN od >= e THEN TRUE END)) AS bucket FROM j) j LEFT JOIN peers USING (bucket))
 SELECT transaction_id, round(ln(1 + od), 6) AS adp_out_degree_log, round(ln(1 + id), 6) AS adp_in_degree_log,
   round(CASE WHEN od + id > 0 THEN (od - id) / (od + id) ELSE 0 END, 6) AS adp_degree_asymmetry,
@@ -239,6 +222,6 @@ SELECT transaction_id, round(ln(1 + od), 6) AS adp_out_degree_log, round(ln(1 +
   round(ln(1 + CASE WHEN od > 0 THEN amount / od ELSE amount END), 6) AS adp_amount_per_counterparty,
   CASE WHEN a IS NULL THEN 1 ELSE 0 END AS adp_source_unseen, CASE WHEN b IS NULL THEN 1 ELSE 0 END AS adp_dest_unseen FROM k""")
 def _(tx):
-    train = splits.chronological_split(tx).filter("split = 'train'")  # the SQL above still takes a row prefix
+    train = splits.chronological_split(tx).filter("split = 'train'")
     a = graph.adaptive(train.drop("split"), tx)
     return a.withColumns({c: F.round(c, 6) for c in a.columns if c != "transaction_id" and "unseen" not in c})
