@@ -37,13 +37,15 @@ def by_pos(df):
     return {r.row_pos: r for r in df.collect()}
 
 
-BEHAVIOUR = [("A", "B", 0, 100), ("A", "C", 10, 50), ("B", "A", 20, 80), ("A", "B", 120, 40)]
+MARKET = [("shop", "mill", 0, 300), ("farm", "shop", 30, 200), ("shop", "farm", 45, 60), ("mill", "shop", 50, 140), ("shop", "mill", 100, 510)]
 
 
 def test_behaviour_hand_values(spark):
-    r = by_pos(history.behaviour(frame(spark, BEHAVIOUR)))[3]
-    assert (r.bh_src_out_n_1h, r.bh_src_out_n_24h, r.bh_src_out_cents_24h, r.bh_src_in_n_24h) == (0, 2, 15000, 1)
-    assert (r.bh_src_passthrough_24h, r.bh_src_secs_since_out, r.bh_pair_n_prior, r.bh_reverse_pair_n_prior) == (0.5, 6600, 1, 1)
+    """The last row: shop sent at 0 and 45, got 200 and 140, and mill has got one payment and made one."""
+    r = by_pos(history.behaviour(frame(spark, MARKET)))[4]
+    assert (r.bh_src_out_n_1h, r.bh_src_out_n_24h, r.bh_src_out_cents_24h, r.bh_src_in_n_24h) == (1, 2, 36000, 2)
+    assert (r.bh_src_passthrough_24h, r.bh_src_secs_since_out, r.bh_pair_n_prior, r.bh_reverse_pair_n_prior) == (1.5, 3300, 1, 1)
+    assert (r.bh_dst_in_n_24h, r.bh_dst_out_n_24h) == (1, 1)
 
 
 @pytest.mark.parametrize("block", [history.behaviour, history.graph_lite, history.previous_out, graph.fan_degree, graph.vertex_statistics])
@@ -56,7 +58,7 @@ def test_later_rows_change_nothing_earlier(spark, block):
 
 
 def test_one_instant_is_blind_to_itself(spark):
-    got = by_pos(history.behaviour(frame(spark, [("A", "B", 5, 10), ("A", "B", 5, 20)])))
+    got = by_pos(history.behaviour(frame(spark, [("quay", "port", 7, 31), ("quay", "port", 7, 62), ("quay", "port", 7, 31)])))
     assert all((r.bh_pair_n_prior, r.bh_src_out_n_1h, r.bh_src_secs_since_out) == (0, 0, None) for r in got.values())
 
 
@@ -124,7 +126,8 @@ def test_scatter_gather(spark):
     assert sorted(tuple(r) for r in graph.scatter_gather(tx).collect()) == [(4, 2, 1), (5, 3, 1)]
 
 
-CHAIN = [("A", "B", 10, 1000), ("B", "C", 20, 900), ("C", "D", 30, 800), ("N1", "B", 5, 55), ("D", "N2", 15, 44), ("X", "Y", 12, 12)]
+#: Ore goes to the smelter and on to the press, the port and the scrap heap; the last two rows come too early to follow.
+FLOW = [("ore", "smelter", 50, 720), ("smelter", "press", 65, 640), ("smelter", "scrap", 70, 55), ("press", "port", 90, 610), ("press", "smelter", 40, 33), ("quay", "port", 30, 8)]
 
 
 def seeds(spark, account, minute=None):
@@ -132,31 +135,31 @@ def seeds(spark, account, minute=None):
 
 
 def test_trace_chain(spark):
-    tx = frame(spark, CHAIN)
-    t = trace(tx, seeds(spark, "A"), horizon=3)
-    assert {r.row_pos: r.depth for r in t.edges.collect()} == {0: 1, 1: 2, 2: 3}
-    assert [r.account for r in t.terminals.collect()] == ["D"]
-    assert {r.depth: r.cents for r in t.per_hop().collect()} == {1: 100000, 2: 90000, 3: 80000}
-    assert trace(tx, seeds(spark, "A"), horizon=2).edges.count() == 2
-    assert trace(tx, seeds(spark, "A", 15)).edges.count() == 0
-    back = {r.row_pos for r in trace(tx, seeds(spark, "D"), "backward").edges.collect()}
-    assert {0, 1, 2} <= back and 4 not in back
+    tx = frame(spark, FLOW)
+    t = trace(tx, seeds(spark, "ore"), horizon=3)
+    assert {r.row_pos: r.depth for r in t.edges.collect()} == {0: 1, 1: 2, 2: 2, 3: 3}
+    assert sorted(r.account for r in t.terminals.collect()) == ["port", "scrap"]
+    assert {r.depth: r.cents for r in t.per_hop().collect()} == {1: 72000, 2: 69500, 3: 61000}
+    assert trace(tx, seeds(spark, "ore"), horizon=2).edges.count() == 3
+    assert trace(tx, seeds(spark, "ore", 60)).edges.count() == 0
+    back = {r.row_pos for r in trace(tx, seeds(spark, "port"), "backward", horizon=3).edges.collect()}
+    assert back == {0, 1, 3, 4, 5}  # the press paid the smelter before the smelter paid it back
 
 
 def test_trace_limits_and_refusals(spark):
-    hub = frame(spark, [("HUB", f"S{i}", i) for i in range(100)])
-    capped = trace(hub, seeds(spark, "HUB"), limits=TraceLimits(degree_cap=10))
-    assert capped.edges.count() == 10 and capped.status.first().capped == ["HUB"] and not capped.status.first().complete
-    spent = trace(hub, seeds(spark, "HUB"), limits=TraceLimits(degree_cap=100, edge_budget=25))
-    assert spent.edges.count() == 25 and spent.status.first().exhausted
-    ring = frame(spark, [("A", "B", 1), ("B", "C", 2), ("C", "A", 3)])
-    assert trace(ring, seeds(spark, "A"), horizon=5).edges.count() == 3
-    gap = frame(spark, [("A", "B", 0), ("B", "C", 40 * 1440)])
-    assert trace(gap, seeds(spark, "A"), limits=TraceLimits(max_gap_us=7 * C.DAY_US)).edges.count() == 1
+    star = frame(spark, [("core", f"ray{i}", 2 * i) for i in range(70)])
+    capped = trace(star, seeds(spark, "core"), limits=TraceLimits(degree_cap=6))
+    assert capped.edges.count() == 6 and capped.status.first().capped == ["core"] and not capped.status.first().complete
+    spent = trace(star, seeds(spark, "core"), limits=TraceLimits(degree_cap=70, edge_budget=20))
+    assert spent.edges.count() == 20 and spent.status.first().exhausted
+    ring = frame(spark, [("p", "q", 3), ("q", "r", 8), ("r", "s", 9), ("s", "p", 11)])
+    assert trace(ring, seeds(spark, "p"), horizon=6).edges.count() == 4
+    gap = frame(spark, [("p", "q", 0), ("q", "r", 3 * 1440)])
+    assert trace(gap, seeds(spark, "p"), limits=TraceLimits(max_gap_us=2 * C.DAY_US)).edges.count() == 1
     for bad in ({"direction": "sideways"}, {"horizon": 0}):
         with pytest.raises(TraceError):
-            trace(hub, seeds(spark, "HUB"), **bad)
-    assert trace(hub, seeds(spark, "nobody")).edges.count() == 0
+            trace(star, seeds(spark, "core"), **bad)
+    assert trace(star, seeds(spark, "nobody")).edges.count() == 0
 
 
 def test_splits(spark):
@@ -185,7 +188,7 @@ def test_only_a_trailing_sparse_run_is_trimmed(spark):
 
 
 def test_contract(spark):
-    tx = frame(spark, BEHAVIOUR)
+    tx = frame(spark, MARKET)
     contract.validate_schema(tx)
     for column in contract.FORBIDDEN:
         with pytest.raises(contract.ContractError):
@@ -225,11 +228,11 @@ def test_metrics(spark):
 
 
 def test_account_scores(spark):
-    tx = frame(spark, [("A", "B", 0), ("A", "C", 1), ("B", "C", 2), ("C", "D", 3), ("D", "A", 4), ("B", "D", 5)])
-    scored = tx.withColumn("score", F.when(F.col("row_pos") == 0, 0.9).otherwise(0.1))
-    got = {r.account: r for r in metrics.account_scores(scored, k=2).collect()}
-    assert (got["A"].max_score, got["B"].max_score, got["C"].max_score, got["A"].n) == (0.9, 0.9, 0.1, 3)
-    assert all(r.mean_score <= r.topk_mean + 1e-12 <= r.max_score + 2e-12 for r in got.values())
+    tx = frame(spark, [("k", "l", 0), ("l", "m", 1), ("k", "m", 2), ("m", "n", 3), ("n", "l", 4)])
+    scored = tx.withColumn("score", F.element_at(F.array(*map(F.lit, (0.2, 0.8, 0.2, 0.6, 0.2))), (F.col("row_pos") + 1).cast("int")))
+    got = {r.account: (r.max_score, r.mean_score, r.topk_mean, r.n) for r in metrics.account_scores(scored, k=2).collect()}
+    want = {"k": (0.2, 0.2, 0.2, 2), "l": (0.8, 0.4, 0.5, 3), "m": (0.8, 1.6 / 3, 0.7, 3), "n": (0.6, 0.4, 0.4, 2)}
+    assert got.keys() == want.keys() and all(got[a] == pytest.approx(w) for a, w in want.items())
 
 
 def test_cascade_and_ranks(spark):
@@ -246,26 +249,31 @@ def test_cascade_and_ranks(spark):
 
 
 def test_cases_agree_and_tampering_shows(spark):
-    tx = frame(spark, CHAIN)
-    t = trace(tx, seeds(spark, "A"))
-    docs = cases.build(t, tx.select("row_pos", "transaction_id", "payment_type"), spark.createDataFrame([("A", 0.9, 1)], "seed string, score double, rank long")).cache()
+    tx = frame(spark, FLOW)
+    t = trace(tx, seeds(spark, "ore"), horizon=3)
+    docs = cases.build(t, tx.select("row_pos", "transaction_id", "payment_type"), spark.createDataFrame([("ore", 0.9, 1)], "seed string, score double, rank long")).cache()
     assert cases.inconsistencies(docs).count() == 0
-    assert docs.first().accounts == ["A", "B", "C", "D"] and docs.first().trace.terminals == ["D"]
+    assert docs.first().accounts == ["ore", "port", "press", "scrap", "smelter"] and docs.first().trace.terminals == ["port", "scrap"]
     faults = lambda d: {r.fault for r in cases.inconsistencies(d).collect()}
-    assert "accounts" in faults(docs.withColumn("accounts", F.array(F.lit("A"))))
+    assert "accounts" in faults(docs.withColumn("accounts", F.array(F.lit("ore"))))
     assert {"transaction_ids", "case_id"} <= faults(docs.withColumn("transaction_ids", F.array(F.lit("TX9"))))
-    contribs = spark.createDataFrame(
-        [(f"TX{i:010d}", a, g, h) for i, (a, g, h) in enumerate([(0.30, 0.20, -0.02), (0.10, 0.25, -0.01), (-0.05, 0.15, -0.03)])], "transaction_id string, amount_log double, gfp_f042 double, hour double"
-    )
-    r = cases.reasons(t, tx.select("row_pos", "transaction_id"), contribs, ["amount_log", "gfp_f042", "hour"]).first().reasons
-    assert [x.feature for x in r] == ["gfp_f042", "amount_log", "hour"] and r[2].code == "HOUR_LOWERED" and abs(r[0].total - 0.6) < 1e-12
-
-
+    hops = lambda change: docs.withColumn("trace", F.col("trace").withField("per_hop", F.transform("trace.per_hop", change)))
+    assert faults(hops(lambda h: h.withField("n", h["n"] + 1))) == {"per_hop_count"}
+    assert faults(hops(lambda h: h.withField("cents", h["cents"] - 1))) == {"per_hop_sum"}
+    assert faults(docs.withColumn("coverage", F.col("coverage").withField("rails", F.map_from_arrays(F.array(F.lit("ACH")), F.array(F.lit(9).cast("long")))))) == {"rails"}
+    gains = [(0.05, 0.4, -0.05), (-0.2, 0.3, -0.1), (0.1, -0.1, -0.1), (0.3, 0.2, -0.05)]
+    contribs = spark.createDataFrame([(f"TX{i:010d}", *g) for i, g in enumerate(gains)], "transaction_id string, size double, ring double, night double")
+    r = cases.reasons(t, tx.select("row_pos", "transaction_id"), contribs, ["size", "ring", "night"]).first().reasons
+    assert [x.feature for x in r] == ["ring", "night", "size"] and r[1].code == "NIGHT_LOWERED"
+    assert [x.total for x in r] == pytest.approx([0.8, -0.3, 0.25]) and r[0].driven_by[0] == "TX0000000000"
+
+
+#: The header of the raw transfer file and, below, the marks of a pattern block.
 HEADER = "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering"
 RAW = [
-    "2022/09/01 00:20,010,8000EBD30,010,8000EBD30,3697.34,US Dollar,3697.34,US Dollar,Reinvestment,0",
-    "2022/09/01 00:20,03208,8000F4580,001,8000F5340,0.01,US Dollar,0.01,US Dollar,Cheque,0",
-    "2022/09/01 00:05,0134266,814167590,0036925,810E343A0,132713.46,Yuan,18264.20,Euro,ACH,1",
+    "2023/03/07 13:45,007,AB12,007,AB12,50.00,Franc,50.00,Franc,Transfer,0",
+    "2023/03/07 13:50,0042,CD34,0009,EF56,12.5,Franc,12.5,Franc,Card,0",
+    "2023/03/07 13:30,0311,GH78,0650,IJ90,910.00,Peso,45.60,Koruna,Wire,1",
 ]
 
 
@@ -273,15 +281,15 @@ def test_raw_transfers_and_patterns(spark, tmp_path):
     (tmp_path / "tx.csv").write_text("\n".join([HEADER, *RAW]) + "\n")
     tx = readers.load_transactions(spark, f"file://{tmp_path}/tx.csv").orderBy("row_pos").collect()
     assert [r.transaction_id for r in tx] == [f"TX{i:010d}" for i in range(3)]
-    assert (tx[0].source_account, tx[0].is_self_transfer, tx[1].destination_account) == ("10:8000EBD30", 1, "1:8000F5340")
-    assert (tx[2].amount, tx[2].currency, tx[2].amount_received) == (18264.20, "Euro", 132713.46)
+    assert (tx[0].source_account, tx[0].is_self_transfer, tx[1].destination_account) == ("7:AB12", 1, "9:EF56")
+    assert (tx[2].amount, tx[2].currency, tx[2].amount_received) == (45.60, "Koruna", 910.0)
     assert readers.load_transactions(spark, f"file://{tmp_path}/tx.csv", nrows=2).count() == 2
     a, b = RAW[1], RAW[2]
-    text = f"BEGIN LAUNDERING ATTEMPT - STACK\n{a}\n{b}\nEND LAUNDERING ATTEMPT - STACK\n\nBEGIN LAUNDERING ATTEMPT - CYCLE:  Max 12 hops\n{b}\nEND LAUNDERING ATTEMPT - CYCLE\n"
+    text = f"BEGIN LAUNDERING ATTEMPT - BIPARTITE\n{a}\n{b}\nEND LAUNDERING ATTEMPT - BIPARTITE\n\nBEGIN LAUNDERING ATTEMPT - RANDOM:  Max 4 hops\n{b}\nEND LAUNDERING ATTEMPT - RANDOM\n"
     (tmp_path / "p.txt").write_text(text)
     patterns = readers.parse_patterns(spark, f"file://{tmp_path}/p.txt")
     got = {r.row_pos: r for r in contract.attach_patterns(readers.load_transactions(spark, f"file://{tmp_path}/tx.csv"), patterns).collect()}
-    assert (got[1].pattern_type, got[1].scenario_id) == ("STACK", "SC000000")
+    assert (got[1].pattern_type, got[1].scenario_id) == ("BIPARTITE", "SC000000")
     assert got[2].scenario_id is None and got[2].ambiguous and got[0].scenario_id is None
     for bad in ("", f"BEGIN LAUNDERING ATTEMPT - X\n{a}\n", "END LAUNDERING ATTEMPT - X\n", "BEGIN LAUNDERING ATTEMPT - X\n1,2\nEND LAUNDERING ATTEMPT - X\n"):
         (tmp_path / "bad.txt").write_text(bad)
@@ -290,22 +298,22 @@ def test_raw_transfers_and_patterns(spark, tmp_path):
     (tmp_path / "short.csv").write_text("a,b\n1,2\n")
     with pytest.raises(readers.SourceError):
         readers.load_transactions(spark, f"file://{tmp_path}/short.csv")
-    (tmp_path / "acc.csv").write_text("Bank Name,Bank ID,Account Number,Entity ID,Entity Name\nFirst,010,8000EBD30,E1,One\n")
-    assert readers.load_accounts(spark, f"file://{tmp_path}/acc.csv").first().account_id == "10:8000EBD30"
+    (tmp_path / "acc.csv").write_text("Bank Name,Bank ID,Account Number,Entity ID,Entity Name\nHarbour,007,AB12,E7,Pier\n")
+    assert readers.load_accounts(spark, f"file://{tmp_path}/acc.csv").first().account_id == "7:AB12"
 
 
 def test_sinks(spark, tmp_path):
-    tx = frame(spark, BEHAVIOUR)
+    tx = frame(spark, MARKET)
     writers.write_feature_parts(history.behaviour(tx), f"file://{tmp_path}/parts", 2)
     part = readers.read_feature_parts(spark, f"file://{tmp_path}/parts", tx.filter("row_pos > 1"))
-    assert part.count() == 2 and "bh_src_out_n_24h" in part.columns
-    assert readers.cache_is_complete(spark, f"file://{tmp_path}/parts", 4) and not readers.cache_is_complete(spark, f"file://{tmp_path}/none", 4)
+    assert part.count() == 3 and "bh_src_out_n_24h" in part.columns
+    assert readers.cache_is_complete(spark, f"file://{tmp_path}/parts", 5) and not readers.cache_is_complete(spark, f"file://{tmp_path}/none", 4)
     writers.write_table(tx, f"file://{tmp_path}/t.csv", "csv")
-    assert readers.read_table(spark, f"file://{tmp_path}/t.csv", ["row_pos"]).count() == 4
+    assert readers.read_table(spark, f"file://{tmp_path}/t.csv", ["row_pos"]).count() == 5
     ranked = ranking.rank(tx.withColumn("score", F.col("amount"))).withColumn("alert", F.col("rank") <= 1)
     writers.write_scores(ranked, f"file://{tmp_path}/scores")
     assert '"n_alerts": 1' in writers.run_summary(ranked, model_id="m")
-    assert writers.dataset_summary(tx)["rows"] == 4
+    assert writers.dataset_summary(tx)["rows"] == 5
 
 
 def test_model_package(spark, tmp_path):
