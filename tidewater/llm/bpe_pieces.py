@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidewater.llm.common import sliced
+from tidewater.llm.common import sliced, tidy
 from tidewater.llm.pieces import TextEncoder
 
 _SHIFT = 256
@@ -147,7 +147,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
                 table[decoded_col] = decoder(ranks_path).decode(table[ids_col])
             yield pa.RecordBatch.from_pydict(table)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -162,4 +162,4 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col:
             table[bytes_col] = own.decode(pc.fill_null(batch.column(ids_col), b""))
             yield pa.RecordBatch.from_pydict(table)
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(tidy(run), schema)

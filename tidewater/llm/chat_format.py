@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+
+from tidewater.llm.common import tidy
 from pyspark.sql import functions as F
 
 
@@ -104,7 +106,7 @@ def segments(turns: DataFrame, template: ChatTemplate | None = None) -> DataFram
                     seq += 1
             yield pa.RecordBatch.from_pydict(out, schema=_SEGMENTS)
 
-    return dealt.mapInArrow(emit, SEGMENT_SCHEMA)
+    return dealt.mapInArrow(tidy(emit), SEGMENT_SCHEMA)
 
 
 DIGEST_SCHEMA = (
@@ -164,4 +166,4 @@ def digest(formatted: DataFrame, template: ChatTemplate | None = None) -> DataFr
         if rows["conv_id"]:
             yield pa.RecordBatch.from_pydict(rows, schema=_DIGEST)
 
-    return formatted.mapInArrow(read, DIGEST_SCHEMA)
+    return formatted.mapInArrow(tidy(read), DIGEST_SCHEMA)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewater.session import cut, shared_dir
 
-__all__ = ["crc_fold", "cut", "let", "shared_dir", "sliced", "table"]
+__all__ = ["crc_fold", "cut", "let", "shared_dir", "sliced", "table", "tidy"]
 
 #: Word separators of the length rules and the shingle join: space and the ASCII controls 9 to 13.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -50,3 +53,18 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256, column: str | Non
             n = min(rows, max(1, int(np.searchsorted(ends[at:], before + size, side="right"))))
             yield batch.slice(at, n)
             at += n
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same batch function; at a task's end the Python worker, which Spark keeps, gives freed memory back."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # only some C libraries can
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied

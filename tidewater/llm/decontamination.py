@@ -22,6 +22,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+
+from tidewater.llm.common import tidy
 from pyspark.sql import functions as F
 
 from tidewater.llm.fm_index import FMIndex
@@ -181,7 +183,7 @@ def annotate(
             if held:
                 yield from flush()
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(tidy(run), out.schema)
     return out
 
 
@@ -205,4 +207,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window
             table[text_col] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_pydict(table)
 
-    return marked.mapInArrow(cut, docs.schema)
+    return marked.mapInArrow(tidy(cut), docs.schema)

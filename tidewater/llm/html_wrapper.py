@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import cut, sliced
+from tidewater.llm.common import cut, sliced, tidy
 
 _SPLIT = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -427,8 +427,8 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         if last is not None:
             yield pa.RecordBatch.from_pydict({"host": [last], "wrapper": [json.dumps(wrapper)]}, schema=_PAIR)
 
-    found = pages.select("url", "html").mapInArrow(partial, "host string, wrapper string")
-    return found.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(align, "host string, wrapper string")
+    found = pages.select("url", "html").mapInArrow(tidy(partial), "host string, wrapper string")
+    return found.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(tidy(align), "host string, wrapper string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -455,8 +455,8 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string())})
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    by_host = cut(infer_wrappers(own).mapInArrow(rules, "host string, rule string"), "html-rules")
+    by_host = cut(infer_wrappers(own).mapInArrow(tidy(rules), "host string, rule string"), "html-rules")
     size = by_host.agg(F.sum(F.length("rule") + F.length("host") + 64)).first()[0] or 0
-    named = own.mapInArrow(hosts, "page_id long, url string, html string, host string")
+    named = own.mapInArrow(tidy(hosts), "page_id long, url string, html string, host string")
     known = F.broadcast(by_host) if size <= BROADCAST_BYTES else by_host
-    return named.join(known, "host", "left").select("page_id", "url", "html", "rule").mapInArrow(read, "page_id long, url string, text string")
+    return named.join(known, "host", "left").select("page_id", "url", "html", "rule").mapInArrow(tidy(read), "page_id long, url string, text string")

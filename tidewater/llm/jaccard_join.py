@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import cut
+from tidewater.llm.common import cut, tidy
 from tidewater.llm.components import connected
 
 _U = np.uint64
@@ -131,8 +131,8 @@ def sketch(docs: DataFrame, spec: JoinSpec) -> np.ndarray:
         if last is not None:
             yield done()
 
-    partial = docs.select("__text").mapInArrow(count, "slice int, packed binary")
-    summed = partial.repartition(_SLICES, "slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, packed binary, total long")
+    partial = docs.select("__text").mapInArrow(tidy(count), "slice int, packed binary")
+    summed = partial.repartition(_SLICES, "slice").sortWithinPartitions("slice").mapInArrow(tidy(add), "slice int, packed binary, total long")
     out, total = np.zeros(size, np.uint8), 0
     for r in summed.collect():
         out[r.slice * part : (r.slice + 1) * part] = np.frombuffer(r.packed, np.uint8)
@@ -216,7 +216,7 @@ def describe(docs: DataFrame, spec: JoinSpec, levels: np.ndarray) -> DataFrame:
                 arrays += [pa.array(c, pa.int64()) for c in np.array(maps).T]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.mapInArrow(run, _SET_SCHEMA)
+    return docs.mapInArrow(tidy(run), _SET_SCHEMA)
 
 
 def _tokens(docs: DataFrame, spec: JoinSpec) -> DataFrame:
@@ -227,7 +227,7 @@ def _tokens(docs: DataFrame, spec: JoinSpec) -> DataFrame:
                 sets = [shingle_set(t, spec.width).view(np.int64) for t in batch.column("__text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sets, pa.list_(pa.int64()))], names=["class", "tokens"])
 
-    return docs.select("class", "__text").mapInArrow(run, "class binary, tokens array<long>")
+    return docs.select("class", "__text").mapInArrow(tidy(run), "class binary, tokens array<long>")
 
 
 def live_keys(described: DataFrame) -> DataFrame:
@@ -267,8 +267,8 @@ def live_filter(keys: DataFrame) -> np.ndarray:
         if last is not None:
             yield done()
 
-    marked = keys.mapInArrow(mark, "slice int, packed binary")
-    joined = marked.repartition(_SLICES, "slice").sortWithinPartitions("slice").mapInArrow(join, "slice int, packed binary")
+    marked = keys.mapInArrow(tidy(mark), "slice int, packed binary")
+    joined = marked.repartition(_SLICES, "slice").sortWithinPartitions("slice").mapInArrow(tidy(join), "slice int, packed binary")
     out = np.zeros(size // 8, np.uint8)
     for r in joined.collect():
         out[r.slice * part // 8 : (r.slice + 1) * part // 8] = np.frombuffer(r.packed, np.uint8)
@@ -297,7 +297,7 @@ def live_index(described: DataFrame, live: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, *facts.columns], names=["key", "place", *facts.schema.names])
 
     rows = described.filter("keys IS NOT NULL").select("class", "keys", "places", "n_shingles", *maps)
-    return rows.mapInArrow(run, f"key long, place int, class binary, n_shingles long, {_SIGNED}")
+    return rows.mapInArrow(tidy(run), f"key long, place int, class binary, n_shingles long, {_SIGNED}")
 
 
 # --- verification and rounds -----------------------------------------------------------------------

@@ -6,7 +6,8 @@ expression over them. Comparisons are cross-multiplied integers, so no rounding
 
 Defined results: a null or empty text has no words, fails the length rule and is not kept; a text of one
 very long word is one word; repeated rows are scored one by one; an empty table gives an empty result;
-columns of other names pass through `filter_documents` untouched.
+`metrics` and `judge` replace input columns that have the name of a metric, of `base_failed` or of `kept`;
+`filter_documents` returns every input column untouched, whatever its name.
 """
 
 from __future__ import annotations

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+
+from tidewater.llm.common import tidy
 from pyspark.sql import types as T
 
 
@@ -125,4 +127,4 @@ def score(docs: DataFrame, model: SubwordModel, text_col: str = "text", score_co
             table[score_col] = pa.array([own.score(t) for t in batch.column(text_col).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_pydict(table)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import sliced
+from tidewater.llm.common import sliced, tidy
 from tidewater.llm.pieces import TextEncoder
 
 MAGIC = b"TWPLANE1"
@@ -244,7 +244,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             yield pa.RecordBatch.from_pydict({"shard": [number], "docs": [n_docs], "ids": [n_ids]},
                                              schema=pa.schema([("shard", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    manifest = dealt.mapInArrow(run, "shard long, docs long, ids long")
+    manifest = dealt.mapInArrow(tidy(run), "shard long, docs long, ids long")
     return [r.asDict() for r in sorted(manifest.collect(), key=lambda r: r.shard)]
 
 
@@ -282,7 +282,7 @@ def read_shards(spark: SparkSession, folder: str, manifest: list[dict], with_ids
                         yield _batch(rows, schema)
 
     out = READ_SCHEMA if with_ids else READ_SCHEMA.rpartition(",")[0]
-    return spark.range(0, len(entries), 1, len(entries)).mapInArrow(run, out)
+    return spark.range(0, len(entries), 1, len(entries)).mapInArrow(tidy(run), out)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -24,6 +24,8 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+
+from tidewater.llm.common import tidy
 from pyspark.sql import types as T
 
 #: Characters that imitate Latin letters.
@@ -224,4 +226,4 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", score_col:
             table[score_col] = pa.array([own.score(t) for t in batch.column(text_col).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_pydict(table)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
