@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -60,7 +61,22 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write and reread `df` in the shared folder: recovery from lost executors restarts from files."""
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tidewater_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a frame from `cut` once everything made from it is written itself.
+
+    Also lets the driver drop the shuffle files of finished queries, which otherwise stay until it happens to
+    collect its garbage.
+    """
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._tidewater_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def global_position(df: DataFrame, order: list[tuple[str, bool]], name: str) -> DataFrame:
