@@ -13,9 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.session import cut, shared_dir
+from tidewater.session import cut, discard, shared_dir
 
-__all__ = ["crc_fold", "cut", "let", "shared_dir", "sliced", "table", "tidy"]
+__all__ = ["crc_fold", "cut", "discard", "let", "shared_dir", "sliced", "table", "tidy"]
 
 #: Word separators of the length rules and the shingle join: space and the ASCII controls 9 to 13.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"

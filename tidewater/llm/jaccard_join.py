@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import cut, tidy
+from tidewater.llm.common import cut, discard, tidy
 from tidewater.llm.components import connected
 
 _U = np.uint64
@@ -343,12 +343,13 @@ def components(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "doc
     spec = spec or JoinSpec()
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
     docs = docs.withColumn("__print", F.xxhash64("__text"))
-    described = cut(describe(docs, spec, sketch(docs, spec)), "jaccard-sets")
+    keyed = cut(describe(docs, spec, sketch(docs, spec)), "jaccard-keys")
+    described = cut(keyed.select("doc_id", "print", "n_shingles", "class"), "jaccard-sets")
     classes = described.filter("class IS NOT NULL").groupBy("class").agg(
         F.min(F.struct("doc_id", "print")).alias("sample"), F.min("doc_id").alias("least")
     )
     facts = ["key", "class", "place", "n_shingles", *(f"m{i}" for i in range(MAPS))]
-    index = live_index(described, live_filter(live_keys(described)))
+    index = live_index(keyed, live_filter(live_keys(keyed)))
     # buckets of two classes or more, each with two hubs: the member with the fewest tokens before the key, which among
     # near copies is the one with the fewest tokens of its own, and another one drawn by hash
     draw = F.struct(F.xxhash64("class", "key").alias("d"), F.col("class").alias("c"))
@@ -358,6 +359,7 @@ def components(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "doc
     ).filter("low <> high").select("key", "members", "p", F.when(F.col("high") != F.col("p"), F.col("high")).otherwise(F.col("low")).alias("q"))
     # a class that several tasks met has one row a key; the rows of a key are together already
     live = cut(index.join(buckets, "key").dropDuplicates(["key", "class"]), "jaccard-live")
+    discard(keyed)  # the keys that matter are in the buckets
     # every member is compared with both hubs, and the hubs with each other, once
     hub = F.when(F.col("class") == F.col("p"), F.array("q")).when(F.col("class") != F.col("q"), F.array("p", "q")).otherwise(F.array().cast("array<binary>"))
     probes = live.select(*facts, F.explode(hub).alias("hub"))
@@ -374,6 +376,7 @@ def components(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "doc
     rest_rows = live.filter("members > 3").select(*facts)
     marked = rest_rows.join(roots.withColumnRenamed("node", "class"), "class", "left")
     marked = cut(marked.withColumn("root", F.coalesce("root", "class")), "jaccard-marked")
+    discard(live)
     shares = marked.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
     mixed = marked.join(largest.filter("roots > 1").select("key", "main"), "key")
@@ -384,6 +387,7 @@ def components(docs: DataFrame, spec: JoinSpec | None = None, id_col: str = "doc
         .select(F.least("l.class", "r.class").alias("a"), F.greatest("l.class", "r.class").alias("b"))
     )
     rest = cut(_verify(second, docs, classes, spec, "jaccard-rest"), "jaccard-late")
+    discard(marked)
     joined = roots
     if not rest.isEmpty():
         joined = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest), "jaccard-final")
