@@ -4,9 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewater.functions.columns import case_id, iso, reason_code
-from tidewater.operators.trace import Trace
+from tidewater.operators.ranking import subjects
+from tidewater.operators.trace import Trace, TraceLimits, trace
+
+#: The reach and the limits of a case's trace.
+CASE_HORIZON = 3
+CASE_LIMITS = TraceLimits(16, 200)
+
+
+class CaseError(ValueError):
+    """Raised when stored case documents cannot be trusted."""
 
 
 def build(trace: Trace, rails: DataFrame, risk: DataFrame) -> DataFrame:
@@ -62,3 +72,42 @@ def inconsistencies(cases: DataFrame) -> DataFrame:
         F.when(F.col("case_id") != case_id(F.col("transaction_ids"), F.col("seed")), "case_id"),
     ))
     return cases.select("case_id", F.explode(faults).alias("fault"))
+
+
+def export(df: DataFrame, ranked: DataFrame, n: int = 10) -> DataFrame:
+    """Documents of the n best-ranked alerted accounts, each traced forward from its best alert.
+
+    `ranked`: transfers with score, rank and alert. An account's alert is a transfer of its own, so its trace holds
+    that one at least; at most n seeds reach the trace.
+    """
+    best = subjects(ranked, n).select(F.col("source_account").alias("seed"), F.col("t_us").alias("at_us"), "score", "rank")
+    rails = df.select("row_pos", "transaction_id", "payment_type")
+    return build(trace(df, best.select("seed", "at_us"), "forward", CASE_HORIZON, CASE_LIMITS), rails, best.select("seed", "score", "rank"))
+
+
+def rail_coverage(cases: DataFrame) -> DataFrame:
+    """(case_id, n, n_unknown, warning): how many of a case's transfers have no payment type; a warning if any."""
+    rails = F.coalesce("coverage.rails", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<long>")))
+    total = F.aggregate(F.map_values(rails), F.lit(0).cast("long"), lambda a, n: a + n)
+    unknown = F.coalesce(F.try_element_at(rails, F.lit("unknown")), F.lit(0).cast("long"))
+    warning = F.when(unknown > 0, F.format_string("%d of %d transfers have no payment type", unknown, total))
+    return cases.select("case_id", total.alias("n"), unknown.alias("n_unknown"), warning.alias("warning"))
+
+
+def as_text(cases: DataFrame) -> DataFrame:
+    """(case_id, value): a document as one line of JSON, its top fields in alphabetical order; nulls are left out."""
+    return cases.select("case_id", F.to_json(F.struct(*sorted(cases.columns))).alias("value"))
+
+
+def from_text(lines: DataFrame, schema: StructType) -> DataFrame:
+    """Documents of `value` lines. Raises CaseError unless every line, written again, is the same line.
+
+    So unknown fields, other types, broken lines and another field order are refused. `schema` is that of the written
+    documents. The check is one pass that brings one line at most to the driver.
+    """
+    ordered = StructType(sorted(schema.fields, key=lambda f: f.name))
+    parsed = lines.select("value", F.from_json("value", ordered).alias("doc"))
+    bad = parsed.filter(~F.to_json("doc").eqNullSafe(F.col("value"))).select("value").first()
+    if bad is not None:
+        raise CaseError(f"not a document as written: {(bad.value or '')[:120]}")
+    return parsed.select("doc.*").select(*schema.names)

@@ -100,6 +100,36 @@ def vertex_statistics(df: DataFrame, width_us: int = DAY_US, value: str = "cents
     return one.select(*out)
 
 
+def order_statistics(df: DataFrame, value: str = "cents", width_us: int = DAY_US) -> DataFrame:
+    """For both ends and both roles: least, greatest, middle (two middles halved) and mean of an integer column.
+
+    Null where a frame has no value. A frame's values are one sorted array, so memory follows the window's rows.
+    """
+    carry = () if value in ("cents", "t_us") else (value,)
+    seen = account_events(df.filter("source_account <> destination_account"), *carry)
+    kept = lambda role, w: F.collect_list(F.when(F.col("role") == role, F.col(value).cast("long"))).over(w)
+    values = [F.array_sort(F.concat(kept(role, _past(width_us)), kept(role, _ties()))).alias(f"{role}_v") for role in ("out", "in")]
+    seen = seen.select("row_pos", F.col("role").alias("end"), *values)
+    stats = []
+    for role in ("out", "in"):
+        v = F.col(f"{role}_v")
+        n = F.size(v)
+        at = lambda i, v=v: F.try_element_at(v, i.cast("int"))
+        middle = (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2
+        mean = F.aggregate(v, F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x).cast("decimal(38,0)")).cast("double") / n
+        for name, c in (("min", F.array_min(v)), ("max", F.array_max(v)), ("median", middle), ("mean", mean)):
+            stats.append(F.when(n > 0, c).cast("double").alias(f"{role}_{name}"))
+    seen = seen.select("row_pos", "end", *stats)
+    names = [f"{role}_{s}" for role in ("out", "in") for s in ("min", "max", "median", "mean")]
+    pick = lambda end, c: F.max(F.when(F.col("end") == end, F.col(c)))
+    return seen.groupBy("row_pos").agg(*[pick(end, c).alias(f"{name}_{c}") for end, name in (("out", "src"), ("in", "dst")) for c in names])
+
+
+def timestamp_statistics(df: DataFrame, width_us: int = DAY_US) -> DataFrame:
+    """`order_statistics` of the transfers' own times, in whole seconds since the epoch."""
+    return order_statistics(df.withColumn("t_s", F.expr("t_us div 1000000")), "t_s", width_us)
+
+
 def _power(x: Column, k: int) -> Column:
     out = x
     for _ in range(k - 1):

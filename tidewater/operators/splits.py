@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -109,8 +110,22 @@ def spanning_patterns(df: DataFrame, spec: SplitSpec, key: str = "scenario_id")
     return spans.filter(crosses(b1) | crosses(b2)).count()
 
 
-def unseen_typology_split(df: DataFrame, held_out: list[str]) -> DataFrame:
-    """Positives of the held-out typologies are test; other positives train; negatives are halved by a hash of the id."""
+def unseen_typology_split(df: DataFrame, held_out: list[str] | None = None, n_held_out: int = 2, seed: int = 42) -> DataFrame:
+    """Positives of the held-out typologies are test; other positives train; negatives are halved by a hash of the id.
+
+    Without `held_out`, `n_held_out` typologies are drawn by a seeded hash, one at least staying in training.
+    Refused: a frame without annotations, a typology it does not hold, and holding out all of them.
+    """
+    known = sorted(r[0] for r in df.filter("is_laundering = 1 AND pattern_type IS NOT NULL").select("pattern_type").distinct().collect())  # a handful of names
+    if not known:
+        raise SplitError("no positive is annotated, so no typology can be held out")
+    if held_out is None:
+        drawn = sorted(known, key=lambda t: hashlib.md5(f"{seed}:{t}".encode()).hexdigest())
+        held_out = sorted(drawn[: min(n_held_out, max(1, len(known) - 1))])
+    if unknown := sorted(set(held_out) - set(known)):
+        raise SplitError(f"typologies that the data do not hold: {', '.join(unknown)}")
+    if not set(known) - set(held_out):
+        raise SplitError("one typology at least must stay in training")
     half = F.when(F.pmod(F.conv(F.substring(F.md5("transaction_id"), 1, 8), 16, 10).cast("long"), F.lit(2)) == 0, "train").otherwise("test")
     positive = F.when(F.coalesce(F.col("pattern_type").isin(held_out), F.lit(False)), "test").otherwise("train")
     return df.withColumn("split", F.when(F.col("is_laundering") == 1, positive).otherwise(half))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.columns import DAY_US, HOUR_US
@@ -62,6 +62,47 @@ def _stats_sql() -> str:
     return f"WITH {EV}, {E}, {', '.join(parts)} SELECT src_out.row_pos, {', '.join(final)} FROM src_out JOIN src_in USING (row_pos) JOIN dst_out USING (row_pos) JOIN dst_in USING (row_pos)"
 
 
+def _bins_sql(inner: str, size: str, top: int) -> str:
+    bins = [f"CASE WHEN {size} = {b} THEN 1 ELSE 0 END AS gfp_{size}_{b}" for b in range(2, top)]
+    return f"WITH f AS ({inner}) SELECT row_pos, {', '.join(bins)}, CASE WHEN {size} >= {top} THEN 1 ELSE 0 END AS gfp_{size}_{top} FROM f"
+
+
+def _add_histogram(size: str) -> None:
+    @query(f"h3_{size}_histogram", _bins_sql(_fan_sql(EV), size, 30))
+    def _(tx):
+        return graph.histogram(graph.fan_degree(tx), size)
+
+
+for _size in ("fan_out", "degree_in", "degree_out"):
+    _add_histogram(_size)
+
+
+def _order_sql(value: str, scale: int) -> str:
+    parts, final = [], []
+    for name, v in (("src", "src"), ("dst", "dst")):
+        for role, own in (("out", "src"), ("in", "dst")):
+            p = f"{name}_{role}"
+            parts.append(f"""{p} AS (SELECT e.row_pos, min(p.v) AS lo, max(p.v) AS hi, median(p.v) AS mid, CAST(sum(p.v) AS DOUBLE) / nullif(count(p.v), 0) AS mean
+  FROM e LEFT JOIN (SELECT *, {value} AS v FROM e) p ON p.{own} = e.{v} AND {_SEEN.format(w=DAY_US)} GROUP BY e.row_pos)""")
+            final += [f"round(CAST({p}.{c} AS DOUBLE) / {scale} + 1e-9, 3) AS {p}_{s}" for c, s in (("lo", "min"), ("hi", "max"), ("mid", "median"), ("mean", "mean"))]
+    return f"WITH {EV}, {E}, {', '.join(parts)} SELECT src_out.row_pos, {', '.join(final)} FROM src_out JOIN src_in USING (row_pos) JOIN dst_out USING (row_pos) JOIN dst_in USING (row_pos)"
+
+
+def _scaled(df: DataFrame, scale: int) -> DataFrame:
+    # exact ties at the last digit are lifted, as engines round them differently
+    return df.select("row_pos", *[F.round(F.col(c) / scale + 1e-9, 3).alias(c) for c in df.columns if c != "row_pos"])
+
+
+@query("h7_vertex_order_stats", _order_sql("cents", 100))
+def _(tx):
+    return _scaled(graph.order_statistics(tx), 100)
+
+
+@query("h8_timestamp_stats", _order_sql("t_us // 1000000", 1))
+def _(tx):
+    return _scaled(graph.timestamp_statistics(tx), 1)
+
+
 @query("h7_vertex_stats", _stats_sql())
 def _(tx):
     s = graph.vertex_statistics(tx)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import columns as C
-from tidewater.operators import cases, contract, history, model, splits
+from tidewater.operators import cases, contract, history, model, ranking, splits
 from tidewater.operators.trace import TraceLimits, trace
 from tidewater.plans.data import query, with_score
 from tidewater.sources.views import EVENTS_CTE as EV
@@ -54,6 +54,18 @@ def _(tx):
     return d.select("case_id", "seed", F.size("transaction_ids").alias("n"), F.to_json(F.struct(*sorted(d.columns))).alias("document"))
 
 
+@query("j14_export")
+def _(tx):
+    ranked = ranking.rank(with_score(tx)).withColumn("alert", F.col("rank") <= 100)
+    d = cases.export(tx, ranked)
+    return d.select("case_id", "seed", "risk.rank", F.size("transaction_ids").alias("n"), F.size("accounts").alias("n_accounts"))
+
+
+@query("e16_rail_coverage")
+def _(tx):
+    return cases.rail_coverage(documents(tx))
+
+
 @query("j15_bundle_consistency", "SELECT '' AS case_id, '' AS fault WHERE FALSE")
 def _(tx):
     return cases.inconsistencies(documents(tx))

@@ -38,8 +38,8 @@ def _canonical(raw: DataFrame, amount_side: str) -> DataFrame:
 def load_transactions(spark: SparkSession, path: str, amount_side: str = "paid", nrows: int | None = None) -> DataFrame:
     """The 11-column raw layout, by position, as its header repeats a name; ids come from the place in the file.
 
-    Text order is that of file name and of the position in the file (partitions of a text scan are in that
-    order); rows are numbered per partition and offset, never in one task.
+    Rows are numbered by file name, then by position in the file: Spark deals files by size, but one file's
+    splits keep their order. Rows are numbered per partition and offset, never in one task.
     """
     first = spark.read.text(path).limit(1).collect()
     if not first or len(first[0].value.split(",")) != len(RAW_COLUMNS):
@@ -47,7 +47,7 @@ def load_transactions(spark: SparkSession, path: str, amount_side: str = "paid",
     schema = ", ".join(f"{c} string" for c in RAW_COLUMNS)
     raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
     placed = cut(raw.withColumn("__file", F.input_file_name()).withColumn("__m", F.monotonically_increasing_id()), "raw-rows")
-    numbered = global_position(placed, [("__m", True)], "row_pos").drop("__file", "__m")
+    numbered = global_position(placed, [("__file", True), ("__m", True)], "row_pos").drop("__file", "__m")
     if nrows is not None:
         numbered = numbered.filter(F.col("row_pos") < nrows)
     return _canonical(numbered, amount_side)
@@ -119,7 +119,7 @@ SCORING = ("transaction_id", "timestamp", "source_account", "destination_account
 
 
 def read_scoring_input(spark: SparkSession, path: str) -> DataFrame:
-    """Transfers to be scored, with the derived columns; no sort, as windows order what they need."""
+    """Transfers to be scored, with the derived columns, numbered by time and id (one range shuffle)."""
     df = read_table(spark, path)
     if missing := [c for c in SCORING if c not in df.columns]:
         raise SourceError(f"missing columns: {', '.join(missing)}")

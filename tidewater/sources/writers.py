@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tidewater.operators.cases import as_text, from_text
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
@@ -26,8 +29,12 @@ def write_scores(scores: DataFrame, path: str) -> None:
 
 
 def write_cases(cases: DataFrame, path: str) -> None:
-    """One line of JSON a case; fields in the order of the document's schema."""
-    cases.select(F.to_json(F.struct(*[F.col(c) for c in sorted(cases.columns)])).alias("value")).write.mode("overwrite").text(path)
+    """One line of JSON a case, top fields in alphabetical order; `read_cases` refuses what was changed."""
+    as_text(cases).select("value").write.mode("overwrite").text(path)
+
+
+def read_cases(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return from_text(spark.read.text(path), schema)
 
 
 def run_summary(scores: DataFrame, **facts: object) -> str:
