@@ -470,3 +470,23 @@ def test_rule_weights_by_hand(spark):
     assert got == pytest.approx([0.0, *[w / 4.25 for _, w in alone]])
     part = df.select("amount", "is_self_transfer")  # rules without their columns leave the total as well
     assert part.select(C.rule_score(C.rule_columns(part.columns, 100.0, 1000.0)).alias("s")).collect()[6].s == pytest.approx(0.25 / 3.25)
+
+
+def test_command_line(spark, tmp_path):
+    from tidewater.__main__ import main
+
+    rows = [f"2023/03/{1 + i // 40:02d} {i % 24:02d}:{i % 60:02d},00{i % 7},A{i % 7},00{(i + 3) % 9},A{(i + 3) % 9},{10 + i}.00,Franc,{10 + i}.00,Franc,Wire,{int(i % 11 == 0)}" for i in range(400)]
+    (tmp_path / "raw.csv").write_text("\n".join([HEADER, *rows]) + "\n")
+    out = f"file://{tmp_path}/out"
+    run = lambda *a: main([*a, "--out", out], spark)
+    tx = ("--transactions", f"{out}/transactions")
+    assert run("ingest", "--raw", f"file://{tmp_path}/raw.csv")["rows"] == 400
+    assert run("baseline", *tx)["n"] == 60
+    assert run("graph", *tx)["parts"] == ["behaviour", "fan_degree", "order", "timestamp", "vertex"]
+    trained = run("train", *tx, "--iterations", "2", "--depth", "2", "--threshold", "0.05")
+    scored = run("score", *tx, "--package", f"{out}/package", "--cases", "2")
+    assert scored["n_transactions"] == 400 and scored["schema_hash"] == trained["schema_hash"]
+    assert spark.read.text(f"{out}/cases").count() == min(2, scored["n_alerts"])
+    assert run("validate", *tx)["tables"] == ["drift", "null_baselines", "shuffled_labels"]
+    with pytest.raises(SystemExit):
+        main(["score", "--out", out], spark)

@@ -28,9 +28,9 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def with_score(tx: DataFrame) -> DataFrame:
-    """The events view with the rule score, its thresholds fitted on all rows."""
-    q = tx.agg(F.percentile("amount", F.array(F.lit(0.99), F.lit(0.999))).alias("q")).first()["q"] or [0.0, 0.0]
+def with_score(tx: DataFrame, fitted_on: DataFrame | None = None) -> DataFrame:
+    """Transfers with the rule score, its amount limits fitted on `fitted_on` (without it, on all rows)."""
+    q = (tx if fitted_on is None else fitted_on).agg(F.percentile("amount", F.array(F.lit(0.99), F.lit(0.999))).alias("q")).first()["q"] or [0.0, 0.0]
     return tx.withColumn("score", C.rule_score(C.rule_columns(tx.columns, float(q[0]), float(q[1]))))
 
 
