@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import columns as C
-from tidewater.operators import cases, contract, graph, history, metrics, model, ranking, splits
+from tidewater.operators import cases, contract, graph, history, metrics, model, ranking, splits, typology
 from tidewater.operators.trace import TraceError, TraceLimits, trace
 from tidewater.plans import catalog, models
 from tidewater.session import global_position, global_running
@@ -472,6 +472,19 @@ def test_rule_weights_by_hand(spark):
     assert part.select(C.rule_score(C.rule_columns(part.columns, 100.0, 1000.0)).alias("s")).collect()[6].s == pytest.approx(0.25 / 3.25)
 
 
+def test_typology_hints(spark):
+    rows = [(("big", 900.0 + i, "STACK") if i % 3 == 0 else ("small", 10.0 + i, "CYCLE") if i % 3 == 1 else ("any", 400.0, None)) for i in range(120)]
+    df = spark.createDataFrame([(f"T{i}", *r) for i, r in enumerate(rows)], "transaction_id string, kind string, tx_amount double, pattern_type string")
+    hinter = typology.fit(df, ["tx_amount"], trees=10, depth=2)
+    got = hinter.hint(df.filter("kind <> 'any'")).collect()
+    assert hinter.classes == ["CYCLE", "STACK"] and all(r.hint == r.pattern_type and set(r.distribution) == {"CYCLE", "STACK"} for r in got)
+    hinter.floor = 1.1
+    assert {r.hint for r in hinter.hint(df).collect()} == {typology.UNCLASSIFIED}
+    for few in (df.filter("kind = 'any'"), df.filter("kind = 'big'")):
+        with pytest.raises(typology.TypologyError):
+            typology.fit(few, ["tx_amount"])
+
+
 def test_command_line(spark, tmp_path):
     from tidewater.__main__ import main
 

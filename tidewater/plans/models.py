@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import columns as C
-from tidewater.operators import cases, contract, history, model, ranking, splits
+from tidewater.operators import cases, contract, history, model, ranking, splits, typology
 from tidewater.operators.trace import TraceLimits, trace
 from tidewater.plans.data import query, with_score
 from tidewater.sources.views import EVENTS_CTE as EV
@@ -54,6 +54,14 @@ def _(tx):
     return d.select("case_id", "seed", F.size("transaction_ids").alias("n"), F.to_json(F.struct(*sorted(d.columns))).alias("document"))
 
 
+@query("j9_typology_hint")
+def _(tx):
+    f, columns = features(tx)
+    split = splits.chronological_split(f.join(tx.select("row_pos", "pattern_type"), "row_pos"))
+    hinter = typology.fit(split.filter("split = 'train' AND is_laundering = 1"), columns, trees=20, depth=4)
+    return hinter.hint(split.filter("split = 'test' AND is_laundering = 1")).select("transaction_id", "hint", "confidence")
+
+
 @query("j14_export")
 def _(tx):
     ranked = ranking.rank(with_score(tx)).withColumn("alert", F.col("rank") <= 100)
