@@ -396,6 +396,21 @@ def test_stream_equals_batch(spark, tmp_path):
             want[k].bh_src_out_n_1h, want[k].bh_src_out_n_24h, want[k].bh_src_out_cents_24h, want[k].bh_src_secs_since_out)
 
 
+def test_stream_of_both_ends_equals_batch(spark, tmp_path):
+    rng = random.Random(8)
+    tx = streaming.with_event_time(frame(spark, [(f"N{rng.randrange(5)}", f"N{rng.randrange(5)}", 50 * (i // 2), rng.randint(1, 900)) for i in range(90)]))
+    for k in range(3):
+        tx.filter((F.col("row_pos") >= 30 * k) & (F.col("row_pos") < 30 * k + 30)).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = streaming.with_event_time(spark.readStream.schema(tx.schema).parquet(f"file://{tmp_path}/in"))
+        ends = streaming.account_history(stream, idle_us=30 * 86_400_000_000)
+        ends.writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start(f"file://{tmp_path}/out").awaitTermination()
+    got = by_pos(streaming.by_transfer(spark.read.parquet(f"file://{tmp_path}/out")))
+    for k, want in by_pos(history.behaviour(tx)).items():
+        for c in got[k].asDict():
+            assert getattr(got[k], c) == pytest.approx(getattr(want, c)), (k, c)
+    assert len(got) == 90
+
+
 def events(spark, path, rows):
     """An events table of (sender, receiver, minute, value) in a folder of its own."""
     data = [(i, BASE + int(m * MIN), s, "view", float(v), '{"k": %d}' % d) for i, (s, d, m, v) in enumerate(rows)]

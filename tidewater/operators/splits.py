@@ -110,8 +110,15 @@ def spanning_patterns(df: DataFrame, spec: SplitSpec, key: str = "scenario_id")
     return spans.filter(crosses(b1) | crosses(b2)).count()
 
 
+def assign_unseen(df: DataFrame, held_out: list[str]) -> DataFrame:
+    """Positives of the held-out typologies are test; other positives train; negatives are halved by a hash of the id."""
+    half = F.when(F.pmod(F.conv(F.substring(F.md5("transaction_id"), 1, 8), 16, 10).cast("long"), F.lit(2)) == 0, "train").otherwise("test")
+    positive = F.when(F.coalesce(F.col("pattern_type").isin(held_out), F.lit(False)), "test").otherwise("train")
+    return df.withColumn("split", F.when(F.col("is_laundering") == 1, positive).otherwise(half))
+
+
 def unseen_typology_split(df: DataFrame, held_out: list[str] | None = None, n_held_out: int = 2, seed: int = 42) -> DataFrame:
-    """Positives of the held-out typologies are test; other positives train; negatives are halved by a hash of the id.
+    """`assign_unseen` over typologies that the data hold.
 
     Without `held_out`, `n_held_out` typologies are drawn by a seeded hash, one at least staying in training.
     Refused: a frame without annotations, a typology it does not hold, and holding out all of them.
@@ -126,9 +133,7 @@ def unseen_typology_split(df: DataFrame, held_out: list[str] | None = None, n_he
         raise SplitError(f"typologies that the data do not hold: {', '.join(unknown)}")
     if not set(known) - set(held_out):
         raise SplitError("one typology at least must stay in training")
-    half = F.when(F.pmod(F.conv(F.substring(F.md5("transaction_id"), 1, 8), 16, 10).cast("long"), F.lit(2)) == 0, "train").otherwise("test")
-    positive = F.when(F.coalesce(F.col("pattern_type").isin(held_out), F.lit(False)), "test").otherwise("train")
-    return df.withColumn("split", F.when(F.col("is_laundering") == 1, positive).otherwise(half))
+    return assign_unseen(df, held_out)
 
 
 def annotation_coverage(df: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def _(tx):
 @query("i7_unseen_pattern", f"""WITH {EV} SELECT transaction_id, CASE WHEN is_laundering = 1 THEN CASE WHEN coalesce(pattern_type IN ('CYCLE', 'STACK'), FALSE) THEN 'test' ELSE 'train' END
   WHEN CAST(concat('0x', substr(md5(transaction_id), 1, 8)) AS BIGINT) % 2 = 0 THEN 'train' ELSE 'test' END AS split FROM tx""")
 def _(tx):
-    return splits.unseen_typology_split(tx, ["CYCLE", "STACK"]).select("transaction_id", "split")
+    return splits.assign_unseen(tx, ["CYCLE", "STACK"]).select("transaction_id", "split")
 
 
 @query("i8_annotation_coverage", f"WITH {EV} SELECT round(avg(CASE WHEN pattern_type IS NOT NULL THEN 1 ELSE 0 END), 6) AS coverage FROM tx WHERE is_laundering = 1")
