@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import columns as C
 from tidewater.operators import cases, contract, history, model, ranking, splits, typology
 from tidewater.operators.trace import TraceLimits, trace
-from tidewater.plans.data import query, with_score
+from tidewater.plans.data import SCORED, query, with_score
 from tidewater.sources.views import EVENTS_CTE as EV
 from tidewater.streaming import history as stream
 
@@ -31,12 +31,16 @@ def _(tx):
     return model.score(part("test"), package).select("transaction_id", "raw_score", "score", "rank", "alert")
 
 
-@query("j4_isotonic")
+# the isotonic fit at s is the greatest, over starts up to s, of the least mean of any run from there to s or beyond
+@query("j4_isotonic", f"""WITH {SCORED}, g AS (SELECT score AS s, count(*) AS n, sum(is_laundering) AS y FROM scored GROUP BY 1),
+runs AS (SELECT a.s AS a, b.s AS b, sum(g.y) * 1.0::DOUBLE / sum(g.n) AS m FROM g a JOIN g b ON a.s <= b.s JOIN g ON g.s BETWEEN a.s AND b.s GROUP BY 1, 2),
+least_of AS (SELECT g.s, runs.a, min(runs.m) AS m FROM g JOIN runs ON runs.a <= g.s AND runs.b >= g.s GROUP BY 1, 2)
+SELECT round(s, 9) AS s, round(max(m), 9) AS calibrated FROM least_of GROUP BY least_of.s""")
 def _(tx):
     data = with_score(tx).select(F.col("score").cast("double").alias("s"), F.col("is_laundering").cast("double").alias("y"))
     iso = IsotonicRegression(featuresCol="s", labelCol="y").fit(data)
     xs, ys = [float(x) for x in iso.boundaries], [float(v) for v in iso.predictions]
-    return data.select("s").distinct().select("s", model.piecewise(F.col("s"), xs, ys).alias("calibrated"))
+    return data.select("s").distinct().select(F.round("s", 9).alias("s"), F.round(model.piecewise(F.col("s"), xs, ys), 9).alias("calibrated"))
 
 
 def documents(tx: DataFrame) -> DataFrame:
