@@ -123,10 +123,26 @@ FROM sets s LEFT JOIN (SELECT r.x AS rid, min(d.doc_id) AS least_id FROM reach r
   USING (rid)"""
 
 
+RANKED_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(w) AS term FROM items) GROUP BY item_id, term),
+corpus AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS total FROM docs),
+counted AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY rid, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM counted, corpus GROUP BY term, n_docs),
+sized AS (SELECT rid, doc_id, 25 + (75 * CAST(len(w) AS BIGINT) * n_docs) // total AS m FROM docs, corpus WHERE len(w) > 0),
+impacts AS (SELECT rid, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS impact FROM counted JOIN weights USING (term) JOIN sized USING (rid)),
+scored AS (SELECT item_id, rid, CAST(sum(times * impact) AS BIGINT) AS score FROM impacts JOIN asked USING (term) GROUP BY item_id, rid)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored JOIN docs USING (rid) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10"""
+
+
 ORACLES = {
     "op1_secret_scan": secret_scan_sql(),
     "op2_chat_format": CHAT_SQL,
     "op3_benchmark_decontamination": DECONTAMINATION_SQL,
     "op4_ngram_jaccard_join": JACCARD_SQL,
     "op8_quality_rules": quality_sql(),
+    "op13_ranked_search": RANKED_SQL,
 }

@@ -1,4 +1,4 @@
-"""The registered queries of the ten corpus operators: thin digests over each operator's own output."""
+"""The registered queries of the corpus operators: thin digests over each operator's own output."""
 
 from __future__ import annotations
 
@@ -11,14 +11,17 @@ from tidewater.llm import (
     chat_format,
     decontamination,
     html_wrapper,
+    impact_index,
     jaccard_join,
+    merge_rounds,
+    periodic_runs,
     quality_rules,
     secret_scan,
     subword_classifier,
     token_planes,
     toxicity,
 )
-from tidewater.llm.common import crc_fold, shared_dir, table
+from tidewater.llm.common import crc_fold, let, shared_dir, table
 from tidewater.llm.labelled import training_rows
 
 #: Labelled rows that a trained operator may take to the driver.
@@ -27,6 +30,7 @@ TOXIC_ROWS, QUALITY_ROWS = 12_000, 6_000
 #: Vocabularies stay where they are installed, on every machine; only their paths are known here.
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER_PATH = public_tokenizers.path("byte_bpe_50k.json")
+MODEL_PATH = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,10 +124,60 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _planted(docs: DataFrame) -> DataFrame:
+    """The text with a tail of repeated words in each document whose id has a crc32 divisible by ten."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def repeated(words):
+        n, g = F.size(words).cast("long"), F.floor(h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        tail = let(F.struct(a.alias("a"), p.alias("p")), lambda c: F.transform(words, lambda w, i: F.when(
+            i >= c["a"], F.get(words, (c["a"] + (i - c["a"]) % c["p"]).cast("int"))).otherwise(w)))
+        return F.when(n > 0, F.array_join(tail, " ")).otherwise("")
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return docs.withColumn("text", F.when(F.col("text").isNotNull() & (h % 10 == 0), let(words, repeated)).otherwise(F.col("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.annotate(_planted(docs)).drop("text")
+    keys = F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = found.withColumn("best", F.array_min(keys))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.s").alias("start"),
+        (-F.col("best.l")).alias("length"),
+        F.col("best.p").alias("period"),
+        F.expr("(-1000 * best.l) div best.p").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = merge_rounds.encode(docs, MODEL_PATH, decoded_col="decoded").drop("text")
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_index.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_chat_format, op3_benchmark_decontamination, op4_ngram_jaccard_join, op5_toxicity,
         op6_html_wrapper, op7_token_planes, op8_quality_rules, op9_quality_classifier, op10_byte_bpe,
+        op11_periodic_runs, op12_sentencepiece, op13_ranked_search,
     )
 }
