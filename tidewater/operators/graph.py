@@ -7,11 +7,13 @@ scatter-gather searches join on (account, time bucket), so that no window scans
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.functions.columns import DAY_US, HOUR_US
-from tidewater.operators.history import account_events
+from tidewater.operators.sliding import HUB_ROWS, Frame, account_rows, hubs, mark_hubs, order_summaries, power_sums, slide
 from tidewater.session import cut
 
 
@@ -21,35 +23,35 @@ def edges(df: DataFrame) -> DataFrame:
     )
 
 
-def _past(width_us: int) -> Window:
-    return Window.partitionBy("account").orderBy("t_us").rangeBetween(-width_us, -1)
+def _both_ends(df: DataFrame, width_us: int, carry: list[str], compute, fields: list[T.StructField], hub_rows: int, other: bool = True) -> DataFrame:
+    """(row_pos, is_out, fields...): `compute` over each end's account, self-transfers left out."""
+    e = df.filter("source_account <> destination_account").select("row_pos", "t_us", *carry, "source_account", "destination_account")
+    hot = hubs(e, hub_rows)
+    rows = account_rows(e if hot is None else mark_hubs(e, hot), width_us, carry, other, ties=True)
+    return slide(rows, width_us, compute, fields, ["row_pos", "is_out"])
 
 
-def _ties() -> Window:
-    return Window.partitionBy("account", "t_us").orderBy("row_pos").rowsBetween(Window.unboundedPreceding, 0)
+def _upto(frame: Frame) -> tuple[np.ndarray, np.ndarray]:
+    """The window of each row: back to t - width, and the row itself."""
+    return frame.since(frame.width), np.arange(1, len(frame.t) + 1)
 
 
-def _distinct(value: Column, width_us: int) -> Column:
-    return F.size(F.array_union(F.collect_set(value).over(_past(width_us)), F.collect_set(value).over(_ties())))
-
-
-def _total(value: Column, width_us: int) -> Column:
-    zero = F.lit(0)
-    return F.coalesce(F.sum(value).over(_past(width_us)), zero) + F.coalesce(F.sum(value).over(_ties()), zero)
-
-
-def fan_degree(df: DataFrame, width_us: int = DAY_US) -> DataFrame:
+def fan_degree(df: DataFrame, width_us: int = DAY_US, hub_rows: int = HUB_ROWS) -> DataFrame:
     """Fan and degree sizes that each edge closes: into the receiver, out of the sender."""
-    seen = account_events(df.filter("source_account <> destination_account"))
-    out, into = F.col("role") == "out", F.col("role") == "in"
-    one = lambda c: F.when(c, 1)
-    seen = seen.select(
-        "row_pos", "role",
-        _distinct(F.when(into, F.col("other")), width_us).alias("fan_in"), _distinct(F.when(out, F.col("other")), width_us).alias("fan_out"),
-        _total(one(into), width_us).alias("degree_in"), _total(one(out), width_us).alias("degree_out"),
+
+    def compute(frame: Frame) -> dict[str, np.ndarray]:
+        low, high = _upto(frame)
+        fan, degree = np.zeros(len(low), np.int64), np.zeros(len(low), np.int64)
+        for role in (frame.out, ~frame.out):
+            fan = np.where(role, frame.distinct(role, low), fan)
+            degree = np.where(role, frame.window_sum(role.astype(np.int64), low, high), degree)
+        return {"fan": fan, "degree": degree}
+
+    seen = _both_ends(df, width_us, [], compute, [T.StructField("fan", T.LongType()), T.StructField("degree", T.LongType())], hub_rows)
+    of = lambda out, c: F.max(F.when(F.col("is_out") == out, F.col(c)))
+    return seen.groupBy("row_pos").agg(
+        of(False, "fan").alias("fan_in"), of(True, "fan").alias("fan_out"), of(False, "degree").alias("degree_in"), of(True, "degree").alias("degree_out"),
     )
-    of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c))).cast("long").alias(c)
-    return seen.groupBy("row_pos").agg(of("in", "fan_in"), of("out", "fan_out"), of("in", "degree_in"), of("out", "degree_out"))
 
 
 def histogram(sizes: DataFrame, column: str, top: int = 30, low: int = 2) -> DataFrame:
@@ -58,24 +60,25 @@ def histogram(sizes: DataFrame, column: str, top: int = 30, low: int = 2) -> Dat
     return sizes.select("row_pos", *bins, F.when(F.col(column) >= top, 1).otherwise(0).alias(f"gfp_{column}_{top}"))
 
 
-def vertex_statistics(df: DataFrame, width_us: int = DAY_US, value: str = "cents") -> DataFrame:
+def vertex_statistics(df: DataFrame, width_us: int = DAY_US, value: str = "cents", hub_rows: int = HUB_ROWS) -> DataFrame:
     """For both ends and both roles: distinct counterparties, count, ratio, mean, sum, variance, skew, kurtosis.
 
-    Moments come from integer power sums of `value`, merged over the past and the same instant; population forms.
+    Moments come from integer power sums of `value`, exact before they are divided; population forms.
     Sums and means are in currency units, variance in their square.
     """
-    carry = () if value == "cents" else (value,)
-    seen = account_events(df.filter("source_account <> destination_account"), *carry)
-    columns = []
-    for role in ("out", "in"):
-        mine = F.col("role") == role
-        x = F.col(value).cast("decimal(18,0)")
-        columns += [
-            _distinct(F.when(mine, F.col("other")), width_us).cast("long").alias(f"{role}_cp"),
-            _total(F.when(mine, 1), width_us).cast("long").alias(f"{role}_n"),
-            *[_total(F.when(mine, _power(x, k)), width_us).cast("double").alias(f"{role}_s{k}") for k in range(1, 5)],
-        ]
-    seen = seen.select("row_pos", F.col("role").alias("end"), *columns)
+    names = ("cp", "n", "s1", "s2", "s3", "s4")
+
+    def compute(frame: Frame) -> dict[str, np.ndarray]:
+        (low, high), x, out = _upto(frame), frame.values(value).astype(np.int64), {}
+        for name, role in (("out", frame.out), ("in", ~frame.out)):
+            sums = power_sums(frame, x, role, low, high)
+            made = [frame.distinct(role, low), frame.window_sum(role.astype(np.int64), low, high), *sums]
+            out |= {f"{name}_{c}": m for c, m in zip(names, made, strict=True)}
+        return out
+
+    kind = lambda c: T.LongType() if c in ("cp", "n") else T.DoubleType()
+    fields = [T.StructField(f"{role}_{c}", kind(c)) for role in ("out", "in") for c in names]
+    seen = _both_ends(df, width_us, [value], compute, fields, hub_rows).withColumn("end", F.when(F.col("is_out"), "out").otherwise("in"))
     blocks = []
     for end, name in (("out", "src"), ("in", "dst")):
         for role in ("out", "in"):
@@ -100,29 +103,16 @@ def vertex_statistics(df: DataFrame, width_us: int = DAY_US, value: str = "cents
     return one.select(*out)
 
 
-def order_statistics(df: DataFrame, value: str = "cents", width_us: int = DAY_US) -> DataFrame:
+def order_statistics(df: DataFrame, value: str = "cents", width_us: int = DAY_US, hub_rows: int = HUB_ROWS) -> DataFrame:
     """For both ends and both roles: least, greatest, middle (two middles halved) and mean of an integer column.
 
-    Null where a frame has no value. A frame's values are one sorted array, so memory follows the window's rows.
+    Null where a window has no value. An account's window is held in sorted blocks, so memory follows the window.
     """
-    carry = () if value in ("cents", "t_us") else (value,)
-    seen = account_events(df.filter("source_account <> destination_account"), *carry)
-    kept = lambda role, w: F.collect_list(F.when(F.col("role") == role, F.col(value).cast("long"))).over(w)
-    values = [F.array_sort(F.concat(kept(role, _past(width_us)), kept(role, _ties()))).alias(f"{role}_v") for role in ("out", "in")]
-    seen = seen.select("row_pos", F.col("role").alias("end"), *values)
-    stats = []
-    for role in ("out", "in"):
-        v = F.col(f"{role}_v")
-        n = F.size(v)
-        at = lambda i, v=v: F.try_element_at(v, i.cast("int"))
-        middle = (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2
-        mean = F.aggregate(v, F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x).cast("decimal(38,0)")).cast("double") / n
-        for name, c in (("min", F.array_min(v)), ("max", F.array_max(v)), ("median", middle), ("mean", mean)):
-            stats.append(F.when(n > 0, c).cast("double").alias(f"{role}_{name}"))
-    seen = seen.select("row_pos", "end", *stats)
     names = [f"{role}_{s}" for role in ("out", "in") for s in ("min", "max", "median", "mean")]
-    pick = lambda end, c: F.max(F.when(F.col("end") == end, F.col(c)))
-    return seen.groupBy("row_pos").agg(*[pick(end, c).alias(f"{name}_{c}") for end, name in (("out", "src"), ("in", "dst")) for c in names])
+    fields = [T.StructField(c, T.DoubleType()) for c in names]
+    seen = _both_ends(df, width_us, [value], lambda frame: order_summaries(frame, frame.values(value).astype(np.int64)), fields, hub_rows, other=False)
+    pick = lambda out, c: F.max(F.when(F.col("is_out") == out, F.col(c)))
+    return seen.groupBy("row_pos").agg(*[pick(out, c).alias(f"{name}_{c}") for out, name in ((True, "src"), (False, "dst")) for c in names])
 
 
 def timestamp_statistics(df: DataFrame, width_us: int = DAY_US) -> DataFrame:
@@ -130,13 +120,6 @@ def timestamp_statistics(df: DataFrame, width_us: int = DAY_US) -> DataFrame:
     return order_statistics(df.withColumn("t_s", F.expr("t_us div 1000000")), "t_s", width_us)
 
 
-def _power(x: Column, k: int) -> Column:
-    out = x
-    for _ in range(k - 1):
-        out = (out * x).cast("decimal(38,0)")
-    return out
-
-
 # --- joins on (account, time bucket) -----------------------------------------------------------------
 
 

@@ -79,16 +79,17 @@ def discard(df: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
-def global_position(df: DataFrame, order: list[tuple[str, bool]], name: str, keep: list[str] | None = None) -> DataFrame:
+def global_position(df: DataFrame, order: list[tuple[str, bool]], name: str, keep: list[str] | None = None, dealt_by: int | None = None) -> DataFrame:
     """Adds the 0-based position of each row under an order of (column, ascending), without a single-task window.
 
     Rows are dealt by ranges of the order, sorted and numbered inside their partition, and written; a
     partition's offset is the row count of those before it (one number a partition reaches the driver).
     Rows that tie on the whole order are numbered in any order. `keep` names the columns to write and return, all
-    by default; the order may use more.
+    by default; the order may use more. `dealt_by` of the order's columns, all by default, bound the ranges: fewer make
+    the sample cheaper, where few rows share their values.
     """
     directions = [F.col(f"`{c}`").asc() if up else F.col(f"`{c}`").desc() for c, up in order]
-    spread = df.repartitionByRange(*directions).sortWithinPartitions(*directions)
+    spread = df.repartitionByRange(*directions[:dealt_by]).sortWithinPartitions(*directions)
     # monotonically_increasing_id numbers the rows of a partition from (partition << 33)
     kept = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]
     numbered = cut(spread.select(*kept, F.monotonically_increasing_id().alias("__at")), "positions")

@@ -80,7 +80,7 @@ def tx_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     used = ["l_orderkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount"]
-    ranked = global_position(line, [(c, True) for c in sorted(line.columns)], "row_pos", used)
+    ranked = global_position(line, [(c, True) for c in sorted(line.columns)], "row_pos", used, dealt_by=3)
     joined = ranked.join(orders, ranked["l_orderkey"] == orders["o_orderkey"])
     return joined.select(
         "row_pos",
