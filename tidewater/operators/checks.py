@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators import metrics
+from tidewater.operators.quantiles import quantiles
 from tidewater.session import global_position
 
 #: A population stability index above this is drift; a null score may reach this multiple of the base rate.
@@ -88,10 +88,12 @@ def rate_scorer(keys: list[str], label: str = "is_laundering", prior: float = 10
 
 
 def drift_table(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, psi, ks, significant, place): drift of each column, the largest index first, names breaking ties."""
-    rows = [metrics.psi(reference, current, c).join(metrics.ks(reference, current, c), "feature") for c in columns]
-    both = reduce(DataFrame.unionByName, rows)
-    finite = F.when(~F.isnan("psi"), F.col("psi"))
+    """(feature, psi, ks, significant, place): drift of each column, the largest index first, names breaking ties.
+
+    Indices are compared after rounding to nine places: sums of doubles differ in their last bits from run to run.
+    """
+    both = metrics.psi_table(reference, current, columns).join(metrics.ks_table(reference, current, columns), "feature")
+    finite = F.when(~F.isnan("psi"), F.round("psi", 9))
     # as many rows as columns were asked for
     place = F.row_number().over(Window.orderBy(F.desc_nulls_last(finite), "feature"))
     return both.select("feature", "psi", "ks", F.coalesce(finite > PSI_SIGNIFICANT, F.lit(False)).alias("significant"), place.alias("place"))
@@ -152,7 +154,7 @@ def false_positive_enrichment(scored: DataFrame, hard: DataFrame, budget: float,
 
 def amount_bands(df: DataFrame, bands: int = 5, column: str = "amount") -> Column:
     """Quantile bands 1..n of a column as a string, right-closed, the first one with the minimum; equal edges merge."""
-    q = df.agg(F.percentile(column, F.array(*[F.lit(i / bands) for i in range(bands + 1)]))).first()[0] or []
+    q = quantiles(df, {column: [i / bands for i in range(bands + 1)]})[column] or []
     inner = sorted(set(q))[1:-1]
     out = F.lit(1)
     for e in inner:

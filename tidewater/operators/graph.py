@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 from tidewater.functions.columns import DAY_US, HOUR_US
 from tidewater.operators.sliding import HUB_ROWS, Frame, account_rows, hubs, mark_hubs, order_summaries, power_sums, slide
-from tidewater.session import cut
+from tidewater.operators.quantiles import quantiles
+from tidewater.session import cut, global_running
 
 
 def edges(df: DataFrame) -> DataFrame:
@@ -197,14 +198,25 @@ def scatter_gather(df: DataFrame, width_us: int = 6 * HOUR_US) -> DataFrame:
     return sizes.groupBy("row_pos", "size").agg(F.count("*").alias("n"))
 
 
-def degree_profile(df: DataFrame) -> DataFrame:
-    """One row: quantiles and maximum of the number of distinct receivers, and the busiest accounts' share of transfers."""
-    d = df.groupBy("source_account").agg(F.count_distinct("destination_account").alias("degree"), F.count("*").alias("sent"))
-    top = d.orderBy(F.desc("sent"), "source_account").limit(5).agg(F.sum("sent").alias("top5_sent"))
-    main = d.agg(F.percentile("degree", F.array(F.lit(0.5), F.lit(0.99), F.lit(0.999))).alias("q"), F.max("degree").alias("max_degree"), F.sum("sent").alias("sent"))
-    one = main.crossJoin(F.broadcast(top))
-    return one.select(F.round(F.col("q")[0], 6).alias("p50"), F.round(F.col("q")[1], 6).alias("p99"), F.round(F.col("q")[2], 6).alias("p999"), "max_degree",
-                      F.round(F.col("top5_sent") / F.col("sent"), 6).alias("top5_share"))
+def degree_profile(df: DataFrame, top: int = 5, hub_share: int = 10_000) -> DataFrame:
+    """One row: vertices, edges, mean, quantiles and maximum of the accounts' degrees, the largest few, and the hubs' share.
+
+    A degree counts an account's ends of transfers; `share` is what the busiest account in `hub_share` (at least one) hold.
+    """
+    d = df.select(F.explode(F.array("source_account", "destination_account")).alias("a")).groupBy("a").agg(F.count("*").alias("degree"))
+    shares = [0.5, 0.99, 0.999, 0.9999]
+    q = quantiles(d, {"degree": shares})["degree"] or [None] * len(shares)
+    sizes = d.groupBy("degree").agg(F.count("*").alias("c"))
+    whole = sizes.agg(F.sum("c").alias("vertices"), (F.sum(F.col("c") * F.col("degree")) / 2).cast("long").alias("edges"), F.max("degree").alias("max_degree"))
+    run = global_running(sizes, [("degree", False)], {"upto": "c"}).crossJoin(F.broadcast(whole.select(F.greatest(F.floor(F.col("vertices") / hub_share), F.lit(1)).alias("hubs"))))
+    held = run.agg(F.sum(F.col("degree") * F.greatest(F.least("c", F.col("hubs") - (F.col("upto") - F.col("c"))), F.lit(0))).alias("held"))
+    first = d.orderBy(F.desc("degree")).limit(top).agg(F.array_join(F.reverse(F.array_sort(F.collect_list("degree"))), ",").alias("top_degrees"))
+    one = whole.crossJoin(F.broadcast(held)).crossJoin(F.broadcast(first))  # one row each
+    return one.select(
+        "vertices", "edges", (2 * F.col("edges") / F.col("vertices")).alias("mean"),
+        *[F.lit(v).cast("double").alias(n) for n, v in zip(("p50", "p99", "p999", "p9999"), q, strict=True)],
+        "max_degree", "top_degrees", (F.col("held") / (2 * F.col("edges"))).alias("share"),
+    )
 
 
 def cadence(df: DataFrame) -> DataFrame:
@@ -234,8 +246,10 @@ def hard_negatives(df: DataFrame, quantile: float = 0.99, least_fan: int = 5, le
     benign = df.filter("is_laundering = 0")
     out = benign.groupBy(F.col("source_account").alias("a")).agg(F.count_distinct("destination_account").alias("fan"), F.count("*").alias("sent"))
     into = benign.groupBy(F.col("destination_account").alias("b")).agg(F.count_distinct("source_account").alias("fan"))
-    cuts = out.agg(F.greatest(F.lit(least_fan), F.percentile("fan", quantile)), F.percentile("sent", quantile)).first()
-    in_cut = into.agg(F.greatest(F.lit(least_fan), F.percentile("fan", quantile))).first()[0]
+    q = quantiles(out, {"fan": [quantile], "sent": [quantile]})
+    at = lambda x: x[0] if x else 0.0
+    cuts = max(float(least_fan), at(q["fan"])), at(q["sent"])
+    in_cut = max(float(least_fan), at(quantiles(into, {"fan": [quantile]})["fan"]))
     steady = cadence(benign).filter("variation < 0.5").select(F.col("account").alias("a"), F.lit(True).alias("steady"))
     mutual = reciprocal_pairs(benign, least_reciprocal).select("a").distinct().withColumn("mutual", F.lit(True))
     senders = out.select("a", (F.col("fan") >= cuts[0]).alias("high_fan_out"), (F.col("sent") >= cuts[1]).alias("high_volume")).join(steady, "a", "left").join(mutual, "a", "left")
@@ -255,7 +269,7 @@ def adaptive(train: DataFrame, df: DataFrame) -> DataFrame:
 
     out = train.groupBy(F.col("source_account").alias("a")).agg(F.count_distinct("destination_account").alias("out_deg"), F.median("amount").alias("own"))
     into = train.groupBy(F.col("destination_account").alias("b")).agg(F.count_distinct("source_account").alias("in_deg"))
-    everyone = train.agg(F.median("amount")).first()[0] or 0.0
+    everyone = (quantiles(train, {"amount": [0.5]})["amount"] or [0.0])[0]
     bucketed = train.join(out, train["source_account"] == F.col("a")).withColumn("bucket", degree_bucket("out_deg"))
     peers = bucketed.groupBy("bucket").agg(F.median("amount").alias("peer_median"), F.stddev_samp("amount").alias("peer_sd"))
     j = df.join(out, df["source_account"] == F.col("a"), "left").join(into, df["destination_account"] == F.col("b"), "left")

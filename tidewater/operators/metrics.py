@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.quantiles import finite, quantiles
 from tidewater.session import global_running
 
 
@@ -16,13 +17,9 @@ def score_table(df: DataFrame, label: str = "is_laundering", score: str = "score
 def curve(df: DataFrame, label: str = "is_laundering", score: str = "score", by: list[str] | None = None) -> DataFrame:
     """Running counts over falling scores: adds `rows` and `hits` up to and with each distinct score.
 
-    A grouped curve has one window a group; the ungrouped one runs over ranges of the score.
+    Runs over ranges of (group, score), so a group with as many scores as the table is spread too.
     """
-    t = score_table(df, label, score, by)
-    if not by:
-        return global_running(t, [("score", False)], {"rows": "n", "hits": "tp"})
-    w = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return t.withColumns({"rows": F.sum("n").over(w), "hits": F.sum("tp").over(w)})
+    return global_running(score_table(df, label, score, by), [("score", False)], {"rows": "n", "hits": "tp"}, by)
 
 
 def evaluate(df: DataFrame, label: str = "is_laundering", score: str = "score", by: list[str] | None = None) -> DataFrame:
@@ -105,7 +102,7 @@ def recall_by(df: DataFrame, group: Column, name: str, label: str = "is_launderi
 
 
 def recall_slices(df: DataFrame, groups: dict[str, Column], label: str = "is_laundering") -> DataFrame:
-    """All slices from one pass: grouping sets over the slice columns."""
+    """All slices from one pass: each row once a slice column, then one aggregate."""
     named = df.filter(F.col(label) == 1).select("flagged", *[g.cast("string").alias(f"g_{n}") for n, g in groups.items()])
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("slice"), F.col(f"g_{n}").alias("value")) for n in groups]))
     tall = named.select("flagged", pairs.alias("p")).select("flagged", "p.*").filter("value IS NOT NULL")
@@ -155,45 +152,61 @@ def evaluate_accounts(df: DataFrame, labels: DataFrame, k: int = 3) -> DataFrame
     return evaluate(tall, by=["aggregation"])
 
 
-def _finite(df: DataFrame, column: str) -> DataFrame:
-    """The column's finite values, as `v`."""
-    v = F.col(column).cast("double")
-    return df.select(v.alias("v")).filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+def _tall(reference: DataFrame, current: DataFrame, cells: dict[str, Column]) -> DataFrame:
+    """(feature, v, r): a cell a column of both sides' rows, nulls left out; r is 1 for the reference."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), v.alias("v")) for c, v in cells.items()]))
+    side = lambda df, r: df.select(each.alias("x")).select("x.*", F.lit(r).cast("long").alias("r"))
+    return side(reference, 1).unionByName(side(current, 0)).filter("v IS NOT NULL")
 
 
-def psi(reference: DataFrame, current: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """One row: the population stability index by the reference's quantile bins, over finite values.
+def _features(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+
 
-    Constant columns have 0; NaN where a side has no finite value.
+def psi_table(reference: DataFrame, current: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
+    """(feature, psi): the population stability index by the reference's quantile bins, over finite values.
+
+    Constant columns have 0; NaN where a side has no finite value. All columns are counted in one pass.
     """
-    ref, cur = _finite(reference, column), _finite(current, column)
-    q = ref.agg(F.percentile("v", F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("q")).first()["q"]
-    edges = sorted(set(q)) if q else []
-    if not edges or cur.isEmpty():
-        return reference.sparkSession.createDataFrame([(column, float("nan"))], "feature string, psi double")
-    if len(edges) < 3:
-        return reference.sparkSession.createDataFrame([(column, 0.0)], "feature string, psi double")
-    inner = edges[1:-1]
-    bucket = F.lit(0)
-    for e in inner:
-        bucket = bucket + F.when(F.col("v") >= e, 1).otherwise(0)
-    counts = ref.withColumn("r", F.lit(1)).unionByName(cur.withColumn("r", F.lit(0))).groupBy(bucket.alias("b")).agg(F.sum("r").alias("r"), F.sum(1 - F.col("r")).alias("c"))
-    every = reference.sparkSession.range(len(inner) + 1).select(F.col("id").cast("int").alias("b"))
-    full = every.join(counts, "b", "left").na.fill(0, ["r", "c"])
-    totals = full.agg(F.sum("r").alias("rt"), F.sum("c").alias("ct"))
-    p = lambda x, t: F.greatest(F.col(x) / F.col(t), F.lit(1e-6))
-    terms = full.crossJoin(F.broadcast(totals)).select((p("c", "ct") - p("r", "rt")) * F.log(p("c", "ct") / p("r", "rt")))
-    return terms.toDF("t").agg(F.sum("t").alias("psi")).select(F.lit(column).alias("feature"), "psi")
+    cuts = quantiles(reference, {c: [i / bins for i in range(bins + 1)] for c in columns})
+    cells, shape = {}, []
+    for c in columns:
+        inner = sorted(set(cuts[c] or []))[1:-1]
+        bucket = F.lit(0)
+        for e in inner:
+            bucket = bucket + F.when(F.col(f"`{c}`") >= e, 1).otherwise(0)
+        cells[c] = F.when(finite(c).isNotNull(), bucket)
+        shape.append((c, len(inner)))
+    counts = _tall(reference, current, cells).groupBy("feature", F.col("v").alias("b")).agg(F.sum("r").alias("r"), F.sum(1 - F.col("r")).alias("c"))
+    spark = reference.sparkSession
+    every = spark.createDataFrame(shape, "feature string, edges int").select("feature", "edges", F.explode(F.sequence(F.lit(0), "edges")).alias("b"))
+    full = every.join(counts, ["feature", "b"], "left").na.fill(0, ["r", "c"])
+    totals = full.groupBy("feature").agg(F.sum("r").alias("rt"), F.sum("c").alias("ct"))
+    p = lambda x, t: F.greatest(F.try_divide(F.col(x), F.col(t)), F.lit(1e-6))
+    term = (p("c", "ct") - p("r", "rt")) * F.log(p("c", "ct") / p("r", "rt"))
+    some = (F.col("rt") > 0) & (F.col("ct") > 0)
+    value = F.when(~some, F.lit(float("nan"))).when(F.col("edges") == 0, 0.0).otherwise(term)
+    return full.join(totals, "feature").groupBy("feature").agg(F.sum(value).alias("psi"))
+
+
+def ks_table(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, ks): the largest distance of the two empirical distributions, over distinct finite values of all columns at once."""
+    counts = _tall(reference, current, {c: finite(c) for c in columns}).groupBy("feature", "v").agg(F.sum("r").alias("r"), F.sum(1 - F.col("r")).alias("c"))
+    run = global_running(counts, [("v", True)], {"rr": "r", "cc": "c"}, ["feature"])
+    totals = run.groupBy("feature").agg(F.sum("r").alias("rt"), F.sum("c").alias("ct"))
+    apart = F.abs(F.try_divide("rr", "rt") - F.try_divide("cc", "ct"))
+    found = run.join(totals, "feature").groupBy("feature").agg(F.max(apart).alias("ks"))
+    return _features(reference, columns).join(found, "feature", "left").select("feature", F.coalesce("ks", F.lit(float("nan"))).alias("ks"))
+
+
+def psi(reference: DataFrame, current: DataFrame, column: str, bins: int = 10) -> DataFrame:
+    """`psi_table` of one column."""
+    return psi_table(reference, current, [column], bins)
 
 
 def ks(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
-    """One row: the largest distance of the two empirical distributions, over distinct finite values."""
-    both = _finite(reference, column).select("v", F.lit(1).alias("r"), F.lit(0).alias("c")).unionByName(_finite(current, column).select("v", F.lit(0).alias("r"), F.lit(1).alias("c")))
-    counts = both.groupBy("v").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    run = global_running(counts, [("v", True)], {"rr": "r", "cc": "c"})
-    t = run.agg(F.sum("r").alias("rt"), F.sum("c").alias("ct"))
-    apart = F.abs(F.try_divide("rr", "rt") - F.try_divide("cc", "ct"))
-    return run.crossJoin(F.broadcast(t)).agg(F.coalesce(F.max(apart), F.lit(float("nan"))).alias("ks")).select(F.lit(column).alias("feature"), "ks")
+    """`ks_table` of one column."""
+    return ks_table(reference, current, [column])
 
 
 def calibration_error(df: DataFrame, confidence: str, correct: str, bins: int = 10) -> DataFrame:

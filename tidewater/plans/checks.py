@@ -68,7 +68,7 @@ def _drift_sql(column: str) -> str:
 
 
 @query("k12_drift_table", f"""WITH {split_bounds(EV)}, part AS (SELECT CASE WHEN t_us <= b1 THEN 1 ELSE 0 END AS side, amount, amount_received * CASE WHEN t_us > b2 THEN 3 ELSE 1 END AS amount_received, cents FROM tx, b WHERE t_us <= b1 OR t_us > b2),
-u AS ({' UNION ALL '.join(map(_drift_sql, _DRIFTING))}) SELECT feature, round(psi, 6) AS psi, round(ks, 6) AS ks, psi > 0.25 AS significant, CAST(row_number() OVER (ORDER BY psi DESC, feature) AS INT) AS place FROM u""")
+u AS ({' UNION ALL '.join(map(_drift_sql, _DRIFTING))}) SELECT feature, round(psi, 6) AS psi, round(ks, 6) AS ks, psi > 0.25 AS significant, CAST(row_number() OVER (ORDER BY round(psi, 9) DESC, feature) AS INT) AS place FROM u""")
 def _(tx):
     s = splits.chronological_split(tx)
     later = s.filter("split = 'test'").withColumn("amount_received", F.col("amount_received") * 3)  # one column is made to drift

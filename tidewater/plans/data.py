@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import columns as C
-from tidewater.operators import contract, history
+from tidewater.operators import contract, history, splits
+from tidewater.operators.quantiles import quantiles
 from tidewater.sources import views
 from tidewater.sources.views import EVENTS_CTE as EV
 from tidewater.sources.views import LINEITEM_CTE as LI
@@ -30,7 +31,7 @@ def query(name: str, sql: str | None = None):
 
 def with_score(tx: DataFrame, fitted_on: DataFrame | None = None) -> DataFrame:
     """Transfers with the rule score, its amount limits fitted on `fitted_on` (without it, on all rows)."""
-    q = (tx if fitted_on is None else fitted_on).agg(F.percentile("amount", F.array(F.lit(0.99), F.lit(0.999))).alias("q")).first()["q"] or [0.0, 0.0]
+    q = quantiles(tx if fitted_on is None else fitted_on, {"amount": [0.99, 0.999]})["amount"] or [0.0, 0.0]
     return tx.withColumn("score", C.rule_score(C.rule_columns(tx.columns, float(q[0]), float(q[1]))))
 
 
@@ -185,18 +186,19 @@ def _(tx):
     return f.withColumns({c: F.round(c, 6) for c in ("tx_amount_log", "tx_amount_received_log", "tx_amount_ratio")})
 
 
-@query("c11_categorical_codes", f"""WITH {EV}, v AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (
-  SELECT DISTINCT payment_type AS v FROM tx WHERE row_pos % 100 < 70 AND payment_type <> 'signup'))
+@query("c11_categorical_codes", f"""WITH {split_bounds(EV)}, v AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (
+  SELECT DISTINCT payment_type AS v FROM tx, b WHERE t_us <= b1 AND payment_type <> 'signup'))
 SELECT transaction_id, coalesce(code, -1) AS payment_type_code FROM tx LEFT JOIN v ON v = payment_type""")
 def _(tx):
-    train = tx.filter("row_pos % 100 < 70 AND payment_type <> 'signup'")
+    # one type is left out of the train part, so that the code of an unseen one is met
+    train = splits.chronological_split(tx).filter("split = 'train' AND payment_type <> 'signup'")
     return C.category_codes(train, tx, "payment_type").select("transaction_id", "payment_type_code")
 
 
 @query("c13_rules_fired", f"WITH {SCORED} SELECT transaction_id, large_amount, very_large_amount, cross_currency, round_amount, odd_hour, non_self_transfer FROM scored")
 def _(tx):
-    q = tx.agg(F.percentile("amount", F.array(F.lit(0.99), F.lit(0.999))).alias("q")).first()["q"] or [0.0, 0.0]
-    rules = C.rule_columns(tx.columns, float(q[0]), float(q[1]))
+    q = quantiles(tx, {"amount": [0.99, 0.999]})["amount"] or [0.0, 0.0]
+    rules = C.rule_columns(tx.columns, *q)
     return tx.select("transaction_id", *[c.alias(n) for n, c in rules.items()])
 
 
@@ -207,8 +209,8 @@ def _(tx):
 
 @query("e9_rule_thresholds", f"WITH {EV} SELECT round(quantile_cont(amount, 0.99), 6) AS q99, round(quantile_cont(amount, 0.999), 6) AS q999 FROM tx")
 def _(tx):
-    q = F.percentile("amount", F.array(F.lit(0.99), F.lit(0.999)))
-    return tx.agg(q.alias("q")).select(F.round(F.col("q")[0], 6).alias("q99"), F.round(F.col("q")[1], 6).alias("q999"))
+    q = quantiles(tx, {"amount": [0.99, 0.999]})["amount"] or [None, None]
+    return tx.sparkSession.createDataFrame([(q[0], q[1])], "q99 double, q999 double").select(F.round("q99", 6).alias("q99"), F.round("q999", 6).alias("q999"))
 
 
 @query("c27_bands", f"""WITH {EV}, d AS (SELECT source_account AS account, count(DISTINCT destination_account) AS degree FROM tx GROUP BY 1)

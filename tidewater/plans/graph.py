@@ -208,11 +208,14 @@ def _(tx):
 # --- structure ------------------------------------------------------------------------------------------
 
 
-@query("e21_degree_profile", f"""WITH {EV}, d AS (SELECT source_account, count(DISTINCT destination_account) AS degree, count(*) AS sent FROM tx GROUP BY 1)
-SELECT round(quantile_cont(degree, 0.5), 6) AS p50, round(quantile_cont(degree, 0.99), 6) AS p99, round(quantile_cont(degree, 0.999), 6) AS p999,
-  max(degree) AS max_degree, round((SELECT sum(sent) FROM (SELECT sent FROM d ORDER BY sent DESC, source_account LIMIT 5)) / sum(sent), 6) AS top5_share FROM d""")
+@query("e21_degree_profile", f"""WITH {EV}, d AS (SELECT a, count(*) AS degree FROM (SELECT source_account AS a FROM tx UNION ALL SELECT destination_account FROM tx) GROUP BY a),
+hubs AS (SELECT degree FROM d ORDER BY degree DESC LIMIT (SELECT greatest(count(*) // 10000, 1) FROM d)), first5 AS (SELECT degree FROM d ORDER BY degree DESC LIMIT 5)
+SELECT count(*) AS vertices, CAST(sum(degree) / 2 AS BIGINT) AS edges, round(avg(degree), 6) AS mean, round(quantile_cont(degree, 0.5), 6) AS p50, round(quantile_cont(degree, 0.99), 6) AS p99,
+  round(quantile_cont(degree, 0.999), 6) AS p999, round(quantile_cont(degree, 0.9999), 6) AS p9999, max(degree) AS max_degree,
+  (SELECT string_agg(degree, ',' ORDER BY degree DESC) FROM first5) AS top_degrees, round((SELECT sum(degree) FROM hubs) / sum(degree), 6) AS share FROM d""")
 def _(tx):
-    return graph.degree_profile(tx)
+    p = graph.degree_profile(tx)
+    return p.withColumns({c: F.round(c, 6) for c in ("mean", "p50", "p99", "p999", "p9999", "share")})
 
 
 _CADENCE = """(SELECT source_account AS account, count(*) AS n, stddev_pop(gap) / nullif(avg(gap), 0) AS variation FROM (SELECT source_account,

@@ -83,7 +83,7 @@ def global_position(df: DataFrame, order: list[tuple[str, bool]], name: str, kee
     """Adds the 0-based position of each row under an order of (column, ascending), without a single-task window.
 
     Rows are dealt by ranges of the order, sorted and numbered inside their partition, and written; a
-    partition's offset is the row count of those before it (one number a partition reaches the driver).
+    partition's offset is the row count of those before it, a small table of one row a partition that is broadcast.
     Rows that tie on the whole order are numbered in any order. `keep` names the columns to write and return, all
     by default; the order may use more. `dealt_by` of the order's columns, all by default, bound the ranges: fewer make
     the sample cheaper, where few rows share their values.
@@ -93,35 +93,36 @@ def global_position(df: DataFrame, order: list[tuple[str, bool]], name: str, kee
     # monotonically_increasing_id numbers the rows of a partition from (partition << 33)
     kept = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]
     numbered = cut(spread.select(*kept, F.monotonically_increasing_id().alias("__at")), "positions")
-    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = {r["p"]: r["n"] for r in numbered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    offsets, total = [], 0
-    for p in sorted(counts):
-        offsets += [F.lit(p), F.lit(total).cast("long")]
-        total += counts[p]
-    base = F.element_at(F.create_map(*offsets), part) if offsets else F.lit(0).cast("long")
-    return numbered.withColumn(name, base + inside).drop("__at")
+    numbered = numbered.withColumn("__p", F.shiftright("__at", 33))
+    counts = numbered.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
+    offsets = counts.select("__p", F.coalesce(before, F.lit(0)).alias("__base"))
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = numbered.join(F.broadcast(offsets), "__p").withColumn(name, F.col("__base") + inside)
+    return placed.drop("__at", "__p", "__base")
 
 
-def global_running(df: DataFrame, order: list[tuple[str, bool]], sums: dict[str, str]) -> DataFrame:
-    """Adds running totals (`name -> column`) over an order of the whole frame, the current row included.
+def global_running(df: DataFrame, order: list[tuple[str, bool]], sums: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """Adds running totals (`name -> column`) over an order of the whole frame, or of each group, the current row included.
 
-    As `global_position`: rows are numbered inside range partitions, running totals are windows inside those,
-    and what precedes a partition is a constant. Null values count as nothing.
+    Rows are dealt by ranges of (group, order), so a group of any size is spread; running totals are windows inside a
+    partition, and a group that goes on from earlier partitions adds what it summed up to there: at most one row a
+    partition, which is broadcast. Null values count as nothing.
     """
-    directions = [F.col(f"`{c}`").asc() if up else F.col(f"`{c}`").desc() for c, up in order]
+    by = by or []
+    directions = [F.col(f"`{c}`").asc() for c in by] + [F.col(f"`{c}`").asc() if up else F.col(f"`{c}`").desc() for c, up in order]
     spread = df.repartitionByRange(*directions).sortWithinPartitions(*directions)
-    numbered = cut(spread.withColumn("__at", F.monotonically_increasing_id()), "running")
-    numbered = numbered.withColumn("__p", F.shiftright("__at", 33))
-    parts = numbered.groupBy("__p").agg(*[F.sum(c).alias(n) for n, c in sums.items()]).collect()
-    before: dict[str, list] = {n: [] for n in sums}
-    total = dict.fromkeys(sums, 0)
-    for r in sorted(parts, key=lambda r: r["__p"]):
-        for n in sums:
-            before[n] += [F.lit(r["__p"]), F.lit(total[n])]
-            total[n] += r[n] or 0
-    inside = Window.partitionBy("__p").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    for n, c in sums.items():
-        base = F.element_at(F.create_map(*before[n]), F.col("__p")) if before[n] else F.lit(0)
-        numbered = numbered.withColumn(n, base + F.coalesce(F.sum(c).over(inside), F.lit(0)))
-    return numbered.drop("__at", "__p")
+    numbered = cut(spread.withColumn("__at", F.monotonically_increasing_id()), "running").withColumn("__p", F.shiftright("__at", 33))
+    parts = numbered.groupBy("__p", *by).agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    earlier = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select(
+        F.col("__p").alias("__cp"), *[F.col(c).alias(f"__by_{c}") for c in by], F.sum("__n").over(earlier).alias("__any"),
+        *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in sums],
+    ).filter("__any IS NOT NULL")
+    same = F.col("__p") == F.col("__cp")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    inside = Window.partitionBy("__p", *by).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    own = numbered.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
+    j = own.join(F.broadcast(carried), same, "left")
+    return j.withColumns({n: F.col(n) + F.coalesce(f"__{n}", F.lit(0)) for n in sums}).drop("__at", "__p", "__cp", "__any", *[f"__by_{c}" for c in by], *[f"__{n}" for n in sums])
