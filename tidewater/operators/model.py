@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.columns import schema_hash
+from tidewater.operators import attribution
 from tidewater.operators.contract import assert_label_blind
-from tidewater.operators.ranking import rank
+from tidewater.operators.ranking import rank, top_reasons
 
 
 def piecewise(value: Column, xs: list[float], ys: list[float]) -> Column:
@@ -94,20 +95,16 @@ def importances(package: Package, top: int = 20) -> list[tuple[str, float]]:
     return sorted(pairs, key=lambda x: (-x[1], x[0]))[:top]
 
 
-def contributions(df: DataFrame, package: Package, means: dict[str, float] | None = None) -> DataFrame:
-    """(transaction_id, one column a feature): the change of the raw score when the feature goes to its mean.
-
-    A one-at-a-time attribution: exact for what it states, linear in the number of features, and all rows of
-    a feature are scored by the same distributed transform.
-    """
-    means = means or df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in package.columns]).first().asDict()
-    base = _raw(package.model, assemble(df, package.columns)).select("transaction_id", F.col("raw_score").alias("__base"))
-    pieces = None
-    for c in package.columns:
-        moved = _raw(package.model, assemble(df.withColumn(c, F.lit(means[c])), package.columns)).select("transaction_id", F.lit(c).alias("f"), "raw_score")
-        pieces = moved if pieces is None else pieces.unionByName(moved)
-    wide = pieces.groupBy("transaction_id").pivot("f", package.columns).agg(F.first("raw_score"))
-    return wide.join(base, "transaction_id").select("transaction_id", *[(F.col("__base") - F.col(c)).alias(c) for c in package.columns])
+def contributions(df: DataFrame, package: Package) -> DataFrame:
+    """(transaction_id, one column a feature, bias): Shapley attributions that add up to the trees' raw margin."""
+    return attribution.contributions(df, package.model, package.columns)
+
+
+def score_table(df: DataFrame, package: Package, reasons: int = 3) -> DataFrame:
+    """`score` with `top_features`: for alerts alone, what pushed the score up most; empty for the rest."""
+    scored = score(df, package)
+    why = top_reasons(contributions(scored.filter("alert"), package), package.columns, reasons, attribution.labels(package.columns))
+    return scored.join(why, "transaction_id", "left").withColumn("top_features", F.coalesce("top_features", F.lit("")))
 
 
 def mean_absolute(contribs: DataFrame, columns: list[str]) -> DataFrame:

@@ -314,13 +314,33 @@ def _(tx):
     return ranking.hash_sample(tx, 100, seed=7).select("transaction_id")
 
 
-@query("g14_bootstrap")
+_BOUNDS = ", ".join(f"{p!r}::DOUBLE" for p in ranking.POISSON)
+_MIX = "CAST((xor(x, x >> 16) * 73244475) % 4294967296 AS BIGINT)"
+
+
+def _arm(score: str) -> str:
+    """Average precision of each replicate: hits at a score times precision down to it, over the positives."""
+    return f"""(SELECT r, sum(tp * hits / nullif(upto, 0)) / nullif(max(hits), 0) AS ap FROM (SELECT r, tp, sum(tp) OVER w AS hits, sum(n) OVER w AS upto
+  FROM (SELECT r, {score} AS s, sum(w) AS n, sum(w * y) AS tp FROM drawn GROUP BY 1, 2) WINDOW w AS (PARTITION BY r ORDER BY s DESC)) GROUP BY r)"""
+
+
+@query("g14_bootstrap", f"""WITH {SCORED}, acc AS (SELECT source_account AS u, max(is_laundering) AS y, max(score) AS a, max(amount) AS b, CAST(concat('0x', substr(md5(source_account), 1, 8)) AS BIGINT) AS h FROM scored GROUP BY 1),
+m0 AS (SELECT *, (h + r * 2654435769 + 11) % 4294967296 AS x FROM acc, range(1, 2001) t(r)), m1 AS (SELECT * REPLACE ({_MIX} AS x) FROM m0), m2 AS (SELECT * REPLACE ({_MIX} AS x) FROM m1),
+drawn AS (SELECT u, y, a, b, 0 AS r, 1 AS w FROM acc UNION ALL SELECT u, y, a, b, r, len(list_filter([{_BOUNDS}], lambda p: p <= xor(x, x >> 16) / 4294967296.0::DOUBLE)) AS w FROM m2),
+positives AS (SELECT r, sum(w * y) AS p FROM drawn GROUP BY r),
+paired AS (SELECT r, x.ap AS a, y.ap AS b, y.ap - x.ap AS d FROM {_arm('a')} x JOIN {_arm('b')} y USING (r) JOIN positives USING (r) WHERE r = 0 OR p >= 2),
+point AS (SELECT * FROM paired WHERE r = 0), reps AS (SELECT * FROM paired WHERE r > 0)
+SELECT (SELECT count(*) FROM acc) AS n, CAST((SELECT sum(y) FROM acc) AS BIGINT) AS positives, (SELECT count(*) FROM reps) AS replicates,
+  {', '.join(f"round((SELECT {c} FROM point), 6) AS {n}, round((SELECT quantile_cont({c}, 0.025) FROM reps), 6) AS {n}_low, round((SELECT quantile_cont({c}, 0.975) FROM reps), 6) AS {n}_high" for c, n in (('a', 'a'), ('b', 'b'), ('d', 'delta')))},
+  round((SELECT avg(CASE WHEN d > 0 THEN 1 ELSE 0 END) FROM reps), 6) AS favouring_b""")
 def _(tx):
-    return ranking.bootstrap(with_score(tx), "score", "is_self_transfer", "is_laundering", replicates=2000, unit="source_account")
+    accounts = with_score(tx).groupBy("source_account").agg(F.max("is_laundering").alias("y"), F.max("score").alias("a"), F.max("amount").alias("b"))
+    found = ranking.bootstrap(accounts, "a", "b", "y", "source_account")
+    return _round(found, *[f"{c}{s}" for c in ("a", "b", "delta") for s in ("", "_low", "_high")], "favouring_b")
 
 
 @query("g8_top_reasons", f"""WITH {EV}, c AS (SELECT transaction_id, unnest(['amount_log', 'self', 'cross']) AS f, unnest([ln(1 + amount) - 3, is_self_transfer - 0.5, CASE WHEN currency <> currency_received THEN 1 ELSE -1 END]) AS v FROM tx)
-SELECT transaction_id, coalesce(string_agg(printf('%s=%+.3f', f, v), '; ' ORDER BY v DESC, f) FILTER (v > 0), '') AS top_features FROM c GROUP BY 1""")
+SELECT transaction_id, coalesce(string_agg(printf('%s (+%.3f)', f, v), '; ' ORDER BY v DESC, f) FILTER (v > 0), '') AS top_features FROM c GROUP BY 1""")
 def _(tx):
     c = tx.select("transaction_id", (F.log1p("amount") - 3).alias("amount_log"), (F.col("is_self_transfer") - 0.5).alias("self"),
                   F.when(F.col("currency") != F.col("currency_received"), 1.0).otherwise(-1.0).alias("cross"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import columns as C
 from tidewater.operators import cases, contract, history, model, ranking, splits, typology
 from tidewater.operators.trace import TraceLimits, trace
 from tidewater.plans.data import SCORED, query, with_score
+from tidewater.session import cut
 from tidewater.sources.views import EVENTS_CTE as EV
 from tidewater.streaming import history as stream
 
@@ -22,13 +23,30 @@ def features(tx: DataFrame) -> tuple[DataFrame, list[str]]:
     return joined, [c for c in joined.columns if c.startswith(("tx_", "bh_"))]
 
 
-@query("j13_score_table")
-def _(tx):
+def _fitted(tx: DataFrame) -> tuple[model.Package, DataFrame]:
+    """A package fitted on the train and validation parts, and the test part."""
     f, columns = features(tx)
-    split = splits.chronological_split(f).cache()
+    split = cut(splits.chronological_split(f), "features")  # several passes read it
     part = lambda s: split.filter(F.col("split") == s)
-    package = model.fit(part("train"), part("val"), columns, threshold=0.05, iterations=5, depth=3)
-    return model.score(part("test"), package).select("transaction_id", "raw_score", "score", "rank", "alert")
+    return model.fit(part("train"), part("val"), columns, threshold=0.05, iterations=5, depth=3), part("test")
+
+
+@query("j13_score_table")
+def _(tx):
+    package, test = _fitted(tx)
+    return model.score_table(test, package).select("transaction_id", "raw_score", "score", "rank", "alert", "top_features")
+
+
+@query("j7_contributions")
+def _(tx):
+    package, test = _fitted(tx)
+    return model.contributions(test, package)
+
+
+@query("e18_mean_absolute")
+def _(tx):
+    package, test = _fitted(tx)
+    return model.mean_absolute(model.contributions(test, package), package.columns)
 
 
 # the isotonic fit at s is the greatest, over starts up to s, of the least mean of any run from there to s or beyond
@@ -47,9 +65,10 @@ def documents(tx: DataFrame) -> DataFrame:
     scored = with_score(tx)
     alert = F.struct("score", -F.col("row_pos"))  # an account's case starts at its best transfer, the first of equals
     best = scored.groupBy("source_account").agg(F.max("score").alias("score"), F.max_by("t_us", alert).alias("at_us")).orderBy(F.desc("score"), "source_account").limit(10)
+    best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "source_account")).cast("long"))  # the ten kept rows
     seeds = best.select(F.col("source_account").alias("seed"), "at_us")
     t = trace(tx, seeds, "forward", 3, TraceLimits(16, 200))
-    return cases.build(t, tx.select("row_pos", "transaction_id", "payment_type"), best.select(F.col("source_account").alias("seed"), "score", F.lit(0).alias("rank")))
+    return cases.build(t, tx.select("row_pos", "transaction_id", "payment_type"), best.select(F.col("source_account").alias("seed"), "score", "rank"))
 
 
 @query("j15_bundle")
