@@ -23,9 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewater.llm.common import tidy
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import sliced, tidy
 from tidewater.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -127,18 +127,22 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def annotate(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_chars: int = 32_000_000,
-    shard_words: int = 4_000_000,
+    shard_words: int = 4_000_000, prefix: str = "__",
 ) -> DataFrame:
-    """Adds `__n_words` (long), `__spans` (merged word spans hit) and `__items` (ids of items hit, as strings)."""
+    """Adds `__n_words` (long), `__spans` (merged word spans hit) and `__items` (ids of items hit, as strings).
+
+    Columns that have these names are replaced; another `prefix` keeps them.
+    """
+    n_words, spans_col, items_col = (prefix + n for n in ("n_words", "spans", "items"))
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_chars) or 1
     out = docs.withColumns(
         {
-            "__n_words": F.lit(0).cast("long"),
-            "__spans": F.array().cast("array<struct<start:long,end:long>>"),
-            "__items": F.array().cast("array<string>"),
+            n_words: F.lit(0).cast("long"),
+            spans_col: F.array().cast("array<struct<start:long,end:long>>"),
+            items_col: F.array().cast("array<string>"),
         }
     )
     for block in range(blocks):
@@ -156,21 +160,21 @@ def annotate(
                 for batch, ids in held:
                     m = len(ids)
                     table = {n: batch.column(n) for n in batch.schema.names}
-                    old_spans, old_items = table["__spans"].to_pylist(), table["__items"].to_pylist()
-                    table["__n_words"] = pa.array([len(x) for x in ids], pa.int64())
+                    old_spans, old_items = table[spans_col].to_pylist(), table[items_col].to_pylist()
+                    table[n_words] = pa.array([len(x) for x in ids], pa.int64())
                     joined = [
                         [{"start": a, "end": b} for a, b in merge([(s["start"], s["end"]) for s in old] + new)]
                         for old, new in zip(old_spans, spans[k : k + m], strict=True)
                     ]
-                    table["__spans"] = pa.array(joined, _SPANS)
+                    table[spans_col] = pa.array(joined, _SPANS)
                     listed = [sorted({*old, *new}) for old, new in zip(old_items, items[k : k + m], strict=True)]
-                    table["__items"] = pa.array(listed, pa.list_(pa.string()))
+                    table[items_col] = pa.array(listed, pa.list_(pa.string()))
                     k += m
                     yield pa.RecordBatch.from_pydict(table)
                 held.clear()
 
             size = 0
-            for batch in batches:
+            for batch in sliced(batches, 4096, text_col):
                 ids = []
                 for t in batch.column(text_col).to_pylist():
                     w = words(t)
@@ -189,12 +193,15 @@ def annotate(
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents with every hit span cut from the text; all columns and rows stay."""
-    marked, names = annotate(docs, benchmark, text_col, window), docs.columns
+    names, prefix = docs.columns, "__"
+    while any(c.lower() in (f"{prefix}n_words", f"{prefix}spans", f"{prefix}items") for c in names):
+        prefix += "_"
+    marked = annotate(docs, benchmark, text_col, window, prefix=prefix)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 4096, text_col):
             texts = batch.column(text_col).to_pylist()
-            for row, spans in enumerate(batch.column("__spans").to_pylist()):
+            for row, spans in enumerate(batch.column(f"{prefix}spans").to_pylist()):
                 if spans:
                     raw = texts[row].encode()
                     at = [m.span() for m in _WORD.finditer(raw)]

@@ -1,7 +1,8 @@
 """HTML extraction by union-free wrapper inference per host.
 
-A page is a stream of tags and texts, read into a tolerant tree of block elements. Pages of one host are
-aligned one after another: equal children are matched in order, a child that only one side has becomes an
+A page is a stream of tags and texts, read into a tolerant tree of block elements, whose symbols are their names
+with the class and id words that the host's template has; words of single pages are slots, so a wrapper grows with
+the template and not with the pages. Pages of one host are aligned one after another: equal children are matched in order, a child that only one side has becomes an
 optional group, adjacent equal children (or short sequences of them) become a repeated group, and texts that
 differ become slots. The result is a wrapper, a regular expression without unions. Wrappers of the same host
 that different tasks inferred are aligned in the same way, so every page takes part and a large host is
@@ -27,6 +28,7 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -36,11 +38,8 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import cut, sliced, tidy
 
-_SPLIT = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+_OPENS = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_QUOTE_OR_END = re.compile(r"[>\"']")
 _MARKS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 #: Elements without content, inline elements, and what a new block closes.
@@ -51,6 +50,9 @@ INLINE = frozenset(
 )
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BREAKS = frozenset({"br", "hr"})
+#: Fixed value: elements whose content is no text of the page.
+UNREAD = frozenset("script style noscript template svg iframe textarea select head".split())
+_CLOSES = {n: re.compile(rf"</{n}\s*>", re.I) for n in UNREAD}
 #: Element names, and words in class, id or role, that are never the main text.
 NOT_MAIN_TAGS = frozenset("nav footer aside form button dialog menu noscript".split())
 NOT_MAIN_WORDS = re.compile(
@@ -65,20 +67,68 @@ MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|t
 class Element:
     """A block element: its name with class and id words, its own text pieces in order, its children."""
 
-    __slots__ = ("children", "drop", "linked", "name", "parts", "symbol")
+    __slots__ = ("children", "drop", "linked", "marks", "name", "parts", "symbol")
 
     def __init__(self, name: str, marks: str) -> None:
-        self.name, self.symbol = name, f"{name}.{marks}" if marks else name
+        self.name, self.symbol, self.marks = name, f"{name}.{marks}" if marks else name, marks
         self.drop = name in NOT_MAIN_TAGS or bool(marks and NOT_MAIN_WORDS.search(marks))
         self.parts: list = []  # texts and child elements, in page order
         self.children: list[Element] = []
         self.linked = 0
 
 
+#: Stands in a symbol for words, not of the template, that are never main text.
+OUT = "~"
+#: Elements that say nothing by their name; those that hold text alone and those that hold elements are told apart.
+PLAIN, LEAF = frozenset({"div", "section"}), "="
 #: Fixed value: nesting beyond this hangs below the element at this depth.
 DEEPEST = 128
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of each piece of markup, in one scan; comments and unread elements have no name.
+
+    A quote that never closes ends with the first `>` after it. Where a tag's quotes swallow every `>` of the page, that
+    tag and the later ones end at their first `>`. What opens after the last `>` is text.
+    """
+    at, last, quoted = 0, page.rfind(">"), True
+
+    def end_of(i: int) -> int:
+        nonlocal quoted
+        begin = i
+        while quoted:
+            m = _QUOTE_OR_END.search(page, i)
+            if m is None:
+                quoted = False
+            elif m[0] == ">":
+                return m.end()
+            else:
+                close = page.find(m[0], m.end())
+                if close < 0:
+                    begin = m.end() if m.end() <= last else begin
+                    break
+                i = close + 1
+        return page.find(">", begin) + 1
+
+    while (m := _OPENS.search(page, at)) is not None:
+        start, name = m.start(), (m[4] or "").lower()
+        if m[1]:
+            close = page.find("-->", m.end())
+            at = close + 3 if close >= 0 else len(page)
+        elif start > last:
+            return
+        elif m[2] or (name in UNREAD and not m[3]):
+            at = page.find(">", m.end()) + 1
+            if name:
+                close = _CLOSES[name].search(page, at)
+                at, name = close.end() if close else len(page), ""
+        else:
+            at = end_of(m.end())
+            yield start, at, bool(m[3]), name, page[m.end() : at - 1]
+            continue
+        yield start, at, False, "", ""
+
+
 def parse(page: str | None) -> Element:
     """The tree of block elements; inline tags leave no trace, breaks and blocks cut words."""
     root = Element("html", "")
@@ -95,7 +145,7 @@ def parse(page: str | None) -> Element:
             piece = html.unescape(page[a:b])
             if below and stack[-1].parts[-1] is not below[-1]:  # back in an element after a deeper one ended
                 again = Element("", "")
-                again.name, again.symbol, again.drop = below[-1].name, below[-1].symbol, below[-1].drop
+                again.name, again.symbol, again.marks, again.drop = below[-1].name, below[-1].symbol, below[-1].marks, below[-1].drop
                 below[-1] = again
                 hang(again)
             holder = below[-1] if below else stack[-1]
@@ -103,21 +153,20 @@ def parse(page: str | None) -> Element:
             if anchors:
                 holder.linked += len(piece)
 
-    for m in _SPLIT.finditer(page):
-        text(at, m.start())
-        at = m.end()
-        name = (m[3] or "").lower()
+    for start, end, closing, name, attributes in tags(page):
+        text(at, start)
+        at = end
         if not name or name in ("html", "body"):
             continue
         if name in INLINE:
             if name == "a":
-                anchors = 0 if m[2] else 1
+                anchors = 0 if closing else 1
             continue
         if name in BREAKS:
             (below[-1] if below else stack[-1]).parts.append(" ")
         if name in VOID:
             continue
-        if m[2]:
+        if closing:
             for level in (below, stack):
                 k = next((k for k in range(len(level) - 1, -1 if level is below else 0, -1) if level[k].name == name), None)
                 if k is not None:
@@ -127,7 +176,7 @@ def parse(page: str | None) -> Element:
                     anchors = 0
                     break
             continue
-        marks = " ".join(" ".join(filter(None, x)) for x in _MARKS.findall(m[4])) if m[4] else ""
+        marks = " ".join(" ".join(filter(None, x)) for x in _MARKS.findall(attributes)) if attributes else ""
         shut = CLOSED_BY.get(name, ())
         for level in (below, stack):
             while len(level) > (level is stack) and (level[-1].name == "p" or level[-1].name in shut):
@@ -138,12 +187,31 @@ def parse(page: str | None) -> Element:
         if below:
             new.drop = new.drop or below[-1].drop
         hang(new)
-        if not (m[4] or "").endswith("/"):
+        if not attributes.endswith("/"):
             (below if below or len(stack) >= DEEPEST else stack).append(new)
     text(at, len(page))
     return root
 
 
+def settle(e: Element, words: frozenset[str]) -> Element:
+    """Keeps in the tree's symbols only the class and id words of the host's template; the others are slots of the markup.
+
+    That words, kept or not, say an element is never main text stays known, by a word of its own. So does, for plain
+    elements without words, whether they hold elements.
+    """
+    pending = [e]
+    while pending:
+        x = pending.pop()
+        kept = [w for w in x.marks.split() if w in words]
+        if x.marks and NOT_MAIN_WORDS.search(x.marks) and not NOT_MAIN_WORDS.search(" ".join(kept)):
+            kept.append(OUT)
+        if x.name in PLAIN and not kept and not x.children:
+            kept.append(LEAF)
+        x.symbol = f"{x.name}.{' '.join(kept)}" if kept else x.name
+        pending.extend(x.children)
+    return e
+
+
 # --- wrappers: [symbol, pages, repeated, optional, text state, chars, linked chars, children] -----------
 
 SYMBOL, PAGES, REPEATED, OPTIONAL, TEXT, CHARS, LINKED, CHILDREN = range(8)
@@ -183,14 +251,13 @@ def fold(items: list[list]) -> list[list]:
     return items
 
 
-def _align(a: list[list], b: list[list]) -> list[tuple[int | None, int | None]]:
-    """Longest common subsequence of the symbols, as index pairs in order with gaps on either side."""
-    x, y = [n[SYMBOL] for n in a], [n[SYMBOL] for n in b]
-    head = 0
-    while head < min(len(x), len(y)) and x[head] == y[head]:
-        head += 1
-    out: list[tuple[int | None, int | None]] = [(i, i) for i in range(head)]
-    x, y = x[head:], y[head:]
+#: Symbols of either list in the alignment's table; longer lists are aligned window by window.
+WINDOW = 1000
+
+
+def _subsequence(x: list[str], y: list[str]) -> list[tuple[int | None, int | None]]:
+    """Longest common subsequence, as index pairs in order with gaps on either side."""
+    out: list[tuple[int | None, int | None]] = []
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
@@ -198,17 +265,40 @@ def _align(a: list[list], b: list[list]) -> list[tuple[int | None, int | None]]:
     i = j = 0
     while i < len(x) or j < len(y):
         if i < len(x) and j < len(y) and x[i] == y[j]:
-            out.append((head + i, head + j))
+            out.append((i, j))
             i, j = i + 1, j + 1
         elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-            out.append((head + i, None))
+            out.append((i, None))
             i += 1
         else:
-            out.append((None, head + j))
+            out.append((None, j))
             j += 1
     return out
 
 
+def _align(a: list[list], b: list[list]) -> list[tuple[int | None, int | None]]:
+    """A common subsequence of the symbols, as index pairs in order with gaps on either side.
+
+    A longest one for lists within the window; for longer ones, the first half of each window's longest one.
+    """
+    x, y = [n[SYMBOL] for n in a], [n[SYMBOL] for n in b]
+    head = 0
+    while head < min(len(x), len(y)) and x[head] == y[head]:
+        head += 1
+    out: list[tuple[int | None, int | None]] = [(i, i) for i in range(head)]
+    i = j = head
+    while i < len(x) or j < len(y):
+        whole = len(x) - i <= WINDOW and len(y) - j <= WINDOW
+        u = v = 0
+        for p, q in _subsequence(x[i : i + WINDOW], y[j : j + WINDOW]):
+            if not whole and max(u, v) >= WINDOW // 2:
+                break
+            out.append((None if p is None else i + p, None if q is None else j + q))
+            u, v = u + (p is not None), v + (q is not None)
+        i, j = i + u, j + v
+    return out
+
+
 def merge(a: list, b: list, same_page: bool = False) -> list:
     """The least general wrapper of this form that covers both."""
     children = []
@@ -245,7 +335,7 @@ def as_expression(w: list) -> str:
 def _named_out(w: list) -> bool:
     """Whether the element's names say that it is never main text."""
     name, _, marks = w[SYMBOL].partition(".")
-    return name in NOT_MAIN_TAGS or bool(marks and NOT_MAIN_WORDS.search(marks))
+    return name in NOT_MAIN_TAGS or bool(marks and (OUT in marks.split() or NOT_MAIN_WORDS.search(marks)))
 
 
 def _mass(w: list) -> tuple[int, int]:
@@ -354,6 +444,8 @@ def rule_of(wrapper: list) -> dict:
 def main_text(page: str | None, rule: dict | None) -> str:
     """The page's main text by a rule; by names and mass where the rule finds nothing."""
     root = parse(page)
+    if rule and "words" in rule:
+        settle(root, frozenset(rule["words"]))
     for attempt in ([rule] if rule else []) + [rule_of(skeleton(root))]:
         main, drop = set(attempt["main"]), set(attempt["drop"])
         pieces: list[str] = []
@@ -391,11 +483,47 @@ def host_of(url: str | None) -> str:
 
 #: Bytes of rules up to which they are broadcast; beyond, pages and rules are joined by host, and AQE splits hot hosts.
 BROADCAST_BYTES = 32 << 20
+#: Parts in which a host's partial wrappers are aligned before the last task aligns those.
+SPREAD = 16
 _PAIR = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
 
 
+def template_words(pages: DataFrame) -> DataFrame:
+    """`(host, words)`: the class and id words that half of a host's pages or more have, so those that vary by page go.
+
+    A host has at most twice as many as its pages have on average.
+    """
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple[str, str | None]] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            hosts, words = (pa.array(x, pa.string()) for x in zip(*counts, strict=True))
+            out = pa.RecordBatch.from_arrays([hosts, words, pa.array(list(counts.values()), pa.int64())], ["host", "word", "n"])
+            counts.clear()
+            return out
+
+        for batch in sliced(batches, 1000, "html"):
+            for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                host = host_of(url)
+                counts.update((host, w) for w in {w for x in _MARKS.findall(page or "") for m in x for w in m.split()})
+                counts[host, None] += 1
+            if len(counts) > 50_000:
+                yield flush()
+        if counts:
+            yield flush()
+
+    found = pages.select("url", "html").mapInArrow(tidy(seen), "host string, word string, n long").groupBy("host", "word").agg(F.sum("n").alias("n"))
+    whole = found.filter("word IS NULL").select(F.col("host").alias("h"), F.col("n").alias("pages"))
+    kept = found.filter("word IS NOT NULL").join(whole, F.col("host") == F.col("h")).filter(2 * F.col("n") >= F.col("pages"))
+    return kept.groupBy("host").agg(F.array_sort(F.collect_list("word")).alias("words"))
+
+
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """`(host, wrapper)` as JSON: partial wrappers per task, then aligned per host in a stable order."""
+    """`(host, wrapper)` as JSON: partial wrappers per task, then aligned per host in a stable order, first in `SPREAD` parts.
+
+    `pages` has url, html, host and the host's `words`.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -405,9 +533,12 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
             held.clear()
             return out
 
-        for batch in batches:
-            for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                host, own = host_of(url), skeleton(parse(page))
+        for batch in sliced(batches, 1000, "html"):
+            known: dict[str, frozenset[str]] = {}
+            for host, page, words in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "words")), strict=True):
+                if host not in known:
+                    known[host] = frozenset(words or ())
+                own = skeleton(settle(parse(page), known[host]))
                 held[host] = merge(held[host], own) if host in held else own
             if len(held) > 5000:
                 yield flush()
@@ -427,8 +558,19 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         if last is not None:
             yield pa.RecordBatch.from_pydict({"host": [last], "wrapper": [json.dumps(wrapper)]}, schema=_PAIR)
 
-    found = pages.select("url", "html").mapInArrow(tidy(partial), "host string, wrapper string")
-    return found.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(tidy(align), "host string, wrapper string")
+    found = pages.select("host", "html", "words").mapInArrow(tidy(partial), "host string, wrapper string")
+    part = F.pmod(F.xxhash64("wrapper"), F.lit(SPREAD))
+    for keys in (["host", part], ["host"]):
+        found = found.repartition(*keys).sortWithinPartitions("host", "wrapper").mapInArrow(tidy(align), "host string, wrapper string")
+    return found
+
+
+def _sized(by_host: DataFrame) -> DataFrame:
+    """The table marked for broadcast if its texts are small enough; otherwise joined by host, where AQE splits hot hosts."""
+    own = next(c for c in by_host.columns if c != "host")
+    text = F.array_join(own, " ") if own == "words" else F.col(own)
+    size = by_host.agg(F.sum(F.length(text) + F.length("host") + 64)).first()[0] or 0
+    return F.broadcast(by_host) if size <= BROADCAST_BYTES else by_host
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -436,7 +578,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [json.dumps(rule_of(json.loads(w))) for w in batch.column("wrapper").to_pylist()]
+            both = zip(batch.column("wrapper").to_pylist(), batch.column("words").to_pylist(), strict=True)
+            made = [json.dumps(rule_of(json.loads(w)) | {"words": words or []}) for w, words in both]
             yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "rule": pa.array(made, pa.string())})
 
     def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,8 +598,9 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string())})
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    by_host = cut(infer_wrappers(own).mapInArrow(tidy(rules), "host string, rule string"), "html-rules")
-    size = by_host.agg(F.sum(F.length("rule") + F.length("host") + 64)).first()[0] or 0
     named = own.mapInArrow(tidy(hosts), "page_id long, url string, html string, host string")
-    known = F.broadcast(by_host) if size <= BROADCAST_BYTES else by_host
+    words = cut(template_words(own), "html-words")
+    wrappers = infer_wrappers(named.join(_sized(words), "host", "left"))
+    by_host = cut(wrappers.join(words, "host", "left").mapInArrow(tidy(rules), "host string, rule string"), "html-rules")
+    known = _sized(by_host)
     return named.join(known, "host", "left").select("page_id", "url", "html", "rule").mapInArrow(tidy(read), "page_id long, url string, text string")

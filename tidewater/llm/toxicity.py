@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewater.llm.common import tidy
+from tidewater.llm.common import sliced, tidy
 from pyspark.sql import types as T
 
 #: Characters that imitate Latin letters.
@@ -68,7 +68,7 @@ _FOLD = _Fold()
 _SIGNS = "".join(c for c in DIGITS if not c.isdigit())
 _LETTERS = {ord(k): v for k, v in DIGITS.items()}
 _ONLY_DIGITS = {ord(k): v for k, v in DIGITS.items() if k.isdigit()}
-_DISGUISED = re.compile(rf"\S*[{re.escape(''.join(DIGITS))}]\S*")
+_DISGUISED = re.compile(rf"[{re.escape(''.join(DIGITS))}]")
 _NOT_A_LETTER = re.compile(rf"[{re.escape(_SIGNS)}]+(?![^\W\d_])")
 _APART = re.compile(rf"[{re.escape(_SIGNS)}]+")
 
@@ -90,7 +90,7 @@ def fold(text: str | None) -> str:
     """
     flat = (text or "").translate(_FOLD)
     if _DISGUISED.search(flat):
-        flat = _DISGUISED.sub(lambda m: _readings(m[0]), flat)
+        flat = " ".join([_readings(w) if _DISGUISED.search(w) else w for w in flat.split()])
     return " " + " ".join(flat.split()) + " "
 
 
@@ -131,7 +131,15 @@ class Lexicon:
                 spared.append((at, end))
             elif n > best.get(at, (0, 0.0))[0]:
                 best[at] = (n, weight)
-        return sum(w for at, (n, w) in best.items() if not any(x <= at and at + n <= y for x, y in spared))
+        if spared:  # the exceptions that start no later than an entry, swept in order, reach so far
+            spared.sort()
+            reach, k = -1, 0
+            for at in sorted(best):
+                while k < len(spared) and spared[k][0] <= at:
+                    reach, k = max(reach, spared[k][1]), k + 1
+                if at + best[at][0] <= reach:
+                    del best[at]
+        return sum(w for _, w in best.values())
 
     def features(self, text: str | None) -> tuple[float, float]:
         folded = fold(text)
@@ -221,7 +229,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", score_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in sliced(batches, 4096, text_col):
             table = {f.name: batch.column(f.name) for f in fields}
             table[score_col] = pa.array([own.score(t) for t in batch.column(text_col).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_pydict(table)
