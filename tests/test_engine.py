@@ -66,7 +66,7 @@ def test_fan_in_counts_each_edge_once(spark):
     tx = frame(spark, [(a, "HUB", i) for i, a in enumerate("ABCD")])
     fan = by_pos(graph.fan_degree(tx))[3]
     assert (fan.fan_in, fan.degree_in, fan.fan_out) == (4, 4, 1)
-    assert by_pos(graph.histogram(graph.fan_degree(tx), "fan_in"))[3]["gfp_fan_in_4"] == 1
+    assert by_pos(graph.histogram(graph.fan_degree(tx), "fan_in"))[3]["pat_fan_in_4"] == 1
     s = by_pos(graph.vertex_statistics(tx))[3]
     assert (s.dst_in_n, s.dst_in_sum, s.dst_in_variance) == (4, 400.0, 0.0)
 

@@ -189,11 +189,11 @@ def pattern_columns(stat_columns: tuple[str, ...] = ("amount",)) -> list[tuple[s
         ("degree_in", "transfers into the receiver"), ("degree_out", "transfers out of the sender"),
         ("scatter_gather", "scatter-gather patterns by intermediaries"), ("temporal_cycle", "cycles in time order by length"),
     ):
-        out += [(f"gfp_{name}_{b}", f"{label}: {b}{' or more' if b == 30 else ''}") for b in range(2, 31)]
-    out += [(f"gfp_lc_cycle_{b}", f"simple cycles by length: {b}{' or more' if b == 10 else ''}") for b in range(2, 11)]
+        out += [(f"pat_{name}_{b}", f"{label}: {b}{' or more' if b == 30 else ''}") for b in range(2, 31)]
+    out += [(f"pat_lc_cycle_{b}", f"simple cycles by length: {b}{' or more' if b == 10 else ''}") for b in range(2, 11)]
     for end in ("sender", "receiver"):
         for way in ("outgoing", "incoming"):
-            base = f"gfp_{end}_{way}"
+            base = f"pat_{end}_{way}"
             out += [(f"{base}_counterparties", f"{end}: distinct {way} counterparties"), (f"{base}_count", f"{end}: {way} transfers"),
                     (f"{base}_ratio", f"{end}: {way} fan/degree ratio")]
             for s in stat_columns:

@@ -57,15 +57,15 @@ def fan_degree(df: DataFrame, width_us: int = DAY_US, hub_rows: int = HUB_ROWS)
 
 def histogram(sizes: DataFrame, column: str, top: int = 30, low: int = 2) -> DataFrame:
     """One-hot bins of a size: `low` to `top`, the last one open."""
-    bins = [F.when(F.col(column) == b, 1).otherwise(0).alias(f"gfp_{column}_{b}") for b in range(low, top)]
-    return sizes.select("row_pos", *bins, F.when(F.col(column) >= top, 1).otherwise(0).alias(f"gfp_{column}_{top}"))
+    bins = [F.when(F.col(column) == b, 1).otherwise(0).alias(f"pat_{column}_{b}") for b in range(low, top)]
+    return sizes.select("row_pos", *bins, F.when(F.col(column) >= top, 1).otherwise(0).alias(f"pat_{column}_{top}"))
 
 
-def vertex_statistics(df: DataFrame, width_us: int = DAY_US, value: str = "cents", hub_rows: int = HUB_ROWS) -> DataFrame:
+def vertex_statistics(df: DataFrame, width_us: int = DAY_US, value: str = "cents", hub_rows: int = HUB_ROWS, unit: int = 100) -> DataFrame:
     """For both ends and both roles: distinct counterparties, count, ratio, mean, sum, variance, skew, kurtosis.
 
     Moments come from integer power sums of `value`, exact before they are divided; population forms.
-    Sums and means are in currency units, variance in their square.
+    Sums and means are in units of `unit`, variance in their square.
     """
     names = ("cp", "n", "s1", "s2", "s3", "s4")
 
@@ -97,8 +97,8 @@ def vertex_statistics(df: DataFrame, width_us: int = DAY_US, value: str = "cents
             m4 = s4 / F.nullif(n, F.lit(0)) - 4 * mean * s3 / F.nullif(n, F.lit(0)) + 6 * mean * mean * s2 / F.nullif(n, F.lit(0)) - 3 * mean * mean * mean * mean
             spread = F.when(n > 1, F.when(var > 0.5, var))  # below half a squared unit of an integer there is none
             out += [
-                F.col(f"{p}_cp"), n, (F.col(f"{p}_cp") / F.nullif(n, F.lit(0))).alias(f"{p}_ratio"), (mean / 100).alias(f"{p}_mean"),
-                (s1 / 100).alias(f"{p}_sum"), F.when(n > 0, F.greatest(var, F.lit(0.0)) / 10000).alias(f"{p}_variance"),
+                F.col(f"{p}_cp"), n, (F.col(f"{p}_cp") / F.nullif(n, F.lit(0))).alias(f"{p}_ratio"), (mean / unit).alias(f"{p}_mean"),
+                (s1 / unit).alias(f"{p}_sum"), F.when(n > 0, F.greatest(var, F.lit(0.0)) / (unit * unit)).alias(f"{p}_variance"),
                 (m3 / F.pow(spread, F.lit(1.5))).alias(f"{p}_skew"), (m4 / (spread * spread) - 3).alias(f"{p}_kurtosis"),
             ]
     return one.select(*out)

@@ -220,24 +220,21 @@ def _(tx):
     return d.withColumn("bucket", C.degree_bucket("degree"))
 
 
-def _labels_sql() -> str:
-    return """WITH size_of(name, text, top) AS (VALUES ('fan_in', 'distinct senders into the receiver', 30), ('fan_out', 'distinct receivers from the sender', 30),
+def _labels_sql(columns: tuple[str, ...] = ("amount",)) -> str:
+    """The pattern columns and their labels, made from bins and frames."""
+    of = ", ".join(f"('{c}')" for c in columns)
+    return f"""WITH size_of(name, text, top) AS (VALUES ('fan_in', 'distinct senders into the receiver', 30), ('fan_out', 'distinct receivers from the sender', 30),
   ('degree_in', 'transfers into the receiver', 30), ('degree_out', 'transfers out of the sender', 30), ('scatter_gather', 'scatter-gather patterns by intermediaries', 30),
   ('temporal_cycle', 'cycles in time order by length', 30), ('lc_cycle', 'simple cycles by length', 10)),
 bins AS (SELECT name, text, top, unnest(range(2, top + 1)) AS b FROM size_of),
 frames AS (SELECT e, w FROM (VALUES ('sender'), ('receiver')) x(e), (VALUES ('outgoing'), ('incoming')) y(w)),
-moments AS (SELECT s, m FROM (VALUES ('amount'), ('timestamp')) x(s), (VALUES ('mean'), ('sum'), ('variance'), ('skew'), ('kurtosis')) y(m)),
-c AS (SELECT concat('gfp_', name, '_', b) AS "column", concat(text, ': ', b, CASE WHEN b = top THEN ' or more' ELSE '' END) AS label FROM bins
-  UNION ALL SELECT concat('gfp_', e, '_', w, '_counterparties'), concat(e, ': distinct ', w, ' counterparties') FROM frames
-  UNION ALL SELECT concat('gfp_', e, '_', w, '_count'), concat(e, ': ', w, ' transfers') FROM frames
-  UNION ALL SELECT concat('gfp_', e, '_', w, '_ratio'), concat(e, ': ', w, ' fan/degree ratio') FROM frames
-  UNION ALL SELECT concat('gfp_', e, '_', w, '_', s, '_', m), concat(e, ': ', m, ' of ', w, ' ', s) FROM frames, moments)
-SELECT "column", label, 'gfp' AS family FROM c"""
-
-
-@query("c22_feature_labels", _labels_sql())
-def _(spark: SparkSession, sf_dir: str):
-    return spark.createDataFrame(C.pattern_columns(("amount", "timestamp")), "column string, label string").withColumn("family", C.family("column"))
+moments AS (SELECT s, m FROM (VALUES {of}) x(s), (VALUES ('mean'), ('sum'), ('variance'), ('skew'), ('kurtosis')) y(m)),
+c AS (SELECT concat('pat_', name, '_', b) AS "column", concat(text, ': ', b, CASE WHEN b = top THEN ' or more' ELSE '' END) AS label FROM bins
+  UNION ALL SELECT concat('pat_', e, '_', w, '_counterparties'), concat(e, ': distinct ', w, ' counterparties') FROM frames
+  UNION ALL SELECT concat('pat_', e, '_', w, '_count'), concat(e, ': ', w, ' transfers') FROM frames
+  UNION ALL SELECT concat('pat_', e, '_', w, '_ratio'), concat(e, ': ', w, ' fan/degree ratio') FROM frames
+  UNION ALL SELECT concat('pat_', e, '_', w, '_', s, '_', m), concat(e, ': ', m, ' of ', w, ' ', s) FROM frames, moments)
+SELECT "column", label FROM c"""
 
 
 # --- history -------------------------------------------------------------------------------------

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions import columns as C
 from tidewater.functions.columns import DAY_US, HOUR_US
-from tidewater.operators import graph, splits
+from tidewater.operators import graph, patterns, splits
 from tidewater.operators.trace import TraceLimits, trace
-from tidewater.plans.data import query, split_bounds
+from tidewater.plans.data import ORACLES, _labels_sql, query, split_bounds
 from tidewater.sources import views
 from tidewater.sources.views import EVENTS_CTE as EV
 from tidewater.sources.views import LINEITEM_CTE as LI
@@ -37,7 +38,7 @@ def _(spark: SparkSession, sf_dir: str):
     return graph.fan_degree(views.tx_lineitem(spark, sf_dir))
 
 
-@query("h3_fan_histogram", f"""WITH f AS ({_fan_sql(EV)}) SELECT row_pos, """ + ", ".join(f"CASE WHEN fan_in = {b} THEN 1 ELSE 0 END AS gfp_fan_in_{b}" for b in range(2, 30)) + ", CASE WHEN fan_in >= 30 THEN 1 ELSE 0 END AS gfp_fan_in_30 FROM f")
+@query("h3_fan_histogram", f"""WITH f AS ({_fan_sql(EV)}) SELECT row_pos, """ + ", ".join(f"CASE WHEN fan_in = {b} THEN 1 ELSE 0 END AS pat_fan_in_{b}" for b in range(2, 30)) + ", CASE WHEN fan_in >= 30 THEN 1 ELSE 0 END AS pat_fan_in_30 FROM f")
 def _(tx):
     return graph.histogram(graph.fan_degree(tx), "fan_in")
 
@@ -63,8 +64,8 @@ def _stats_sql() -> str:
 
 
 def _bins_sql(inner: str, size: str, top: int) -> str:
-    bins = [f"CASE WHEN {size} = {b} THEN 1 ELSE 0 END AS gfp_{size}_{b}" for b in range(2, top)]
-    return f"WITH f AS ({inner}) SELECT row_pos, {', '.join(bins)}, CASE WHEN {size} >= {top} THEN 1 ELSE 0 END AS gfp_{size}_{top} FROM f"
+    bins = [f"CASE WHEN {size} = {b} THEN 1 ELSE 0 END AS pat_{size}_{b}" for b in range(2, top)]
+    return f"WITH f AS ({inner}) SELECT row_pos, {', '.join(bins)}, CASE WHEN {size} >= {top} THEN 1 ELSE 0 END AS pat_{size}_{top} FROM f"
 
 
 def _add_histogram(size: str) -> None:
@@ -142,6 +143,33 @@ def _(tx):
     return graph.scatter_gather(tx)
 
 
+def _block_sql() -> str:
+    """Every column's label, and how often and how much the transfers have of it; statistics are counted only."""
+    sized = " UNION ALL ".join(f"SELECT '{c}' AS family, row_pos, {c} AS size, 1 AS n FROM f" for c in ("fan_in", "fan_out", "degree_in", "degree_out"))
+    ends = [(p, w, f"{e}_{r}") for e, p in (("src", "sender"), ("dst", "receiver")) for r, w in (("out", "outgoing"), ("in", "incoming"))]
+    stats = [(f"pat_{p}_{w}_{n}", f"{c}_{m}") for p, w, c in ends for n, m in (("counterparties", "cp"), ("count", "n"), ("ratio", "ratio"))]
+    stats += [(f"pat_{p}_{w}_amount_{m}", f"{c}_{m}") for p, w, c in ends for m in ("mean", "sum", "variance", "skew", "kurtosis")]
+    counted = ", ".join(f"count({c}) AS \"{n}\"" for n, c in stats)
+    return f"""WITH labels AS ({_labels_sql()}), f AS ({_fan_sql(EV)}), sg AS ({ORACLES['h4_scatter_gather']}), tc AS ({_cycles_sql("h.t_us < p.last_t", "AND p.length < 4")}),
+lc AS ({_cycles_sql("(h.t_us < p.t0 OR (h.t_us = p.t0 AND h.row_pos < p.row_pos))", "AND p.length < 3")}),
+sizes AS ({sized} UNION ALL SELECT 'scatter_gather', row_pos, size, n FROM sg UNION ALL SELECT 'temporal_cycle', row_pos, length, n FROM tc UNION ALL SELECT 'lc_cycle', row_pos, length, n FROM lc),
+binned AS (SELECT concat('pat_', family, '_', least(size, CASE family WHEN 'lc_cycle' THEN 10 ELSE 30 END)) AS "column", count(DISTINCT row_pos) AS rows, CAST(sum(n) AS BIGINT) AS total FROM sizes WHERE size >= 2 GROUP BY 1),
+s AS (SELECT {counted} FROM ({_stats_sql()})), stats AS (UNPIVOT s ON * INTO NAME "column" VALUE rows)
+SELECT "column", label, coalesce(b.rows, t.rows, 0) AS rows, coalesce(b.total, 0) AS total FROM labels LEFT JOIN binned b USING ("column") LEFT JOIN stats t USING ("column")"""
+
+
+@query("d4_pattern_block", _block_sql())
+def _(tx):
+    # cycles are bounded, as every longer one is counted by h5 and h6
+    params = patterns.PatternParams(window=DAY_US, statistics=DAY_US, scatter_gather=_W6, longest=3, longest_temporal=4)
+    block = patterns.pattern_block(tx, params)
+    labels = C.pattern_columns()
+    binned = [c for c, _ in labels[:183]]
+    each = [F.struct(F.lit(c).alias("column"), F.lit(label).alias("label"), F.count_if(F.col(c) > 0).alias("rows"), F.sum(c).cast("long").alias("total")) if c in binned
+            else F.struct(F.lit(c).alias("column"), F.lit(label).alias("label"), F.count(c).alias("rows"), F.lit(0).cast("long").alias("total")) for c, label in labels]
+    return block.agg(F.array(*each).alias("a")).select(F.explode("a").alias("a")).select("a.*")
+
+
 # --- traces ------------------------------------------------------------------------------------------
 
 CAP = 16
