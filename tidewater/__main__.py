@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.columns import DAY_US
-from tidewater.operators import cases, checks, contract, graph, history, metrics, model, splits
+from tidewater.operators import cases, checks, contract, gates, graph, history, metrics, model, splits
 from tidewater.plans.data import with_score
 from tidewater.plans.models import features
 from tidewater.session import local_session
@@ -81,16 +81,21 @@ def score(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 
 def validate(spark: SparkSession, a: argparse.Namespace) -> dict:
-    """Whether a score may be believed: null baselines, shuffled labels, and drift from the train to the test part."""
+    """Whether a score may be believed: every gate of a fit, with the null baselines, drift and a readable report."""
     split, columns = prepared(spark, a)
-    scored = with_score(read(spark, a))
+    tx = read(spark, a)
+    fit = lambda train, val, seed: model.fit(train, val, columns, threshold=a.threshold, iterations=a.iterations, depth=a.depth, seed=seed)
     tables = {
-        "null_baselines": checks.null_baselines(scored), "shuffled_labels": checks.shuffled_labels(scored),
+        "gates": gates.evaluate_gates(tx, split, columns, fit, tuple(range(a.seed, a.seed + a.seeds))), "null_baselines": checks.null_baselines(with_score(tx)),
         "drift": checks.drift_table(split.filter("split = 'train'"), split.filter("split = 'test'"), columns),
     }
     for name, frame in tables.items():
         writers.write_table(frame, f"{a.out}/{name}")
-    return {"tables": sorted(tables)}
+    done = spark.read.parquet(f"{a.out}/gates")
+    text = spark.createDataFrame([(gates.markdown(done),)], "value string")
+    text.coalesce(1).write.mode("overwrite").text(f"{a.out}/report")
+    counts = {r.status: r["count"] for r in done.groupBy("status").count().collect()}
+    return {"tables": sorted(tables), "voided": done.first().voided, "gates": counts}
 
 
 def read(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -134,7 +139,8 @@ def parser() -> argparse.ArgumentParser:
             ("--seed", {"type": int, "default": 7}))
     command("score", score, ("--package", {"required": True}), ("--cases", {"type": int, "default": 10}),
             ("--emit-from", {"type": int, "help": "microseconds since the epoch"}), ("--emit-until", {"type": int}))
-    command("validate", validate)
+    command("validate", validate, ("--threshold", {"type": float, "default": 0.5}), ("--iterations", {"type": int, "default": 20}), ("--depth", {"type": int, "default": 4}),
+            ("--seed", {"type": int, "default": 7}), ("--seeds", {"type": int, "default": 1}))
     return p
 
 

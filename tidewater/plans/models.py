@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import columns as C
-from tidewater.operators import cases, contract, history, model, ranking, splits, typology
+from tidewater.operators import cases, contract, gates, history, model, ranking, splits, typology
 from tidewater.operators.trace import TraceLimits, trace
 from tidewater.plans.data import SCORED, query, with_score
 from tidewater.session import cut
@@ -37,6 +37,15 @@ def _(tx):
     return model.score_table(test, package).select("transaction_id", "raw_score", "score", "rank", "alert", "top_features")
 
 
+@query("k15_model_gates")
+def _(tx):
+    f, columns = features(tx)
+    split = cut(splits.chronological_split(f), "features")
+    fit = lambda train, val, seed: model.fit(train, val, columns, threshold=0.05, iterations=2, depth=3, seed=seed)
+    report = gates.evaluate_gates(tx, split, columns, fit, seeds=(7, 8))
+    return report.select("gate", "kind", "description", "status", "voided")
+
+
 @query("j7_contributions")
 def _(tx):
     package, test = _fitted(tx)
@@ -97,9 +106,25 @@ def _(tx):
     return cases.rail_coverage(documents(tx))
 
 
-@query("j15_bundle_consistency", "SELECT '' AS case_id, '' AS fault WHERE FALSE")
+def _tampered() -> dict[str, dict]:
+    """What is changed in every document of a copy, by the fault it must be found by."""
+    return {
+        "transaction_ids": {"transaction_ids": F.concat("transaction_ids", F.array(F.lit("TX-none")))},
+        "accounts": {"accounts": F.array().cast("array<string>")},
+        "rails": {"coverage": F.struct(F.create_map(F.lit("unknown"), F.lit(999_999).cast("long")).alias("rails"))},
+        "case_id": {"case_id": F.lit("CASE-00000000")},
+    }
+
+
+@query("j15_bundle_consistency", f"""WITH {SCORED}, best AS (SELECT source_account FROM scored GROUP BY 1 ORDER BY max(score) DESC, source_account LIMIT 10),
+copies(copy, fault) AS (VALUES ('whole', NULL), ('transaction_ids', 'case_id'), ('transaction_ids', 'transaction_ids'), ('accounts', 'accounts'), ('rails', 'rails'), ('case_id', 'case_id'))
+SELECT copy, fault, count(*) AS documents FROM copies, best WHERE fault IS NOT NULL GROUP BY copy, fault""")
 def _(tx):
-    return cases.inconsistencies(documents(tx))
+    whole = cut(documents(tx), "case-documents")
+    out = cases.inconsistencies(whole).withColumn("copy", F.lit("whole"))
+    for name, change in _tampered().items():
+        out = out.unionByName(cases.inconsistencies(whole.withColumns(change)).withColumn("copy", F.lit(name)))
+    return out.groupBy("copy", "fault").agg(F.count("*").alias("documents"))
 
 
 @query("l5_tumbling", f"WITH {EV} SELECT t_us - t_us % 3600000000 AS start_us, payment_type, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM tx GROUP BY ALL")
