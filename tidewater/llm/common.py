@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewater.session import cut, discard, shared_dir
 
-__all__ = ["crc_fold", "cut", "discard", "let", "shared_dir", "sliced", "table", "tidy"]
+__all__ = ["crc_fold", "cut", "discard", "forget", "let", "shared_dir", "sliced", "table", "tidy"]
 
 #: Word separators of the length rules and the shingle join: space and the ASCII controls 9 to 13.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -55,6 +55,12 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256, column: str | Non
             at += n
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets the driver drop the shuffle files of finished queries now, before a query that needs the disk."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same batch function; at a task's end the Python worker, which Spark keeps, gives freed memory back."""
 

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import cut, discard, tidy
+from tidewater.llm.common import cut, discard, forget, tidy
 from tidewater.llm.components import connected
 
 _U = np.uint64
@@ -319,12 +319,14 @@ def _may_link(spec: JoinSpec) -> Column:
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, spec: JoinSpec, label: str) -> DataFrame:
     """The pairs `(a, b)` of classes whose sets reach the threshold; sets are made anew for these classes only."""
     pairs = cut(pairs.select("a", "b").distinct(), label)
+    forget(pairs.sparkSession)  # the buckets' shuffles, before the texts are joined
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     chosen = classes.join(needed, "class").select("class", "sample.*")
     text = docs.join(
         chosen, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__print") == F.col("print"))
     ).select("class", "__text").dropDuplicates(["class"])
     sets = cut(_tokens(text, spec), label)
+    forget(pairs.sparkSession)  # the texts' shuffles, before the sets are joined
     left = sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))
