@@ -1,4 +1,4 @@
-"""Command line: python -m tidewater ingest | baseline | graph | train | score | validate, each over canonical transfers.
+"""Command line: python -m tidewater ingest | baseline | graph | train | score | validate | ablation | transfer, each over canonical transfers.
 
 `ingest` makes canonical transfers of a raw file; the other commands read its `transactions` folder. Every command
 writes Parquet tables (score: CSV and JSON lines as well) below --out and prints one line of JSON.
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.columns import DAY_US
-from tidewater.operators import cases, checks, contract, gates, graph, history, metrics, model, splits
+from tidewater.operators import ablation, cases, checks, contract, gates, graph, history, metrics, model, splits
 from tidewater.plans.data import with_score
 from tidewater.plans.models import features
 from tidewater.session import local_session
@@ -98,12 +98,38 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> dict:
     return {"tables": sorted(tables), "voided": done.first().voided, "gates": counts}
 
 
+def ablate(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """Every arm over every seed on one split, with the verdict of each comparison against the seeds' deviation."""
+    data, available = ablation.table(read(spark, a), int(a.window_days * DAY_US))
+    arms = [x for x in ablation.ARMS if not a.arms or x.name in a.arms]
+    runs = ablation.run(data, available, arms, a.seeds, ablation.trees(a.iterations, a.depth), at_once=a.at_once)
+    writers.write_table(runs, f"{a.out}/runs")
+    writers.write_table(ablation.by_arm(spark.read.parquet(f"{a.out}/runs")), f"{a.out}/arms")
+    done = spark.read.parquet(f"{a.out}/arms")
+    writers.write_table(ablation.compare(done), f"{a.out}/comparisons")
+    verdicts = {f"{r.better} - {r.worse}": r.verdict for r in spark.read.parquet(f"{a.out}/comparisons").collect()}  # a row a pair of arms
+    return {"arms": [x.name for x in arms], "seeds": list(a.seeds), "verdicts": verdicts}
+
+
+def transfer(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """A package on transfers that it was not fitted on: metrics of a time slice, what came before it being history alone."""
+    tx, package = read(spark, a), model.Package.load(spark, a.package)
+    rows = history.emit(features(tx)[0], a.slice_start, a.slice_end)
+    kept = model.score(rows, package).select("row_pos", "transaction_id", "t_us", "is_laundering", "raw_score", "score", "rank", "alert")
+    writers.write_table(kept.join(tx.select("row_pos", "payment_type", "pattern_type"), "row_pos"), f"{a.out}/scores")
+    scored = spark.read.parquet(f"{a.out}/scores")
+    flagged = metrics.flag_top(scored, a.budget)
+    for name, frame in {"budget_points": metrics.budget_points(scored, BUDGETS), "diagnosis": checks.transfer_diagnosis(flagged)}.items():
+        writers.write_table(frame, f"{a.out}/{name}")
+    return facts(metrics.evaluate(scored)) | {"schema_hash": package.schema_hash, "budget": a.budget}
+
+
 def read(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     tx = readers.read_table(spark, a.transactions)
     if "row_pos" in tx.columns:
         return tx
     tx = readers.read_scoring_input(spark, a.transactions)
-    absent = {"is_laundering": "int", "payment_type": "string"}
+    absent = {"is_laundering": "int", "payment_type": "string", "pattern_type": "string"}
     return tx.withColumns({c: F.lit(None).cast(kind) for c, kind in absent.items() if c not in tx.columns})
 
 
@@ -141,6 +167,11 @@ def parser() -> argparse.ArgumentParser:
             ("--emit-from", {"type": int, "help": "microseconds since the epoch"}), ("--emit-until", {"type": int}))
     command("validate", validate, ("--threshold", {"type": float, "default": 0.5}), ("--iterations", {"type": int, "default": 20}), ("--depth", {"type": int, "default": 4}),
             ("--seed", {"type": int, "default": 7}), ("--seeds", {"type": int, "default": 1}))
+    command("ablation", ablate, ("--seeds", {"type": int, "nargs": "*", "default": list(ablation.SEEDS)}), ("--arms", {"nargs": "*", "choices": [x.name for x in ablation.ARMS]}),
+            ("--iterations", {"type": int, "default": 20}), ("--depth", {"type": int, "default": 4}), ("--window-days", {"type": float, "default": 1.0}),
+            ("--at-once", {"type": int, "default": 4}))
+    command("transfer", transfer, ("--package", {"required": True}), ("--budget", {"type": float, "default": 0.01}),
+            ("--slice-start", {"type": int, "help": "microseconds since the epoch"}), ("--slice-end", {"type": int}))
     return p
 
 

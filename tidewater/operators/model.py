@@ -64,15 +64,15 @@ def assemble(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=[f"__f_{c}" for c in columns], outputCol="__features").transform(filled).drop(*[f"__f_{c}" for c in columns])
 
 
-def fit(train: DataFrame, val: DataFrame, columns: list[str], threshold: float = 0.5, iterations: int = 20, depth: int = 4, seed: int = 7) -> Package:
-    """Boosted trees with the rarer class weighted up, stopped on the validation rows, calibrated on them."""
+def fit(train: DataFrame, val: DataFrame, columns: list[str], threshold: float = 0.5, iterations: int = 20, depth: int = 4, seed: int = 7, subsample: float = 1.0) -> Package:
+    """Boosted trees with the rarer class weighted up, stopped on the validation rows, calibrated on them; each tree sees `subsample` of the rows."""
     assert_label_blind(train.select(*columns))
     y = F.col("is_laundering").cast("double")
     counts = train.agg(F.sum(y).alias("p"), F.count("*").alias("n")).first()
     up = (counts["n"] - counts["p"]) / counts["p"] if counts["p"] else 1.0
     both = train.withColumn("__val", F.lit(False)).unionByName(val.withColumn("__val", F.lit(True)), allowMissingColumns=True)
     ready = assemble(both, columns).withColumns({"label": y, "weight": F.when(y == 1, up).otherwise(1.0)})
-    model = GBTClassifier(featuresCol="__features", labelCol="label", weightCol="weight", validationIndicatorCol="__val", maxIter=iterations, maxDepth=depth, seed=seed).fit(ready)
+    model = GBTClassifier(featuresCol="__features", labelCol="label", weightCol="weight", validationIndicatorCol="__val", maxIter=iterations, maxDepth=depth, seed=seed, subsamplingRate=subsample).fit(ready)
     raw = _raw(model, assemble(val, columns)).withColumn("label", y)
     iso = IsotonicRegression(featuresCol="raw_score", labelCol="label").fit(raw.select("raw_score", "label"))
     xs, ys = [float(x) for x in iso.boundaries], [min(1.0, max(0.0, float(v))) for v in iso.predictions]
@@ -83,10 +83,14 @@ def _raw(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("raw_score", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction", "__features")
 
 
+def margin(df: DataFrame, package: Package) -> DataFrame:
+    """Adds raw_score alone, which orders rows as the calibrated score does but for its ties."""
+    return _raw(package.model, assemble(df, package.columns))
+
+
 def score(df: DataFrame, package: Package) -> DataFrame:
     """Adds raw_score, score, rank and alert."""
-    raw = _raw(package.model, assemble(df, package.columns))
-    scored = raw.withColumn("score", piecewise(F.col("raw_score"), package.xs, package.ys))
+    scored = margin(df, package).withColumn("score", piecewise(F.col("raw_score"), package.xs, package.ys))
     return rank(scored, "score", "raw_score").withColumn("alert", F.col("score") >= package.threshold)
 
 
