@@ -99,3 +99,21 @@ def test_the_table_fits_encodings_on_train_alone(spark):
     early = lambda df, prefix: df.filter("split = 'train'").select("row_pos", *[c for c in available if c.startswith(prefix)])
     assert early(data, "adp_").exceptAll(early(again, "adp_")).count() == 0
     assert early(data, "all_adp_").exceptAll(early(again, "all_adp_")).count() > 0  # the control arm does leak
+
+
+def test_commands(spark, tmp_path):
+    from tidewater.__main__ import main
+
+    labelled = F.expr("if(row_pos % 25 < 2, 1, 0)")
+    views.tx_events(spark, "/root/testdata/sf0.001").withColumn("is_laundering", labelled).write.parquet(f"file://{tmp_path}/tx")
+    given = ["--transactions", f"file://{tmp_path}/tx", "--out"]
+    quick = ["--iterations", "1", "--depth", "2"]
+    got = main(["ablation", *given, f"file://{tmp_path}/ablation", "--seeds", "1", "2", "--arms", "A1", "A2", *quick], spark)
+    assert got["verdicts"].keys() == {"A1 - A2"} and spark.read.parquet(f"file://{tmp_path}/ablation/runs").count() == 4
+
+    main(["train", *given, f"file://{tmp_path}/fit", *quick], spark)
+    middle = spark.read.parquet(f"file://{tmp_path}/tx").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY t_us)")).first()[0]
+    got = main(["transfer", *given, f"file://{tmp_path}/transfer", "--package", f"file://{tmp_path}/fit/package", "--slice-start", str(int(middle)), "--budget", "0.1"], spark)
+    scores = spark.read.parquet(f"file://{tmp_path}/transfer/scores")
+    assert got["n"] == scores.count() and scores.agg(F.min("t_us")).first()[0] == middle
+    assert spark.read.parquet(f"file://{tmp_path}/transfer/diagnosis").agg(F.sum("positives")).first()[0] == got["positives"]
