@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.operators import history, metrics, ranking
-from tidewater.plans import ablation, checks, data, evaluation, graph, models, resume  # noqa: F401  (each module registers its queries)
+from tidewater.plans import ablation, checks, data, evaluation, graph, models, resume, streams  # noqa: F401  (each module registers its queries)
 from tidewater.sources import views
 
 QUERIES = data.QUERIES

@@ -49,6 +49,12 @@ def _(spark: SparkSession, sf_dir: str):
 _SPANS = "p AS (SELECT scenario_id AS k, min(t_us) AS lo, max(t_us) AS hi, count(*) AS n FROM tx WHERE scenario_id IS NOT NULL GROUP BY 1)"
 
 
+@query("i3_spanning_patterns", f"""WITH {split_bounds(EV)}, {_SPANS} SELECT count(*) FILTER (lo <= b1 AND hi > b1 OR lo <= b2 AND hi > b2) AS spanning, count(*) AS patterns FROM p, b""")
+def _(tx):
+    spanning, patterns = splits.spanning_patterns(tx, splits.SplitSpec()), splits.pattern_spans(tx).count()
+    return tx.sparkSession.createDataFrame([(spanning, patterns)], "spanning long, patterns long")
+
+
 @query("i4_split_purge", f"""WITH {split_bounds(EV)}, {_SPANS}, w AS (SELECT max(hi - lo) AS buf FROM p) SELECT transaction_id, {_NAME.format(t='t_us')} AS split
   FROM tx, b, w WHERE NOT (t_us > b1 - buf AND t_us <= b1 + buf) AND NOT (t_us > b2 - buf AND t_us <= b2 + buf)""")
 def _(tx):

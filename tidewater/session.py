@@ -51,9 +51,13 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
-    Without that setting (tests on one machine) the warehouse folder is used.
+    Without that setting a local session uses the warehouse folder; a cluster must name a shared one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

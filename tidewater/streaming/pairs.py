@@ -67,7 +67,7 @@ def pair_history(stream: DataFrame, past: DataFrame | None = None, late_us: int
 
     `past` is a table of `past_counts` over transfers before the stream's first; it is read when the query starts for the
     first time and ignored when it resumes from a checkpoint. An event later than others by up to `late_us` is counted
-    from its own time.
+    from its own time. A pair's transfers of one micro-batch are in memory together: the trigger's size bounds them.
     """
     initial = None if past is None else past.select("a", "b", "n_low", "n_all").groupBy("a", "b")
     return _keyed(stream).groupBy("a", "b").transformWithStateInPandas(_Pairs(late_us), OUTPUT, "append", "None", initial)
