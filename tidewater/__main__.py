@@ -126,9 +126,8 @@ def transfer(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 def read(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     tx = readers.read_table(spark, a.transactions)
-    if "row_pos" in tx.columns:
-        return tx
-    tx = readers.read_scoring_input(spark, a.transactions)
+    if "row_pos" not in tx.columns:
+        tx = readers.read_scoring_input(spark, a.transactions)
     absent = {"is_laundering": "int", "payment_type": "string", "pattern_type": "string"}
     return tx.withColumns({c: F.lit(None).cast(kind) for c, kind in absent.items() if c not in tx.columns})
 
