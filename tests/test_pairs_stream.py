@@ -55,3 +55,21 @@ def test_late_events_count_from_their_own_time(spark, tx, tmp_path):
     got = {r[0]: r[1:] for r in streamed(spark, tmp_path, [rest, late], late_us=3_600_000_000)}
     want = {r.row_pos: (r.bh_pair_n_prior, r.bh_reverse_pair_n_prior) for r in history.behaviour(tx).select(*COLUMNS).collect()}
     assert {k: got[k] for k in (20, 21)} == {k: want[k] for k in (20, 21)} and len(got) == 40
+
+
+def test_many_pairs_are_few_states(spark, tmp_path):
+    """A state a pair costs a call of the Python worker a pair; held pairs, new ones and those of the past share a group."""
+    rng = random.Random(9)
+    rows = [(i, 1_700_000_000_000_000 + 60_000_000 * (i // 3), f"N{rng.randrange(40)}", f"N{rng.randrange(40)}", 100) for i in range(600)]
+    tx = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(tuple(r) for r in history.behaviour(tx).select(*COLUMNS).collect() if r.row_pos >= 300)
+    past = pairs.past_counts(tx.filter("row_pos < 300"))
+    held = []
+    for part in ("row_pos BETWEEN 300 AND 450", "row_pos > 450"):  # 300 opens an instant, 451 goes on with one
+        tx.filter(part).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        rows = pairs.pair_history(spark.readStream.schema(SCHEMA).parquet(f"file://{tmp_path}/in"), past, groups=8)
+        q = rows.writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start(f"file://{tmp_path}/out")
+        q.awaitTermination()
+        held += [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["numInputRows"]]
+    assert max(held) <= 8
+    assert sorted(tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == want
