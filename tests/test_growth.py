@@ -1,0 +1,65 @@
+"""Work that must grow with the input: rows shuffled and tasks run, counted by Spark, and the same results as plain Python."""
+
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewater.operators import graph
+
+START = 1_700_000_000_000_000
+MIN = 60_000_000
+SCHEMA = "row_pos long, t_us long, source_account string, destination_account string, cents long"
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Runs a function and tells how many rows its jobs put into shuffles."""
+
+    def run(work):
+        group, key = f"growth-{random.random()}", "spark.sql.autoBroadcastJoinThreshold"
+        threshold = spark.conf.get(key)
+        spark.conf.set(key, "-1")  # else small tables meet without a shuffle
+        spark.sparkContext.setJobGroup(group, "growth")
+        try:
+            found = work()
+        finally:
+            spark.conf.set(key, threshold)
+        tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+        stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found, sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+    return run
+
+
+def plain_scatter_gather(rows, width):
+    """Every closing edge against every earlier edge, as the definition has it."""
+    e = [r for r in rows if r[2] != r[3]]
+    found = Counter()
+    for pos, t, mid, w, _ in e:
+        past = [x for x in e if (x[1], x[0]) < (t, pos) and x[1] >= t - width]
+        for u in {x[2] for x in past if x[3] == mid and x[2] != w}:
+            others = {g[2] for g in past if g[3] == w and g[2] not in (u, mid) and any(s[2] == u and s[3] == g[2] and t - width <= s[1] <= g[1] for s in e)}
+            if others:
+                found[pos, len(others) + 1] += 1
+    return sorted((*k, n) for k, n in found.items())
+
+
+def test_scatter_gather_is_its_definition(spark):
+    """Instants of three transfers, windows that paths leave, and sizes up to five."""
+    rng = random.Random(4)
+    rows = [(i, START + (i // 3) * 7 * MIN, f"N{rng.randrange(7)}", f"N{rng.randrange(7)}", 100) for i in range(150)]
+    want = plain_scatter_gather(rows, 60 * MIN)
+    assert len({size for _, size, _ in want}) > 2
+    assert sorted(tuple(r) for r in graph.scatter_gather(spark.createDataFrame(rows, SCHEMA).repartition(5), 60 * MIN).collect()) == want
+
+
+def test_scatter_gather_of_a_hub_is_not_quadratic(spark, shuffled):
+    """400 pay the hub, 400 others pay the shop, and the hub pays the shop: 400 roots, none of which meets the 400 gathers."""
+    pairs = [(f"U{i}", "hub") for i in range(400)] + [(f"V{i}", "shop") for i in range(400)] + [("hub", "shop"), ("U1", "V1"), ("V1", "shop"), ("hub", "shop")]
+    tx = spark.createDataFrame([(i, START + i, s, d, 100) for i, (s, d) in enumerate(pairs)], SCHEMA)
+    found, rows = shuffled(lambda: sorted(tuple(r) for r in graph.scatter_gather(tx).collect()))
+    assert found == [(802, 2, 1), (803, 2, 1)]
+    assert rows < 20 * len(pairs)

@@ -174,26 +174,21 @@ def cycles(df: DataFrame, width_us: int = DAY_US, longest: int | None = 4, order
 def scatter_gather(df: DataFrame, width_us: int = 6 * HOUR_US) -> DataFrame:
     """(row_pos, size, n): for the gather edge m -> w, the pairs (u, w) by number of intermediaries, 2 or more.
 
-    An intermediary has u -> m' in the window, then m' -> w at the same time or later, up to this edge.
+    An intermediary has u -> m' in the window, then m' -> w at the same time or later, up to this edge. Paths u -> m -> w are
+    found once, written, and joined with each other on both of their ends, so that gathers of other senders never meet.
     """
     e = edges(df)
-    s = _bucketed(e, width_us).select(F.col("src").alias("u"), F.col("dst").alias("m"), F.col("t_us").alias("s_t"), F.col("row_pos").alias("s_pos"), F.col("bucket").alias("s_bucket"))
-    before = lambda t, pos: (F.col(t) < F.col("t_us")) | ((F.col(t) == F.col("t_us")) & (F.col(pos) < F.col("row_pos")))
-    closing = _probe(e.select("row_pos", "t_us", F.col("src").alias("mid"), F.col("dst").alias("w")), width_us)
-    roots = closing.join(
-        s, (F.col("mid") == F.col("m")) & (F.col("bucket") == F.col("s_bucket")) & before("s_t", "s_pos") & (F.col("s_t") >= F.col("t_us") - width_us) & (F.col("u") != F.col("w"))
-    ).select("row_pos", "t_us", "mid", "w", "u").distinct()
-    # other gathers into w, each with the scatters into its intermediary
-    g = _bucketed(e, width_us).select(F.col("src").alias("m2"), F.col("dst").alias("g_w"), F.col("t_us").alias("g_t"), F.col("row_pos").alias("g_pos"), F.col("bucket").alias("g_bucket"))
-    gathers = _probe(roots, width_us).join(
-        g, (F.col("w") == F.col("g_w")) & (F.col("bucket") == F.col("g_bucket")) & before("g_t", "g_pos") & (F.col("g_t") >= F.col("t_us") - width_us)
-        & (F.col("m2") != F.col("u")) & (F.col("m2") != F.col("mid"))
-    ).drop("bucket")
-    s2 = s.select(F.col("u").alias("u2"), F.col("m").alias("s_m"), F.col("s_t").alias("s2_t"), F.col("s_bucket").alias("s2_bucket"))
-    pairs = _probe(gathers, width_us).join(
-        s2, (F.col("u") == F.col("u2")) & (F.col("m2") == F.col("s_m")) & (F.col("bucket") == F.col("s2_bucket"))
-        & (F.col("s2_t") <= F.col("g_t")) & (F.col("s2_t") >= F.col("t_us") - width_us)
-    )
+    s = _bucketed(e, width_us).select(F.col("src").alias("u"), F.col("dst").alias("m"), F.col("t_us").alias("s_t"), F.col("row_pos").alias("s_pos"), "bucket")
+    g = _probe(e.select("row_pos", "t_us", F.col("src").alias("m"), F.col("dst").alias("w")), width_us)
+    scattered = (F.col("s_t") <= F.col("t_us")) & (F.col("s_t") >= F.col("t_us") - width_us) & (F.col("u") != F.col("w"))
+    ahead = (F.col("s_t") < F.col("t_us")) | (F.col("s_pos") < F.col("row_pos"))
+    # a gather with a scatter before it, and the latest such scatter: an earlier one is in no window that this one has left
+    paths = g.join(s, ["m", "bucket"]).filter(scattered).groupBy("row_pos", "t_us", "m", "w", "u").agg(F.max("s_t").alias("s_t"), F.bool_or(ahead).alias("closes"))
+    paths = cut(paths, "scatter-gather-paths")
+    closing = _probe(paths.filter("closes").select("row_pos", "t_us", "m", "w", "u"), width_us)
+    other = _bucketed(paths, width_us).select("u", "w", "bucket", F.col("m").alias("m2"), F.col("t_us").alias("g_t"), F.col("row_pos").alias("g_pos"), F.col("s_t").alias("s2_t"))
+    before = (F.col("g_t") < F.col("t_us")) | ((F.col("g_t") == F.col("t_us")) & (F.col("g_pos") < F.col("row_pos")))
+    pairs = closing.join(other, ["u", "w", "bucket"]).filter(before & (F.col("s2_t") >= F.col("t_us") - width_us) & (F.col("m2") != F.col("m")))
     sizes = pairs.groupBy("row_pos", "u").agg((F.count_distinct("m2") + 1).alias("size"))
     return sizes.groupBy("row_pos", "size").agg(F.count("*").alias("n"))
 
