@@ -63,3 +63,17 @@ def test_scatter_gather_of_a_hub_is_not_quadratic(spark, shuffled):
     found, rows = shuffled(lambda: sorted(tuple(r) for r in graph.scatter_gather(tx).collect()))
     assert found == [(802, 2, 1), (803, 2, 1)]
     assert rows < 20 * len(pairs)
+
+
+def test_cycles_read_the_transfers_once(spark):
+    """Once for the edges and once for the accounts that receive, however long the cycles are."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(t):
+        read.add(1)
+        return t
+
+    rows = [(i, START + (12 - i) * MIN, f"N{i}", f"N{(i + 1) % 12}", 100) for i in range(12)]  # one ring, closed by its last edge
+    tx = spark.createDataFrame(rows, SCHEMA).withColumn("t_us", F.udf(counted, "long")("t_us"))
+    assert [tuple(r) for r in graph.cycles(tx, longest=None, ordered=False).collect()] == [(0, 12, 1)]
+    assert read.value <= 2 * len(rows)

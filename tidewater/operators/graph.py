@@ -140,10 +140,11 @@ def cycles(df: DataFrame, width_us: int = DAY_US, longest: int | None = 4, order
     `ordered`: times rise strictly along the cycle and the closing edge is last; otherwise any earlier edges
     (in replay order) count. Paths grow backwards from the closing edge's sender and die at the window's edge.
     `longest` None goes on until no path is left. Each length's paths are written to the shared folder, so that
-    the next starts from files. Edges out of accounts that receive nothing are left out first, as no cycle has one.
+    the next starts from files. Edges out of accounts that receive nothing are left out first, as no cycle has one; the
+    rest is written too, so that no length reads the transfers again.
     """
-    e = edges(df)
-    e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    e = edges(df).drop("cents")
+    e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "cycle-edges")
     hop = _bucketed(e, width_us).select(
         F.col("src").alias("h_src"), F.col("dst").alias("h_dst"), F.col("t_us").alias("h_t"), F.col("row_pos").alias("h_pos"), F.col("bucket").alias("h_bucket")
     )
