@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import graph
+from tidewater.operators import graph, patterns
 
 START = 1_700_000_000_000_000
 MIN = 60_000_000
@@ -77,3 +77,17 @@ def test_cycles_read_the_transfers_once(spark):
     tx = spark.createDataFrame(rows, SCHEMA).withColumn("t_us", F.udf(counted, "long")("t_us"))
     assert [tuple(r) for r in graph.cycles(tx, longest=None, ordered=False).collect()] == [(0, 12, 1)]
     assert read.value <= 2 * len(rows)
+
+
+def test_pattern_block_reads_the_transfers_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(t):
+        read.add(1)
+        return t
+
+    rows = [(i, START + i * MIN, f"N{i % 5}", f"N{(i + 1) % 5}", 100) for i in range(20)]
+    tx = spark.createDataFrame(rows, SCHEMA).withColumn("t_us", F.udf(counted, "long")("t_us"))
+    small = patterns.PatternParams(window=60 * MIN, longest=2, longest_temporal=2)
+    assert patterns.pattern_block(tx, small).count() == len(rows)
+    assert read.value == len(rows)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.columns import DAY_US, HOUR_US, pattern_columns
 from tidewater.operators import graph
+from tidewater.session import cut
 
 
 @dataclass(frozen=True)
@@ -49,9 +50,13 @@ _WAYS = {"out": "outgoing", "in": "incoming"}
 
 
 def _counts(found: DataFrame, size: str, family: str, top: int) -> DataFrame:
-    """(row_pos, one column a bin): how many patterns of each size a transfer closes; the last bin is open."""
+    """(row_pos, a struct with a column a bin): how many patterns of each size a transfer closes; the last bin is open.
+
+    One struct, as most transfers close none: its absence is a word of a joined row, not a word a bin.
+    """
     at = lambda b: F.col(size) >= b if b == top else F.col(size) == b
-    return found.groupBy("row_pos").agg(*[F.coalesce(F.sum(F.when(at(b), F.col("n"))), F.lit(0)).alias(f"pat_{family}_{b}") for b in range(2, top + 1)])
+    bins = [F.coalesce(F.sum(F.when(at(b), F.col("n"))), F.lit(0)).alias(f"pat_{family}_{b}") for b in range(2, top + 1)]
+    return found.groupBy("row_pos").agg(F.struct(*bins).alias(family))
 
 
 def _statistics(df: DataFrame, p: PatternParams, column: str, first: bool) -> DataFrame:
@@ -74,21 +79,21 @@ def pattern_block(df: DataFrame, params: PatternParams) -> DataFrame:
     """(row_pos, columns of `pattern_columns`): 215 columns over amounts, 235 with timestamps too.
 
     Bins are one-hot for fan and degree sizes and counts for the searched patterns; self-transfers are outside the graph
-    and get no row.
+    and get no row. Sizes are joined, and become bins last. The transfers' columns are written once, as every part reads them.
     """
     p = params.clamped()
-    sizes = graph.fan_degree(df, p.fan)
+    df = cut(df.select("row_pos", "t_us", "cents", "source_account", "destination_account"), "pattern-transfers")
+    block = graph.fan_degree(df, p.fan)
     if p.degree != p.fan:
-        sizes = sizes.drop("degree_in", "degree_out").join(graph.fan_degree(df, p.degree).drop("fan_in", "fan_out"), "row_pos")
-    bins = []
-    for c in ("fan_in", "fan_out", "degree_in", "degree_out"):
-        bins += [F.when(F.col(c) >= b if b == 30 else F.col(c) == b, 1).otherwise(0).alias(f"pat_{c}_{b}") for b in range(2, 31)]
-    block = sizes.select("row_pos", *bins)
+        block = block.drop("degree_in", "degree_out").join(graph.fan_degree(df, p.degree).drop("fan_in", "fan_out"), "row_pos")
     block = block.join(_counts(graph.scatter_gather(df, p.scatter_gather), "size", "scatter_gather", 30), "row_pos", "left")
     block = block.join(_counts(graph.cycles(df, p.temporal_cycle, p.longest_temporal, ordered=True), "length", "temporal_cycle", 30), "row_pos", "left")
     block = block.join(_counts(graph.cycles(df, p.simple_cycle, p.longest, ordered=False), "length", "lc_cycle", 10), "row_pos", "left")
     for k, column in enumerate(p.stat_columns):
         block = block.join(_statistics(df, p, column, k == 0), "row_pos")
-    names = [c for c, _ in pattern_columns(p.stat_columns)]
-    counted = ("pat_scatter_gather_", "pat_temporal_cycle_", "pat_lc_cycle_")
-    return block.select("row_pos", *[F.coalesce(c, F.lit(0)).alias(c) if c.startswith(counted) else F.col(c) for c in names])
+    made = {}
+    for c in ("fan_in", "fan_out", "degree_in", "degree_out"):
+        made |= {f"pat_{c}_{b}": F.when(F.col(c) >= b if b == 30 else F.col(c) == b, 1).otherwise(0) for b in range(2, 31)}
+    for c, top in (("scatter_gather", 30), ("temporal_cycle", 30), ("lc_cycle", 10)):
+        made |= {f"pat_{c}_{b}": F.coalesce(F.col(c)[f"pat_{c}_{b}"], F.lit(0)) for b in range(2, top + 1)}
+    return block.select("row_pos", *[made[c].alias(c) if c in made else F.col(c) for c, _ in pattern_columns(p.stat_columns)])
