@@ -6,10 +6,14 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import graph, patterns
+from tidewater import session
+from tidewater.operators import graph, history, patterns
+from tidewater.plans import catalog
+from tidewater.sources import views
 
 START = 1_700_000_000_000_000
 MIN = 60_000_000
+SMALL = "/root/testdata/sf0.001"
 SCHEMA = "row_pos long, t_us long, source_account string, destination_account string, cents long"
 
 
@@ -91,3 +95,25 @@ def test_pattern_block_reads_the_transfers_once(spark):
     small = patterns.PatternParams(window=60 * MIN, longest=2, longest_temporal=2)
     assert patterns.pattern_block(tx, small).count() == len(rows)
     assert read.value == len(rows)
+
+
+def test_a_sort_of_known_size_has_more_partitions(spark, monkeypatch):
+    monkeypatch.setattr(session, "SORTED_ROWS", 50)
+    placed = session.global_position(spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")), [("x", True)], "at", rows=1000)
+    assert placed.filter("x <> at").count() == 0
+    assert len(placed.inputFiles()) > 10  # 4 partitions are the session's
+
+
+def test_duplicates_are_counted_without_a_sort(spark, monkeypatch):
+    monkeypatch.setattr(views, "global_position", None)
+    found = catalog.QUERIES["e4_duplicate_natural_key"](spark, SMALL).collect()
+    assert len(found) == 1 and found[0].duplicates >= 0
+
+
+@pytest.mark.parametrize("name,most", [("h2_fan_degree_ties", 6), ("f_behaviour_ties", 8)])
+def test_line_items_meet_their_orders_once(spark, shuffled, monkeypatch, name, most):
+    """Rows shuffled for a line item, with the hubs looked for in a table of their own, as in a large one."""
+    monkeypatch.setattr(history if name.startswith("f_") else graph, "hubs", lambda df, limit: df.groupBy("source_account").count().filter("count < 0").isEmpty() and None)
+    n = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    found, rows = shuffled(lambda: catalog.QUERIES[name](spark, SMALL).count())
+    assert found == n and rows < most * n

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions.columns import NATURAL_KEY, when_
+from tidewater.session import more_partitions
 
 FORBIDDEN = ("is_laundering", "scenario_id", "pattern_type")
 REQUIRED = {
@@ -66,8 +67,10 @@ def daily_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def duplicates(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """One row: rows beyond the first of each key."""
+def duplicates(df: DataFrame, key: tuple[str, ...], rows: int = 0) -> DataFrame:
+    """One row: rows beyond the first of each key. `rows`, where it is known, bounds what one task groups."""
+    if more := more_partitions(df.sparkSession, rows):
+        df = df.select(*key).repartition(*more, *key)
     counts = df.groupBy(*key).agg(F.count("*").alias("n"))
     return counts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates"))
 

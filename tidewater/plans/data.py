@@ -86,7 +86,8 @@ def _(tx):
 @query("e4_duplicate_natural_key", f"""WITH {LI} SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (
   SELECT count(*) AS n FROM tx GROUP BY t_us, source_account, destination_account, payment_type)""")
 def _(spark: SparkSession, sf_dir: str):
-    return contract.duplicates(views.tx_lineitem(spark, sf_dir), ("t_us", "source_account", "destination_account", "payment_type"))
+    key = ("t_us", "source_account", "destination_account", "payment_type")
+    return contract.duplicates(views.tx_lineitem(spark, sf_dir, numbered=False), key, views.table(spark, sf_dir, "lineitem").count())
 
 
 @query("e5_capabilities", f"""WITH {EV} SELECT 'labels' AS capability, max(is_laundering) = 1 AS present, 1.0::DOUBLE AS coverage FROM tx
@@ -130,7 +131,7 @@ def _(tx):
   UNION ALL SELECT concat('S', s_suppkey) FROM supplier WHERE s_suppkey % 10 > 0)""")
 def _(spark: SparkSession, sf_dir: str):
     known = views.accounts(spark, sf_dir).filter("account_id NOT LIKE '%0'")
-    return contract.orphan_accounts(views.tx_lineitem(spark, sf_dir), known)
+    return contract.orphan_accounts(views.tx_lineitem(spark, sf_dir, numbered=False), known)
 
 
 @query("a12_varying_columns", """SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice', 'l_discount',

@@ -22,6 +22,10 @@ SETTINGS = {
 }
 
 
+#: Rows that one task sorts, at most about, where the number of rows is known.
+SORTED_ROWS = 1_000_000
+
+
 def local_session(app: str = "tidewater", cores: str = "8", **more: str) -> SparkSession:
     """A local session for tests and the bench; on a cluster, spark-submit supplies the session."""
     settings = SETTINGS | {"spark.sql.shuffle.partitions": "8"} | more
@@ -83,17 +87,24 @@ def discard(df: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
-def global_position(df: DataFrame, order: list[tuple[str, bool]], name: str, keep: list[str] | None = None, dealt_by: int | None = None) -> DataFrame:
+def more_partitions(spark: SparkSession, rows: int) -> list[int]:
+    """The number of partitions that so many rows need, as a first argument of repartition; none where the session's suffices."""
+    parts = -(-rows // SORTED_ROWS)
+    return [parts] if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+
+
+def global_position(df: DataFrame, order: list[tuple[str, bool]], name: str, keep: list[str] | None = None, dealt_by: int | None = None, rows: int = 0) -> DataFrame:
     """Adds the 0-based position of each row under an order of (column, ascending), without a single-task window.
 
     Rows are dealt by ranges of the order, sorted and numbered inside their partition, and written; a
     partition's offset is the row count of those before it, a small table of one row a partition that is broadcast.
     Rows that tie on the whole order are numbered in any order. `keep` names the columns to write and return, all
     by default; the order may use more. `dealt_by` of the order's columns, all by default, bound the ranges: fewer make
-    the sample cheaper, where few rows share their values.
+    the sample cheaper, where few rows share their values. `rows`, where it is known, raises the session's number of
+    partitions to one a `SORTED_ROWS`, so that no task's sort grows with the table.
     """
     directions = [F.col(f"`{c}`").asc() if up else F.col(f"`{c}`").desc() for c, up in order]
-    spread = df.repartitionByRange(*directions[:dealt_by]).sortWithinPartitions(*directions)
+    spread = df.repartitionByRange(*more_partitions(df.sparkSession, rows), *directions[:dealt_by]).sortWithinPartitions(*directions)
     # monotonically_increasing_id numbers the rows of a partition from (partition << 33)
     kept = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]
     numbered = cut(spread.select(*kept, F.monotonically_increasing_id().alias("__at")), "positions")

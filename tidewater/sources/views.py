@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.session import global_position
+from tidewater.session import cut, global_position, more_partitions
 
 #: The typology names of annotated positives, and the currencies of the projected view.
 TYPOLOGIES = ("FAN_OUT", "FAN_IN", "CYCLE", "GATHER_SCATTER", "SCATTER_GATHER", "STACK", "RANDOM", "BIPARTITE")
@@ -71,20 +71,24 @@ EVENTS_CTE = f"""tx AS (
   FROM events)"""
 
 
-def tx_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tx_lineitem(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
     """One row a line item: day-resolution times with heavy ties, bipartite, no natural unique key.
 
     `row_pos` is a position under a total order of all line columns, made by a range sort and two passes of
-    counts rather than by one window over everything.
+    counts rather than by one window over everything. Not `numbered`, the view goes without it and `transaction_id`, and
+    nothing is sorted.
     """
     line = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     used = ["l_orderkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount"]
-    ranked = global_position(line, [(c, True) for c in sorted(line.columns)], "row_pos", used, dealt_by=3)
-    joined = ranked.join(orders, ranked["l_orderkey"] == orders["o_orderkey"])
+    rows = line.count()  # the files' own figures
+    if numbered:
+        line = global_position(line, [(c, True) for c in sorted(line.columns)], "row_pos", used, dealt_by=3, rows=rows)
+    if more := more_partitions(spark, rows):
+        line = line.repartition(*more, "l_orderkey")
+    joined = line.join(orders, line["l_orderkey"] == orders["o_orderkey"])
     return joined.select(
-        "row_pos",
-        F.format_string("TX%010d", "row_pos").alias("transaction_id"),
+        *(["row_pos", F.format_string("TX%010d", "row_pos").alias("transaction_id")] if numbered else []),
         F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("t_us"),
         F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("source_account"),
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("destination_account"),
@@ -105,6 +109,11 @@ LINEITEM_CTE = """tx AS (
   JOIN orders ON l_orderkey = o_orderkey)"""
 
 
+def written_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What histories and graphs read of `tx_lineitem`, written once: they read it several times, and each would join the orders again."""
+    return cut(tx_lineitem(spark, sf_dir).select("row_pos", "t_us", "cents", "source_account", "destination_account"), "line-transfers")
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The account dimension: customers and suppliers."""
     c = table(spark, sf_dir, "customer").select(
