@@ -272,7 +272,7 @@ def _(tx):
 
 @query("f_behaviour_ties", _behaviour_sql(LI))
 def _(spark: SparkSession, sf_dir: str):
-    return _rounded(history.behaviour(views.tx_lineitem(spark, sf_dir)))
+    return _rounded(history.behaviour(views.written_lineitem(spark, sf_dir)))
 
 
 @query("f11_graph_lite", f"""WITH {EV}, s AS (SELECT row_pos, {_within(S, S, '172800000000')} AS gl_src_out_n, {_within(D, S, '172800000000')} AS gl_src_in_n,
