@@ -35,7 +35,7 @@ def _(tx):
 
 @query("h2_fan_degree_ties", _fan_sql(LI))
 def _(spark: SparkSession, sf_dir: str):
-    return graph.fan_degree(views.tx_lineitem(spark, sf_dir))
+    return graph.fan_degree(views.written_lineitem(spark, sf_dir))
 
 
 @query("h3_fan_histogram", f"""WITH f AS ({_fan_sql(EV)}) SELECT row_pos, """ + ", ".join(f"CASE WHEN fan_in = {b} THEN 1 ELSE 0 END AS pat_fan_in_{b}" for b in range(2, 30)) + ", CASE WHEN fan_in >= 30 THEN 1 ELSE 0 END AS pat_fan_in_30 FROM f")
