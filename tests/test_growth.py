@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from tidewater import session
 from tidewater.operators import graph, history, patterns
-from tidewater.plans import catalog
+from tidewater.plans import catalog, models
 from tidewater.sources import views
 
 START = 1_700_000_000_000_000
 MIN = 60_000_000
-SMALL = "/root/testdata/sf0.001"
+SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 SCHEMA = "row_pos long, t_us long, source_account string, destination_account string, cents long"
 
 
@@ -117,3 +117,24 @@ def test_line_items_meet_their_orders_once(spark, shuffled, monkeypatch, name, m
     n = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
     found, rows = shuffled(lambda: catalog.QUERIES[name](spark, SMALL).count())
     assert found == n and rows < most * n
+
+
+def test_parts_come_from_the_transfers(spark, shuffled, monkeypatch):
+    """The histories are made once, not again for the split's bounds and for each pass of a fit."""
+    made = []
+    behaviour = history.behaviour
+    monkeypatch.setattr(history, "behaviour", lambda df: made.append(spark.sparkContext.accumulator(0)) or behaviour(counted(df, made[-1])))
+
+    def counted(df, read):
+        def seen(t):
+            read.add(1)
+            return t
+
+        return df.withColumn("t_us", F.udf(seen, "long")("t_us"))
+
+    tx = views.tx_events(spark, SMALL)
+    n, reads = tx.count(), 3  # hubs are ruled out by a count, both ends, pairs
+    split, columns = models._split_features(tx)
+    assert {"split", "t_us"} < set(split.columns) and len(columns) == 20 and split.count() == n and made[0].value <= reads * n
+    hints = catalog.QUERIES["j9_typology_hint"](spark, MIDDLE)
+    assert hints.count() > 0 and made[1].value <= reads * spark.read.parquet(f"{MIDDLE}/events.parquet").count()
