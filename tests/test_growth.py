@@ -1,13 +1,14 @@
 """Work that must grow with the input: rows shuffled and tasks run, counted by Spark, and the same results as plain Python."""
 
 import random
+import statistics
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater import session
-from tidewater.operators import graph, history, patterns
+from tidewater.operators import ablation, graph, history, model, patterns
 from tidewater.plans import catalog, models
 from tidewater.sources import views
 
@@ -138,3 +139,51 @@ def test_parts_come_from_the_transfers(spark, shuffled, monkeypatch):
     assert {"split", "t_us"} < set(split.columns) and len(columns) == 20 and split.count() == n and made[0].value <= reads * n
     hints = catalog.QUERIES["j9_typology_hint"](spark, MIDDLE)
     assert hints.count() > 0 and made[1].value <= reads * spark.read.parquet(f"{MIDDLE}/events.parquet").count()
+
+
+def _counting(spark, df, column, kind="double"):
+    """`df` with a column that counts how often it is read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    return df.withColumn(column, F.udf(seen, kind)(column)), read
+
+
+def test_ablation_table_reads_the_transfers_once(spark):
+    tx, read = _counting(spark, views.tx_events(spark, SMALL), "amount")
+    data, _ = ablation.table(tx)
+    assert data.count() == tx.count() == read.value
+
+
+def test_seeds_share_the_vectors_of_an_arm(spark):
+    rng = random.Random(3)
+    rows = [(i, int(rng.random() < 0.2), rng.choice(["train", "train", "val", "test"]), rng.random(), rng.random()) for i in range(400)]
+    data, read = _counting(spark, spark.createDataFrame(rows, "row_pos long, is_laundering int, split string, tx_a double, tx_b double").repartition(3), "tx_a")
+    runs = ablation.run(data, ["tx_a", "tx_b"], [ablation.Arm("A", "", ("tx_",))], (1, 2), ablation.trees(2, 2))
+    assert {(r.arm, r.seed) for r in runs.collect()} == {("A", 1), ("A", 2)}
+    assert read.value == len(rows)
+    vectors = model.assembled(data, ["tx_a", "tx_b"])
+    with pytest.raises(ValueError, match="other features"):
+        model.assemble(vectors, ["tx_b", "tx_a"])
+
+
+def test_adaptive_peers_by_hand(spark):
+    """Middles of odd, even and single groups, nulls, and a fit on some of the rows next to one on all."""
+    sent = [("a", "x", 1.0, True), ("a", "x", 4.0, True), ("a", "y", 2.0, False), ("b", "x", 7.0, True), ("b", None, None, True), ("c", "y", 9.0, False)]
+    df = spark.createDataFrame(sent, "source_account string, destination_account string, amount double, early boolean").coalesce(1)
+    seen = [(0, F.col("__in0")), (1, F.col("__in1"))]
+    rows = df.withColumns({"__in0": F.col("early"), "__in1": F.lit(True)})
+    own = {r["__a"]: (r["__own0"], r["__own1"]) for r in graph._own_medians(rows, seen).collect()}
+    assert own == {"a": (2.5, 2.0), "b": (7.0, 7.0), "c": (None, 9.0)}
+    out = spark.createDataFrame([("a", 2, 3), ("b", 2, 2), ("c", 1, 2)], "__a string, __bucket0 int, __bucket1 int")
+    peers = {(r.fit, r.bucket): (r.median, r.sd) for r in graph._peers(rows, out, seen).collect()}
+    assert peers == {(0, 2): (4.0, pytest.approx(3.0)), (1, 3): (2.0, pytest.approx(statistics.stdev([1, 4, 2]))), (1, 2): (8.0, pytest.approx(statistics.stdev([7, 9])))}
+
+
+def test_mean_contributions_are_made_once(spark):
+    df, read = _counting(spark, spark.createDataFrame([(1.0, -3.0), (-2.0, 5.0)], "tx_a double, bh_b double"), "tx_a")
+    got = {r.feature: (r.family, r.mean_abs, r.share) for r in model.mean_absolute(df, ["tx_a", "bh_b"]).collect()}
+    assert got == {"tx_a": ("tx", 1.5, pytest.approx(1.5 / 5.5)), "bh_b": ("bh", 4.0, pytest.approx(4 / 5.5))} and read.value == 2
