@@ -121,6 +121,20 @@ def test_long_cycles_match_brute_force(spark, tmp_path, name, ordered, longest):
     assert got == want and max(n for _, n in want) >= (12 if ordered else 6)
 
 
+def test_the_pattern_block_counts_cycles_of_every_length(spark, tmp_path):
+    """A ring of 12 in the order of time, one of 11 against it (too long for a simple cycle), and one of 6."""
+    ring = [(k, k % 12 + 1, 100 * k) for k in range(1, 13)] + [(20 + (k + 1) % 11, 20 + k, 50 * k + 7) for k in range(11, 0, -1)] + [(40 + k, 40 + (k + 1) % 6, 230 * (5 - k)) for k in range(6)]
+    rows = sorted(ring + [(1, 7, 3), (12, 3, 1204)], key=lambda r: r[2])
+    found = catalog.QUERIES["d4_pattern_block"](spark, events(spark, tmp_path, [(*r, 10) for r in rows]))
+    got = {r["column"]: r.total for r in found.filter("column LIKE '%cycle%' AND total > 0").collect()}
+    want = {}
+    for family, top, ordered, longest in (("temporal_cycle", 30, True, None), ("lc_cycle", 10, False, 10)):
+        for (_, length), n in brute_cycles(rows, ordered, longest).items():
+            key = f"pat_{family}_{min(length, top)}"
+            want[key] = want.get(key, 0) + n
+    assert got == want and {"pat_temporal_cycle_12", "pat_lc_cycle_6"} < set(want)
+
+
 def test_scatter_gather(spark):
     tx = frame(spark, [("U", "M1", 0), ("U", "M2", 1), ("U", "M3", 2), ("M1", "W", 5), ("M2", "W", 6), ("M3", "W", 7)])
     assert sorted(tuple(r) for r in graph.scatter_gather(tx).collect()) == [(4, 2, 1), (5, 3, 1)]

@@ -150,8 +150,7 @@ def _block_sql() -> str:
     stats = [(f"pat_{p}_{w}_{n}", f"{c}_{m}") for p, w, c in ends for n, m in (("counterparties", "cp"), ("count", "n"), ("ratio", "ratio"))]
     stats += [(f"pat_{p}_{w}_amount_{m}", f"{c}_{m}") for p, w, c in ends for m in ("mean", "sum", "variance", "skew", "kurtosis")]
     counted = ", ".join(f"count({c}) AS \"{n}\"" for n, c in stats)
-    return f"""WITH labels AS ({_labels_sql()}), f AS ({_fan_sql(EV)}), sg AS ({ORACLES['h4_scatter_gather']}), tc AS ({_cycles_sql("h.t_us < p.last_t", "AND p.length < 4")}),
-lc AS ({_cycles_sql("(h.t_us < p.t0 OR (h.t_us = p.t0 AND h.row_pos < p.row_pos))", "AND p.length < 3")}),
+    return f"""WITH labels AS ({_labels_sql()}), f AS ({_fan_sql(EV)}), sg AS ({ORACLES['h4_scatter_gather']}), tc AS ({ORACLES['h5_temporal_cycle']}), lc AS ({ORACLES['h6_lc_cycle']}),
 sizes AS ({sized} UNION ALL SELECT 'scatter_gather', row_pos, size, n FROM sg UNION ALL SELECT 'temporal_cycle', row_pos, length, n FROM tc UNION ALL SELECT 'lc_cycle', row_pos, length, n FROM lc),
 binned AS (SELECT concat('pat_', family, '_', least(size, CASE family WHEN 'lc_cycle' THEN 10 ELSE 30 END)) AS "column", count(DISTINCT row_pos) AS rows, CAST(sum(n) AS BIGINT) AS total FROM sizes WHERE size >= 2 GROUP BY 1),
 s AS (SELECT {counted} FROM ({_stats_sql()})), stats AS (UNPIVOT s ON * INTO NAME "column" VALUE rows)
@@ -160,8 +159,7 @@ SELECT "column", label, coalesce(b.rows, t.rows, 0) AS rows, coalesce(b.total, 0
 
 @query("d4_pattern_block", _block_sql())
 def _(tx):
-    # cycles are bounded, as every longer one is counted by h5 and h6
-    params = patterns.PatternParams(window=DAY_US, statistics=DAY_US, scatter_gather=_W6, longest=3, longest_temporal=4)
+    params = patterns.PatternParams(window=DAY_US, statistics=DAY_US, scatter_gather=_W6)
     block = patterns.pattern_block(tx, params)
     labels = C.pattern_columns()
     binned = [c for c, _ in labels[:183]]
