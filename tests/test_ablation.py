@@ -6,8 +6,9 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import ablation
+from tidewater.operators import ablation, model
 from tidewater.operators.ablation import Arm
+from tidewater.plans import catalog
 from tidewater.session import cut
 from tidewater.sources import views
 
@@ -117,3 +118,43 @@ def test_commands(spark, tmp_path):
     scores = spark.read.parquet(f"file://{tmp_path}/transfer/scores")
     assert got["n"] == scores.count() and scores.agg(F.min("t_us")).first()[0] == middle
     assert spark.read.parquet(f"file://{tmp_path}/transfer/diagnosis").agg(F.sum("positives")).first()[0] == got["positives"]
+
+
+@pytest.fixture
+def fits(monkeypatch):
+    """The settings of every fit that is asked for; one round of depth 1 is made for each set of columns."""
+    asked, made, own = [], {}, model.fit
+
+    def quick(train, val, columns, threshold=0.5, **settings):
+        asked.append((tuple(columns), settings))
+        if tuple(columns) not in made:
+            made[tuple(columns)] = own(train, val, columns, threshold, **settings | {"iterations": 1, "depth": 1})
+        return made[tuple(columns)]
+
+    monkeypatch.setattr(model, "fit", quick)
+    return asked
+
+
+def whole(settings):
+    return [settings.get(k) for k in ("iterations", "depth", "subsample", "patience")] == [300, 6, 0.8, 100]
+
+
+def test_a_fit_goes_on_after_a_round_that_gains_little(spark):
+    """Labels of no feature: Spark's rule keeps a round or two, patience the rounds up to four after the best one."""
+    rng = random.Random(2)
+    made = [(i, int(rng.random() < 0.2), rng.random(), rng.random()) for i in range(900)]
+    df = cut(spark.createDataFrame(made, "row_pos long, is_laundering int, a double, b double").repartition(3), "patience")
+    train, val = df.filter("row_pos < 600"), df.filter("row_pos >= 600")
+    settings = {"iterations": 12, "depth": 2, "seed": 3, "subsample": 0.8, "calibrate": False}
+    full, some = (model.fit(train, val, ["a", "b"], patience=p, **settings).model for p in (12, 4))
+    weighted = val.withColumn("label", F.col("is_laundering").cast("double")).withColumn("weight", F.lit(1.0))
+    assert full.getNumTrees == 12 and 5 <= some.getNumTrees <= 12 and some.numFeatures == 2
+    assert [t.toDebugString.split("\n")[1:] for t in full.trees][: some.getNumTrees] == [t.toDebugString.split("\n")[1:] for t in some.trees]
+    assert model.margin(weighted, model.Package(some, ["a", "b"], [], [], 0.5)).count() == 300
+    nobody = val.withColumn("is_laundering", F.lit(0))  # nothing to stop on
+    assert model.fit(train, nobody, ["a", "b"], patience=1, **settings).model.getNumTrees == 12
+
+
+def test_attributions_are_compared_over_every_seed(spark, fits):
+    runs = {r.run for r in catalog.QUERIES["e25_attribution_stability"](spark, "/root/testdata/sf0.001").collect()}
+    assert runs == set(ablation.SEEDS) == {s["seed"] for _, s in fits} and all(whole(s) for _, s in fits)
