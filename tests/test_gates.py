@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import gates, model, splits
+from tidewater.operators import ablation, gates, model, splits
+from tidewater.plans import catalog
 from tidewater.plans.models import features
 from tidewater.session import cut
 from tidewater.sources import views
@@ -46,3 +47,17 @@ def test_a_history_that_sees_the_future_is_found(prepared, monkeypatch):
     peeking = lambda df: own(df).drop("bh_pair_n_prior").crossJoin(df.agg(F.count("*").alias("bh_pair_n_prior")))
     monkeypatch.setattr(gates.history, "behaviour", peeking)
     assert gates.leakage(tx, middle) == tx.filter(F.col("t_us") <= middle).count()
+
+
+def test_gates_judge_whole_fits(spark, monkeypatch):
+    """Five seeds, the first once more, and one of permuted labels, each of up to 300 rounds."""
+    asked, own = [], model.fit
+
+    def quick(train, val, columns, threshold=0.5, **settings):
+        asked.append(settings)
+        return own(train, val, columns, threshold, **settings | {"iterations": 1, "depth": 1})
+
+    monkeypatch.setattr(model, "fit", quick)
+    assert catalog.QUERIES["k15_model_gates"](spark, "/root/testdata/sf0.001").count() == 17
+    assert sorted(s["seed"] for s in asked) == sorted([*ablation.SEEDS, *[ablation.SEEDS[0]] * 2])
+    assert all([s.get(k) for k in ("iterations", "depth", "subsample", "patience")] == [300, 6, 0.8, 100] for s in asked)
