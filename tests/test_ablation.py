@@ -158,3 +158,13 @@ def test_a_fit_goes_on_after_a_round_that_gains_little(spark):
 def test_attributions_are_compared_over_every_seed(spark, fits):
     runs = {r.run for r in catalog.QUERIES["e25_attribution_stability"](spark, "/root/testdata/sf0.001").collect()}
     assert runs == set(ablation.SEEDS) == {s["seed"] for _, s in fits} and all(whole(s) for _, s in fits)
+
+
+def test_every_arm_is_fitted_over_every_seed(spark, fits, monkeypatch):
+    runs, own = [], ablation.run
+    monkeypatch.setattr(ablation, "run", lambda *a, **k: runs.append(own(*a, **k)) or runs[0])
+    arms = {r.arm: r.seeds for r in catalog.QUERIES["k18_ablation_trees"](spark, "/root/testdata/sf0.001").collect()}
+    names = {a.name for a in ablation.ARMS}
+    assert set(arms) == names and len(names) == 7
+    assert {(r.arm, r.seed) for r in runs[0].select("arm", "seed").collect()} == {(a, s) for a in names for s in ablation.SEEDS}
+    assert len(fits) == 35 and all(whole(s) for _, s in fits)
